@@ -32,6 +32,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("BSD-3-Clause", "Distributed under the BSD 3-Clause License."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     (
         "MIT",
