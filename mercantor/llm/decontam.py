@@ -167,7 +167,7 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, *, share: tuple[int,
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **how) -> DataFrame:
     """The documents with every hit run cut out of the text, from its first word to its last."""
-    found = scan(docs, benchmark, text_col=text_col, **how)
+    found, names = scan(docs, benchmark, text_col=text_col, **how), docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +182,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
                         kept.append(raw[last : words.starts[a]])
                         last = int(words.ends[b - 1])
                     texts[i] = b"".join([*kept, raw[last:]]).decode()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, batch.schema.field(at).type), *batch.columns[at + 1 :]], schema=batch.schema).select(docs.columns)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, batch.schema.field(at).type), *batch.columns[at + 1 :]], schema=batch.schema).select(names)
 
     return found.mapInArrow(cut, docs.schema)
 

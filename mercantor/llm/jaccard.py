@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import FOLD, U64, VISIBLE, Words, column, mixed, shingles, texts_of
-from .workspace import keep, prepared
+from .workspace import OWN, keep, prepared
 
 N = 5
 #: Below 2**SINGLE shingles every shingle is a block of its own.
@@ -300,15 +300,16 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """One document of each component, the one with the smallest id; rows without an id all stay."""
     id_col = how.get("id_col", "doc_id")
     rows = keep(join(docs, **how)["rows"])
-    key = F.col(f"`{id_col}`").cast("long")
-    gone = rows.where("id <> component").select("id").distinct()
-    out = docs.join(gone, key == F.col("id"), "left_anti")
-    again = keep(rows.where("id is not null").groupBy("id").count().where("count > 1").select("id"))
+    own = OWN + "id"
+    same = F.col(f"`{id_col}`").cast("long") == F.col(own)
+    gone = rows.where("id <> component").select(F.col("id").alias(own)).distinct()
+    out = docs.join(gone, same, "left_anti")
+    again = keep(rows.where("id is not null").groupBy(F.col("id").alias(own)).count().where("count > 1").select(own))
     if again.isEmpty():
         return out
     # Rows that share an id are one document: the first of each id stays.
-    twice = out.join(again, key == F.col("id"), "left_semi").dropDuplicates([id_col])
-    return out.join(again, key == F.col("id"), "left_anti").union(twice)
+    twice = out.join(again, same, "left_semi").dropDuplicates([id_col])
+    return out.join(again, same, "left_anti").union(twice)
 
 
 def digest(docs: DataFrame) -> DataFrame:

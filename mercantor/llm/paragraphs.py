@@ -135,6 +135,7 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     """The documents with the spans to be removed cut out of their texts."""
     spans = repeats(docs, id_col=id_col, text_col=text_col).where("removed").groupBy(F.col("doc_id").alias("__mx_id")).agg(F.collect_set(F.struct("start", "end")).alias("__mx_spans"))
     joined = docs.join(spans, F.col(f"`{id_col}`").cast("long") == F.col("__mx_id"), "left").drop("__mx_id")
+    names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,6 +148,6 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
                         kept.append(raw[last : max(last, s["start"])])
                         last = max(last, s["end"])
                     texts[i] = b"".join([*kept, raw[last:]]).decode()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, batch.schema.field(at).type), *batch.columns[at + 1 : -1]], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, batch.schema.field(at).type), *batch.columns[at + 1 : -1]], names=names)
 
     return joined.mapInArrow(cut, docs.schema)
