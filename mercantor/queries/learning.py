@@ -104,3 +104,27 @@ _CLASS = "CASE WHEN clean < 0.6 THEN 'junk' WHEN NOT t AND n > 4 THEN 'lexical_o
 def q_brand_class(spark, d):
     b = table(spark, d, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("c"), F.bool_or(F.col("p_size") > 48).alias("t"))
     return b.select("brand", lx.brand_class("brand", "c", "t", 90).alias("class"))
+
+
+@query(f"WITH {_PURE}, q AS (SELECT c_custkey AS query_id, [w[1], w[2], w[1] || ' ' || w[2]] AS g, p_brand FROM customer JOIN part ON p_partkey = c_custkey % 200, LATERAL (SELECT string_split(p_name, ' ') AS w) WHERE c_custkey % 3 > 0), h AS (SELECT query_id, pure.* FROM (SELECT DISTINCT query_id, unnest(g) AS phrase FROM q) JOIN pure USING (phrase) WHERE occurrences >= 5 AND purity >= 0.06 AND phrase <> lower(brand)) SELECT query_id, brand, CASE WHEN purity >= 0.15 THEN 'filter' ELSE 'prefer' END AS tier FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY purity DESC, occurrences DESC, phrase) = 1")
+def q_prefill(spark, d):
+    from ..plans.control import prefill
+
+    part = table(spark, d, "part")
+    asked = table(spark, d, "customer").join(part, F.col("p_partkey") == F.col("c_custkey") % 200).select(F.col("c_custkey").alias("query_id"), F.col("p_name").alias("text"), (F.col("c_custkey") % 3 == 0).alias("has_brand"))
+    return prefill(asked, lx.purity(_titles(spark, d)), 0.15, 0.06, 5)
+
+
+@query(f"{SQL}, l AS (SELECT variant_id, row_number() OVER (ORDER BY price_cents DESC, variant_id) AS place FROM catalog WHERE list_contains(words, 'red') ORDER BY place LIMIT 15), s AS (SELECT variant_id, row_number() OVER (ORDER BY price_cents DESC, variant_id) AS place FROM catalog WHERE brand = 'Brand#17' ORDER BY place LIMIT 15) SELECT variant_id, tier, place FROM (SELECT variant_id, 0 AS tier, place FROM l UNION ALL SELECT variant_id, 1, place FROM s) QUALIFY row_number() OVER (PARTITION BY variant_id ORDER BY tier, place) = 1 ORDER BY tier, place, variant_id LIMIT 20")
+def p_lexical_first(spark, d):
+    from pyspark.sql import Window
+
+    from ..plans.control import lexical_first
+
+    def top(rows):
+        order = [F.desc("price_cents"), F.col("variant_id")]
+        few = rows.select("variant_id", "price_cents").orderBy(*order).limit(15)
+        return few.select("variant_id", F.row_number().over(Window.orderBy(*order)).alias("place"))
+
+    c = catalog(spark, d)
+    return lexical_first(top(c.where(F.array_contains("words", "red"))), top(c.where("brand = 'Brand#17'")), 20)
