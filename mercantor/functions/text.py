@@ -87,7 +87,7 @@ def strictly_within(a: Column, b: Column) -> Column:
 def gain(label, scale: str) -> Column:
     """Relevance gains of a judgment by scale."""
     # Gains of the three label scales.
-    table = {"esci": {"E": 3.0, "S": 2.0, "C": 1.0, "I": 0.0}, "wands": {"Exact": 2.0, "Partial": 1.0, "Irrelevant": 0.0}, "vertical": {"E": 1.0, "S": 0.1, "C": 0.01, "I": 0.0}}[scale]
+    table = {"four": {"E": 3.0, "S": 2.0, "C": 1.0, "I": 0.0}, "three": {"Exact": 2.0, "Partial": 1.0, "Irrelevant": 0.0}, "steep": {"E": 1.0, "S": 0.1, "C": 0.01, "I": 0.0}}[scale]
     out = F.lit(None).cast("double")
     for k, v in table.items():
         out = F.when(_col(label) == k, v).otherwise(out)

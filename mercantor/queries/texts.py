@@ -54,7 +54,7 @@ def x_ngrams(spark, d):
 @query("SELECT doc_id, CASE quality + toxic WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS gain FROM labels")
 def x_gain(spark, d):
     label = F.element_at(F.array(F.lit("Irrelevant"), F.lit("Partial"), F.lit("Exact")), (F.col("quality") + F.col("toxic") + 1).cast("int"))
-    return table(spark, d, "labels").select("doc_id", tx.gain(label, "wands").alias("gain"))
+    return table(spark, d, "labels").select("doc_id", tx.gain(label, "three").alias("gain"))
 
 
 @query("SELECT c_name, round(length(regexp_replace(c_name, '[^A-Za-z0-9 ]', '', 'g')) / length(c_name), 6) AS clean FROM customer")
