@@ -8,8 +8,8 @@ of hashes.  Blocks are taken in the order of their range: of the first d + 1 blo
 equal in both documents and is among the first d + 1 of the other as well (all earlier ones differ), so equal
 blocks among these find every linked pair.  Documents in the top part of a band also enter the next band.
 
-Documents with equal shingle sets are one class, and only its smallest id takes part.  In a group that shares a
-block, every class is checked against the group's smallest; the linked ones are joined into components; only
+Documents with equal shingle sets are one class, and only its smallest id takes part.  Classes that share a block
+are a group; groups with the same smallest class are joined.  In a group, every class is checked against the group's smallest; the linked ones are joined into components; only
 groups that still hold several components are compared further, across components, in square cells of bounded
 size that run as separate tasks.  A compact parity sketch (one bit flipped for each shingle; its Hamming distance
 is a lower bound of d) sorts out pairs before their shingle sets are fetched and intersected.  So the smallest ids
@@ -36,13 +36,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import FOLD, U64, VISIBLE, Words, column, mixed, shingles, texts_of
-from .workspace import OWN, keep, prepared
+from .workspace import OWN, keep, prepared, release
 
 N = 5
 #: Below 2**SINGLE shingles every shingle is a block of its own.
 SINGLE = 6
 #: Classes on one side of a cell of pairs that one task compares.
-CELL = 2048
+CELL = 4096
+#: Their shingles together, about: 8 bytes each.
+CELL_SHINGLES = 2_000_000
 #: Up to so many ids are broadcast when texts are fetched; more go through a shuffle.
 BROADCAST_IDS = 100_000
 _SEEN = 100_000
@@ -64,8 +66,12 @@ def _signatures(first: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """Parity bits by the low bits of the hashes; the number of bits is a power of two, twice the size at least."""
-    bits = max(64, 1 << int(2 * len(hashes) - 1).bit_length())
+    """Parity bits by the low bits of the hashes; the number of bits is a power of two, four times the size at least.
+
+    So few shingles meet in a bit that the distance is close to the symmetric difference: sets that pass for linked
+    have a similarity of 0.73 at least, or nearly so, and few sets are fetched in vain.
+    """
+    bits = max(64, 1 << int(4 * len(hashes) - 1).bit_length())
     return np.packbits(np.bincount((hashes & U64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
@@ -145,6 +151,32 @@ def _tokens(docs: DataFrame, n: int, make) -> DataFrame:
     return docs.mapInArrow(run, "token long, id long")
 
 
+def _stars(tokens: DataFrame) -> DataFrame:
+    """(a, b) for every row (token, id) but the first of its token: a is the token's smallest id, b the row's id.
+
+    Rows arrive in order, so one id is all that is held; pairs are told once a batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, lead = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t, i = (batch.column(k).to_numpy() for k in (0, 1))
+            new = np.ones(len(t), bool)
+            new[0] = token is None or t[0] != token
+            new[1:] = t[1:] != t[:-1]
+            start = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
+            leads = np.where(start >= 0, i[start], lead)
+            token, lead = t[-1], leads[-1]
+            use = np.flatnonzero(leads != i)
+            if len(use):
+                pairs = np.unique(np.stack([leads[use], i[use]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return tokens.repartition("token").sortWithinPartitions("token", "id").mapInArrow(run, "a long, b long").distinct()
+
+
 def shared(tokens: DataFrame) -> DataFrame:
     """The rows whose first column, a long, comes more than once.  Rows arrive in its order; no group is ever held."""
 
@@ -185,89 +217,124 @@ def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """The pairs whose shingle sets, made again from the texts, have a similarity of 3/4 or more."""
+def _fetched(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(id, h): the shingle sets of the given distinct ids, made again from the texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, first, hashes in _sets(batches, n):
             raw = [hashes[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(raw, pa.binary())], names=["id", "h"])
 
+    few = ids.count() <= BROADCAST_IDS
+    return keep(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(sets, "id long, h binary"))
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    both = int(np.count_nonzero(x[at] == y))
+    return 100 * both >= 75 * (len(x) + len(y) - both)
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """The pairs whose shingle sets have a similarity of 3/4 or more."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(k).to_numpy() for k in (0, 1))
-            good = np.zeros(len(a), bool)
-            last, x = None, None
-            for i, (ha, hb) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                ha, hb = ha.as_buffer(), hb.as_buffer()
-                if last is None or ha != last:
-                    last, x = ha, np.frombuffer(ha, U64)
-                y = np.frombuffer(hb, U64)
-                at = np.searchsorted(x, y)
-                at[at == len(x)] = 0
-                both = int((x[at] == y).sum())
-                good[i] = 100 * both >= 75 * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
+            good = np.array([similar(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)], bool)
+            yield batch.select([0, 1]).filter(pa.array(good))
 
     pairs = keep(pairs)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    wanted = keep(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(sets, "id long, h binary"))
+    wanted = _fetched(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs, n)
     side = lambda x: wanted.select(F.col("id").alias(x), F.col("h").alias("h" + x))
     return keep(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long").distinct())
 
 
-def _across(groups: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of classes of one group but different components that sketches allow; groups: (token, rep, component, cells)."""
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The runs of rows with the same first three columns, in which the rows are sorted."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            part = batch.slice(lo, hi - lo)
+            if held and any(held[-1].column(k)[0] != part.column(k)[0] for k in range(3)):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _close(marks: np.ndarray, size: np.ndarray, comp: np.ndarray, i: int) -> np.ndarray:
+    """Later rows, in the order of size, that another component and the sketches leave as partners of row i."""
+    to = int(np.searchsorted(size, size[i] * 4 // 3, "right"))  # 100 * size[i] >= 75 * size[j]
+    other = i + 1 + np.flatnonzero(comp[i + 1 : to] != comp[i])
+    if len(other):
+        far = np.bitwise_count(marks[other] ^ marks[i]).sum(axis=1, dtype=np.int64)
+        other = other[7 * far <= size[other] + size[i]]
+    return other
+
+
+def _across(groups: DataFrame, sketches: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """Links that join components within groups; groups: (token, rep, component, cells).
+
+    First the rows that have a possible partner in their cell are picked by sketches, then their shingle sets are
+    brought to the cell and compared.  A cell gives out a link only when it joins two parts, so both steps give
+    out fewer rows than they read, however many pairs are near.
+    """
     side = F.pmod(F.xxhash64("rep"), F.col("cells"))
     spread = groups.withColumn("s", side).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
-    spread = spread.select("token", F.least("s", "j").alias("x"), F.greatest("s", "j").alias("y"), "s", "rep", "component").join(sketches, "rep")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    spread = spread.select("token", F.least("s", "j").alias("x"), F.greatest("s", "j").alias("y"), "rep", "component")
+    by_cell = lambda df: df.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
 
-        def cell(rows: pa.Table) -> pa.RecordBatch | None:
-            rep, comp, size = (rows.column(k).to_numpy() for k in ("rep", "component", "n_shingles"))
-            if len(rep) < 2 or (comp == comp[0]).all():
-                return None
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _cells(batches):
+            comp, size = rows.column("component").to_numpy(), rows.column("n_shingles").to_numpy().astype(np.int64)
+            if (comp == comp[0]).all():
+                continue
             order = np.argsort(size, kind="stable")
-            rep, comp, size = rep[order], comp[order], size[order].astype(np.int64)
             marks = folded([rows.column("sketch")[int(i)].as_py() for i in order])
-            a, b = [], []
-            for i in range(len(rep) - 1):
-                to = int(np.searchsorted(size, size[i] * 4 // 3, "right"))  # 100 * size[i] >= 75 * size[j]
-                other = i + 1 + np.flatnonzero(comp[i + 1 : to] != comp[i])
+            comp, size = comp[order], size[order]
+            near = np.zeros(len(order), bool)
+            for i in range(len(order) - 1):
+                other = _close(marks, size, comp, i)
                 if len(other):
-                    far = np.bitwise_count(marks[other] ^ marks[i]).sum(axis=1, dtype=np.int64)
-                    other = other[7 * far <= size[other] + size[i]]
-                    a.append(np.full(len(other), rep[i]))
-                    b.append(rep[other])
-            if not a:
-                return None
-            a, b = np.concatenate(a), np.concatenate(b)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                part = batch.slice(lo, hi - lo)
-                if held and any(held[-1].column(k)[0] != part.column(k)[0] for k in range(3)):
-                    if (got := cell(pa.Table.from_batches(held))) is not None:
-                        yield got
-                    held = []
-                held.append(part)
-        if held and (got := cell(pa.Table.from_batches(held))) is not None:
-            yield got
-
-    spread = spread.select("token", "x", "y", "rep", "component", "n_shingles", "sketch")
-    return spread.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, "a long, b long").distinct()
+                    near[i] = True
+                    near[other] = True
+            if near.any():
+                yield rows.select([0, 1, 2, 3, 4]).take(pa.array(order[near])).combine_chunks().to_batches()[0]
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _cells(batches):
+            sets = [np.frombuffer(h.as_buffer(), U64) for h in rows.column("h")]
+            size = np.array(list(map(len, sets)), np.int64)
+            order = np.argsort(size, kind="stable")
+            sets, size = [sets[i] for i in order], size[order]
+            rep, comp = rows.column("rep").to_numpy()[order], rows.column("component").to_numpy()[order].copy()
+            marks = folded([sketch(h) for h in sets])
+            a, b = [], []
+            for i in range(len(sets) - 1):
+                for j in _close(marks, size, comp, i).tolist():
+                    if comp[j] != comp[i] and similar(sets[j], sets[i]):
+                        comp[comp == comp[j]] = comp[i]
+                        a.append(min(rep[i], rep[j]))
+                        b.append(max(rep[i], rep[j]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    kind = "token long, x long, y long, rep long, component long"
+    picked = keep(by_cell(spread.join(sketches, "rep").select("token", "x", "y", "rep", "component", "n_shingles", "sketch")).mapInArrow(pick, kind))
+    release(docs)
+    wanted = _fetched(picked.select(F.col("rep").alias("id")).distinct(), docs, n).withColumnRenamed("id", "rep")
+    return keep(by_cell(picked.join(wanted, "rep").select("token", "x", "y", "rep", "component", "h")).mapInArrow(settle, "a long, b long").distinct())
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, make=blocks) -> dict[str, DataFrame]:
-    """``rows`` (id, n_shingles, component), one for each input row, and ``links`` (a, b) between classes.
+    """``rows`` (id, n_shingles, component), one for each input row; ``members`` (id, component), only those that have
+    copies or links; and ``links`` (a, b) between classes.
 
     links holds verified links only, and enough of them to make up the components.  ``make`` gives the tokens that
     two linked rows must share, here or (with less than certainty) another scheme's.
@@ -277,23 +344,29 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     rows = keep(profiles(docs, n))
     sets = ["n_shingles", "s1", "s2"]
     real = rows.where("n_shingles > 0 and id is not null")
-    classes = real.groupBy(*sets).agg(F.min("id").alias("rep"))
-    member = keep(real.select("id", *sets).distinct().join(classes, sets).select("id", "rep", "n_shingles"))
-    # A class's sketch is any member's.
-    sketches = keep(real.join(member.where("id = rep").select("id", "n_shingles").distinct(), ["id", "n_shingles"]).select(F.col("id").alias("rep"), "n_shingles", "sketch").dropDuplicates(["rep", "n_shingles"]))
+    classes = real.groupBy(*sets).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    member = keep(real.select("id", *sets).distinct().join(classes, sets).select("id", "rep", "copies", "n_shingles"))
     same_id = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    found = keep(shared(_tokens(docs.where("id is not null"), n, make)))
-    group = keep(found.join(member.select("id", "rep"), "id").select("token", "rep").distinct())
-    lead = group.groupBy("token").agg(F.min("rep").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-    pairs = group.join(lead, "token").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    # Groups with the same smallest class are one group, named by it: many blocks, one set of classes.
+    stars = keep(_stars(_tokens(docs.where("id is not null"), n, make)))
+    release(docs)
+    side = lambda x: member.select(F.col("id").alias(x), F.col("rep").alias("r" + x), F.col("n_shingles").alias("n" + x))
+    stars = stars.join(side("b"), "b").join(side("a"), "a").where("ra <> rb")
+    both = F.explode(F.array(F.struct("ra", F.col("rb").alias("rep"), F.col("nb").alias("n")), F.struct("ra", F.col("ra").alias("rep"), F.col("na").alias("n"))))
+    group = keep(stars.select(both.alias("g")).select(F.col("g.ra").alias("token"), "g.rep", F.col("g.n").alias("n_shingles")).distinct())
+    wanted = group.select(F.col("rep").alias("id")).distinct()
+    sketches = keep(real.join(wanted, "id", "left_semi").select(F.col("id").alias("rep"), "n_shingles", "sketch").dropDuplicates(["rep", "n_shingles"]))
+    pairs = group.where("rep <> token").select(F.col("token").alias("a"), F.col("rep").alias("b"))
     links = _linked(_near(pairs, sketches), docs, n)
     first = keep(components(links.union(same_id)))
-    placed = group.join(first, group.rep == first.node, "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
-    open_ = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2").select("token", F.ceil(F.col("c") / CELL).alias("cells"))
-    links = keep(links.union(_linked(_across(placed.join(open_, "token"), sketches), docs, n)).union(same_id))
+    placed = group.join(first, group.rep == first.node, "left").select("token", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    open_ = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.sum("n_shingles").alias("n")).where("lo <> hi and c > 2").select("token", F.ceil(F.greatest(F.col("c") / CELL, F.col("n") / CELL_SHINGLES)).alias("cells"))
+    release(docs)
+    links = keep(links.union(_across(placed.drop("n_shingles").join(open_, "token"), sketches, docs, n)).union(same_id))
     last = keep(components(links))
+    involved = member.join(last, F.col("rep") == F.col("node"), "left").where("copies > 1 or node is not null")
     joined = rows.join(classes, sets, "left").join(last, F.col("rep") == F.col("node"), "left")
-    return {"rows": joined.select("id", "n_shingles", F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "rep", "id")).alias("component")), "links": links}
+    return {"rows": joined.select("id", "n_shingles", F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "rep", "id")).alias("component")), "members": involved.select("id", F.coalesce("component", "rep").alias("component")), "links": links}
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:

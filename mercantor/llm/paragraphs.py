@@ -114,10 +114,10 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """
     docs = prepared(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null and text is not null")
     units = _units(docs)
-    placed = join(units, id_col="id", make=bands)["rows"].select("id", "component")
+    placed = keep(join(units, id_col="id", make=bands)["members"].distinct())
     doc_of = lambda c: F.shiftright(c, PLACE_BITS)
     across = placed.groupBy("component").agg(F.min(doc_of("id")).alias("lo"), F.max(doc_of("id")).alias("hi"), F.count("*").alias("c")).where("lo <> hi").drop("hi", "c")
-    found = keep(placed.join(across, "component").select("id", F.col("component").alias("cluster"), (doc_of("id") > F.col("lo")).alias("removed")).distinct())
+    found = keep(placed.join(across, "component").select("id", F.col("component").alias("cluster"), (doc_of("id") > F.col("lo")).alias("removed")))
     spans = units.drop("text").join(found, "id").select("doc_id", F.lit("paragraph").alias("kind"), F.col("start"), F.col("end"), F.col("n_words"), "cluster", "removed")
 
     parts = keep(shared(_parts(docs)))

@@ -59,6 +59,7 @@ def corpus(seed=3):
 @pytest.mark.parametrize("seed", [3, 4])
 def test_components_are_those_of_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(jc, "CELL", 4)
+    monkeypatch.setattr(jc, "CELL_SHINGLES", 900)
     rows = corpus(seed)
     rows += [(2001, None), (2002, ""), (2003, " \n"), (2004, "A b"), (2005, "a B"), (2006, rows[0][1]), (2006, rows[5][1]), rows[9]]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
