@@ -85,16 +85,22 @@ def folded(sketches: list[bytes]) -> np.ndarray:
     return out.view(U64)
 
 
+def coarse(s: bytes) -> bytes:
+    """A sketch folded to a quarter of its bits, 64 at least: still a lower bound, and enough for most pairs."""
+    x = np.frombuffer(s, np.uint8)
+    return np.bitwise_xor.reduce(x.reshape(4, -1), axis=0).tobytes() if len(x) >= 32 else s
+
+
 def profiles(docs: DataFrame, n: int = N) -> DataFrame:
-    """(id, n_shingles, s1, s2, sketch) of each row; s1 and s2 are a 128-bit hash of the set."""
+    """(id, n_shingles, s1, s2, sketch, coarse) of each row; s1 and s2 are a 128-bit hash of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, first, hashes in _sets(batches, n):
             s1, s2 = _signatures(first, hashes)
             parts = [sketch(hashes[a:b]) if b > a else b"" for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(first), pa.int32()), pa.array(s1), pa.array(s2), pa.array(parts, pa.binary())], names=["id", "n_shingles", "s1", "s2", "sketch"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(first), pa.int32()), pa.array(s1), pa.array(s2), pa.array(parts, pa.binary()), pa.array([coarse(x) for x in parts], pa.binary())], names=["id", "n_shingles", "s1", "s2", "sketch", "coarse"])
 
-    return docs.mapInArrow(run, "id long, n_shingles int, s1 long, s2 long, sketch binary")
+    return docs.mapInArrow(run, "id long, n_shingles int, s1 long, s2 long, sketch binary, coarse binary")
 
 
 def blocks(first: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,8 +287,8 @@ def _close(marks: np.ndarray, size: np.ndarray, comp: np.ndarray, i: int) -> np.
 def _across(groups: DataFrame, sketches: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """Links that join components within groups; groups: (token, rep, component, cells).
 
-    First the rows that have a possible partner in their cell are picked by sketches, then their shingle sets are
-    brought to the cell and compared.  A cell gives out a link only when it joins two parts, so both steps give
+    First the rows that have a possible partner in their cell are picked by coarse sketches, from these by full
+    ones, then their shingle sets are brought to the cell and compared.  A cell gives out a link only when it joins two parts, so both steps give
     out fewer rows than they read, however many pairs are near.
     """
     side = F.pmod(F.xxhash64("rep"), F.col("cells"))
@@ -326,8 +332,11 @@ def _across(groups: DataFrame, sketches: DataFrame, docs: DataFrame, n: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     kind = "token long, x long, y long, rep long, component long"
-    picked = keep(by_cell(spread.join(sketches, "rep").select("token", "x", "y", "rep", "component", "n_shingles", "sketch")).mapInArrow(pick, kind))
-    release(docs)
+    picked = spread
+    for marks in ("coarse", "sketch"):
+        rows = picked.join(sketches, "rep").select("token", "x", "y", "rep", "component", "n_shingles", F.col(marks).alias("sketch"))
+        picked = keep(by_cell(rows).mapInArrow(pick, kind))
+        release(docs)
     wanted = _fetched(picked.select(F.col("rep").alias("id")).distinct(), docs, n).withColumnRenamed("id", "rep")
     return keep(by_cell(picked.join(wanted, "rep").select("token", "x", "y", "rep", "component", "h")).mapInArrow(settle, "a long, b long").distinct())
 
@@ -355,7 +364,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     both = F.explode(F.array(F.struct("ra", F.col("rb").alias("rep"), F.col("nb").alias("n")), F.struct("ra", F.col("ra").alias("rep"), F.col("na").alias("n"))))
     group = keep(stars.select(both.alias("g")).select(F.col("g.ra").alias("token"), "g.rep", F.col("g.n").alias("n_shingles")).distinct())
     wanted = group.select(F.col("rep").alias("id")).distinct()
-    sketches = keep(real.join(wanted, "id", "left_semi").select(F.col("id").alias("rep"), "n_shingles", "sketch").dropDuplicates(["rep", "n_shingles"]))
+    sketches = keep(real.join(wanted, "id", "left_semi").select(F.col("id").alias("rep"), "n_shingles", "sketch", "coarse").dropDuplicates(["rep", "n_shingles"]))
     pairs = group.where("rep <> token").select(F.col("token").alias("a"), F.col("rep").alias("b"))
     links = _linked(_near(pairs, sketches), docs, n)
     first = keep(components(links.union(same_id)))
