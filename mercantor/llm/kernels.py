@@ -156,6 +156,14 @@ class Words:
         return b" ".join(self.word(k) for k in range(i, i + n))
 
 
+def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The hash of every n consecutive word hashes, from running polynomial sums: one pass for any n."""
+    up, down = _Powers.of(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, U64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return mixed((sums[n:] - sums[:-n]) * down[: len(hashes) - n + 1])
+
+
 def shingles(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(text numbers, hashes) of each text's distinct n-word shingles, in the order of text and hash.
 
@@ -184,3 +192,8 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def list_values(a: pa.Array) -> np.ndarray:
+    """The values of an Arrow list column of 64-bit numbers, those of all its rows together."""
+    return a.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)

@@ -5,9 +5,12 @@ similarity of 0.75 a pair shares a band with a chance of 1 - (1 - 0.75**3)**9 =
 paragraphs are checked by their exact shingle sets and joined into components (see `jaccard`, whose other steps
 this shares: classes of equal sets, star pairs first, pairs across components in cells of bounded size).
 
-A passage may also sit inside a line, after other text.  So the parts of a line between sentence ends are
-compared as well, by their whole hash (a band of all values): parts of ``PART_WORDS`` words that other documents
-have too are joined to runs, and a run of ``RUN_WORDS`` words is a repeat.
+A passage may also sit inside a line, after other text, or run over several lines.  So the words of whole documents
+are compared as well: a stretch of ``RUN_WORDS`` words or more that another document has word by word is a repeat,
+wherever its sentences and lines end.  Each stretch of ``RUN_WORDS`` words is named by the smallest hash of its
+windows of ``ANCHOR_WORDS`` words, which depends on its own words only, so equal stretches have the same name and only
+stretches whose name comes again are compared by their whole hash (64 bits).  None is lost.  Copies with changed words
+are found as lines (above), or in their unchanged stretches of ``RUN_WORDS`` words.
 
 Of each component, and of each repeated part, the occurrence with the smallest document id stays.
 
@@ -26,15 +29,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .jaccard import join, shared
-from .kernels import PLACE, U64, VISIBLE, Words, column, mixed, texts_of
+from .kernels import PLACE, U64, VISIBLE, Words, column, list_values, mixed, rolling, texts_of
 from .workspace import keep, prepared
 
 BANDS, ROWS = 9, 3
-MIN_WORDS, PART_WORDS, RUN_WORDS = 16, 6, 24
+MIN_WORDS, ANCHOR_WORDS, RUN_WORDS = 16, 13, 24
 #: A unit's number is its document's id and place: 39 bits for ids, 24 for places.
 PLACE_BITS = 24
-_STOPS = np.zeros(256, bool)
-_STOPS[[0x2E, 0x21, 0x3F]] = True
 
 
 def bands(first: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,16 +54,14 @@ def bands(first: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Units:
-    """Parts of some texts, each from its first word to its last: whole lines, or parts between sentence ends."""
+    """The lines of some texts, each from its first word to its last."""
 
-    def __init__(self, words: Words, lines: bool):
+    def __init__(self, words: Words):
         data, n = words.texts.data, len(words.starts)
         ends = np.ones(n, bool)
         if n > 1:
             newline = np.concatenate([[0], np.cumsum(data == 0x0A)])
             ends[:-1] = (words.text[1:] != words.text[:-1]) | (newline[words.starts[1:]] > newline[words.ends[:-1]])
-            if not lines:
-                ends |= _STOPS[data[words.ends - 1]]
         self.last = np.flatnonzero(ends)
         self.first = np.concatenate([[0], self.last[:-1] + 1]) if n else self.last
         self.n_words = self.last - self.first + 1
@@ -78,7 +77,7 @@ def _units(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for texts in texts_of(column(batch, "text")):
-                u = Units(Words(texts, VISIBLE), True)
+                u = Units(Words(texts, VISIBLE))
                 if (u.number >> PLACE_BITS).any() or (np.abs(ids) >> (63 - PLACE_BITS)).any():
                     raise ValueError("a document's id or its number of lines is beyond what a unit's number holds")
                 use = np.flatnonzero(u.n_words >= MIN_WORDS)
@@ -90,20 +89,96 @@ def _units(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, text string, doc_id long, start long, end long, n_words long")
 
 
-def _parts(docs: DataFrame) -> DataFrame:
-    """(token, doc_id, start, end, n_words) of each part between sentence ends."""
+def stretches(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, name, hash) of every stretch of RUN_WORDS words inside one text."""
+    n = len(words.starts) - RUN_WORDS + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64)
+    h = rolling(words.hashes, ANCHOR_WORDS)
+    far = RUN_WORDS - ANCHOR_WORDS
+    name = h[:n].copy()
+    for k in range(1, far + 1):
+        np.minimum(name, h[k : k + n], out=name)
+    at = np.flatnonzero(words.text[:n] == words.text[RUN_WORDS - 1 :])
+    return at, name[at], mixed(h[at] * PLACE[7] + h[at + far])  # two windows that cover all words
+
+
+def _names(docs: DataFrame) -> DataFrame:
+    """(token, doc_id): the names of each document's stretches, once for neighbours of the same name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for texts in texts_of(column(batch, "text")):
-                u = Units(Words(texts, VISIBLE), False)
-                use = np.flatnonzero(u.n_words >= PART_WORDS)
-                token = texts.hashes(u.starts[use], u.ends[use]).view(np.int64)
-                low = texts.offsets[u.text[use]]
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(ids[texts.first + u.text[use]]), pa.array((u.starts[use] - low).astype(np.int32)), pa.array((u.ends[use] - low).astype(np.int32)), pa.array(u.n_words[use].astype(np.int32))], names=["token", "doc_id", "start", "end", "n_words"])
+                words = Words(texts, VISIBLE)
+                at, name, _ = stretches(words)
+                text = words.text[at]
+                new = np.ones(len(at), bool)
+                new[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(name[new].view(np.int64)), pa.array(ids[texts.first + text[new]])], names=["token", "doc_id"])
+
+    return docs.mapInArrow(run, "token long, doc_id long")
+
+
+def _repeatable(docs: DataFrame) -> DataFrame:
+    """(hash, doc_id, word, start, end) of the stretches whose names are among their row's ``tokens``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for texts in texts_of(column(batch, "text")):
+                words = Words(texts, VISIBLE)
+                at, name, hashes = stretches(words)
+                # Whether a name comes again doesn't depend on the document, so all rows' names are one set.
+                use = np.isin(name, list_values(batch.column(2).slice(texts.first, texts.n)).view(U64))
+                at, hashes = at[use], hashes[use]
+                text = words.text[at]
+                low = texts.offsets[text]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[texts.first + text]), pa.array((at - words.first[text]).astype(np.int32)), pa.array((words.starts[at] - low).astype(np.int32)), pa.array((words.ends[at + RUN_WORDS - 1] - low).astype(np.int32))], names=["hash", "doc_id", "word", "start", "end"])
+
+    return docs.mapInArrow(run, "hash long, doc_id long, word int, start int, end int")
+
+
+def _spans(stretches: DataFrame) -> DataFrame:
+    """Spans of the repeated stretches (doc_id, lo, word, start, end) of each document that overlap or touch."""
+
+    def spans(doc, lo, word, start, end) -> pa.RecordBatch:
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (word[1:] > word[:-1] + RUN_WORDS)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(doc)) - 1
+        cluster = np.minimum.reduceat(lo, first)
+        return _passages(doc[first], start[first], end[last], word[last] + RUN_WORDS - word[first], cluster, doc[first] > cluster)
+
+    return _by_document(stretches, spans)
+
+
+_PASSAGE = "doc_id long, kind string, start long, end long, n_words long, cluster long, removed boolean"
+
+
+def _passages(doc, start, end, n_words, cluster, removed) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(["passage"] * len(doc), pa.string()), *(pa.array(x.astype(np.int64)) for x in (start, end, n_words, cluster)), pa.array(removed)], names=["doc_id", "kind", "start", "end", "n_words", "cluster", "removed"])
+
+
+def _by_document(stretches: DataFrame, spans) -> DataFrame:
+    """``spans`` of the columns of whole documents, in the order of document and word; only one document is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy() for c in batch.columns]
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            if cut or held and held[-1][0][-1] != columns[0][0]:
+                done = [*held, [c[:cut] for c in columns]]
+                yield spans(*map(np.concatenate, zip(*done, strict=True)))
+                held = []
+            held.append([c[cut:] for c in columns])
+        if held:
+            yield spans(*map(np.concatenate, zip(*held, strict=True)))
 
-    return docs.mapInArrow(run, "token long, doc_id long, start int, end int, n_words int")
+    return stretches.repartition("doc_id").sortWithinPartitions("doc_id", "word").mapInArrow(run, _PASSAGE)
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,14 +195,11 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     found = keep(placed.join(across, "component").select("id", F.col("component").alias("cluster"), (doc_of("id") > F.col("lo")).alias("removed")))
     spans = units.drop("text").join(found, "id").select("doc_id", F.lit("paragraph").alias("kind"), F.col("start"), F.col("end"), F.col("n_words"), "cluster", "removed")
 
-    parts = keep(shared(_parts(docs)))
-    ends = parts.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").drop("hi")
-    parts = parts.join(ends, "token")
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    gap = F.coalesce(F.col("start") - F.lag("end").over(order) > 2, F.lit(True))
-    runs = parts.withColumn("run", F.sum(gap.cast("long")).over(order)).groupBy("doc_id", "run")
-    runs = runs.agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sum("n_words").cast("long").alias("n_words"), F.min("lo").alias("cluster")).where(F.col("n_words") >= RUN_WORDS)
-    passages = runs.select("doc_id", F.lit("passage").alias("kind"), "start", "end", "n_words", "cluster", (F.col("doc_id") > F.col("cluster")).alias("removed"))
+    names = shared(_names(docs)).groupBy("doc_id").agg(F.collect_list("token").alias("tokens"))
+    same = Window.partitionBy("hash")
+    found = _repeatable(docs.join(names, "doc_id").select("doc_id", "text", "tokens"))
+    found = found.withColumns({"lo": F.min("doc_id").over(same), "hi": F.max("doc_id").over(same)}).where("lo <> hi")
+    passages = _spans(found.select("doc_id", "lo", "word", "start", "end"))
     return spans.union(passages)
 
 

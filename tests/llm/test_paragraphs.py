@@ -32,6 +32,43 @@ def test_repeated_passages(spark):
     assert pg.repeats(df.limit(0)).count() == 0
 
 
+def test_passages_need_no_sentence_ends(spark):
+    rng = random.Random(11)
+    short, long = prose(rng, 55, 3), prose(rng, 55, 99)
+    mixed = " ".join(f"{prose(rng, 13, 13)} {prose(rng, 2, 2)}" for _ in range(4))
+    wrapped = prose(rng, 54, 9).split()
+    lines = ["\n".join(" ".join(wrapped[k : k + w]) for k in range(0, 54, w)) for w in (7, 11)]
+    rows = [(i, prose(rng, 90)) for i in range(40)]
+    for k, (a, b) in enumerate([(short, short), (long, long), (mixed, mixed), lines]):
+        rows += [(100 + 2 * k, f"{prose(rng, 31, 99)} {a} {prose(rng, 22, 99)}"), (101 + 2 * k, f"{prose(rng, 45, 99)} {b} {prose(rng, 9, 99)}")]
+    texts = dict(rows)
+    got = pg.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [short, short, long, long, mixed, mixed, *lines]
+    spans = {r["doc_id"]: texts[r["doc_id"]].encode()[r["start"] : r["end"]].decode() for r in got}
+    assert len(got) == 8 and spans == {100 + k: w for k, w in enumerate(want)}
+    assert all(r["n_words"] == len(want[r["doc_id"] - 100].split()) and r["removed"] == (r["doc_id"] % 2 == 1) for r in got)
+
+
+def test_passages_against_brute_force(spark):
+    rng = random.Random(12)
+    pool = [prose(rng, rng.randrange(5, 40), 7).split() for _ in range(12)]
+    rows = []
+    for i in range(40):
+        words = sum((rng.choice(pool)[rng.randrange(4) :] if rng.random() < 0.6 else prose(rng, 9).split() for _ in range(6)), [])
+        rows.append((i, " ".join(words)))
+    own = {i: t.split() for i, t in rows}
+    where: dict = {}
+    for i, w in own.items():
+        for k in range(len(w) - pg.RUN_WORDS + 1):
+            where.setdefault(tuple(w[k : k + pg.RUN_WORDS]), set()).add(i)
+    want = {(i, k + o) for i, w in own.items() for k in range(len(w) - pg.RUN_WORDS + 1) if len(where[tuple(w[k : k + pg.RUN_WORDS])]) > 1 for o in range(pg.RUN_WORDS)}
+    got = set()
+    for r in pg.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("kind = 'passage'").collect():
+        before = len(dict(rows)[r["doc_id"]].encode()[: r["start"]].decode().split())
+        got |= {(r["doc_id"], before + k) for k in range(r["n_words"])}
+    assert want and got == want
+
+
 def test_banding_recall():
     import numpy as np
 
