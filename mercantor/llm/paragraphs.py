@@ -12,7 +12,9 @@ windows of ``ANCHOR_WORDS`` words, which depends on its own words only, so equal
 stretches whose name comes again are compared by their whole hash (64 bits).  None is lost.  Copies with changed words
 are found as lines (above), or in their unchanged stretches of ``RUN_WORDS`` words.
 
-Of each component, and of each repeated part, the occurrence with the smallest document id stays.
+Of each component, and of each repeated stretch of ``RUN_WORDS`` words, the occurrence with the smallest document id
+stays; of a stretch, the smallest one that no removed line cuts, if there is any.  Each stretch has its own verdict,
+and a word that any kept stretch holds is kept, so what remains of a removed passage may be shorter than a stretch.
 
 Defined results: a null, empty or wordless text has no paragraphs; repeats within one document only are no repeats
 across documents; rows without an id are left out; rows that share an id are one document; a repeated row is a
@@ -121,7 +123,10 @@ def _names(docs: DataFrame) -> DataFrame:
 
 
 def _repeatable(docs: DataFrame) -> DataFrame:
-    """(hash, doc_id, word, start, end) of the stretches whose names are among their row's ``tokens``."""
+    """(hash, doc_id, word, start, end, gone) of the stretches whose names are among their row's ``tokens``.
+
+    gone: a word of it is in one of the row's removed ``lines``, (start, end) pairs in a flat array.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,21 +139,47 @@ def _repeatable(docs: DataFrame) -> DataFrame:
                 at, hashes = at[use], hashes[use]
                 text = words.text[at]
                 low = texts.offsets[text]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[texts.first + text]), pa.array((at - words.first[text]).astype(np.int32)), pa.array((words.starts[at] - low).astype(np.int32)), pa.array((words.ends[at + RUN_WORDS - 1] - low).astype(np.int32))], names=["hash", "doc_id", "word", "start", "end"])
+                gone = np.zeros(len(texts.data) + 1, np.int32)
+                for i, lines in enumerate(batch.column(3).slice(texts.first, texts.n)):
+                    if lines.is_valid:
+                        edges = lines.values.to_numpy() + texts.offsets[i]
+                        np.add.at(gone, edges[::2], 1)
+                        np.add.at(gone, edges[1::2], -1)
+                inside = np.concatenate([[0], np.cumsum(np.cumsum(gone)[words.starts] > 0)])
+                cut = inside[at + RUN_WORDS] > inside[at]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[texts.first + text]), pa.array((at - words.first[text]).astype(np.int32)), pa.array((words.starts[at] - low).astype(np.int32)), pa.array((words.ends[at + RUN_WORDS - 1] - low).astype(np.int32)), pa.array(cut)], names=["hash", "doc_id", "word", "start", "end", "gone"])
 
-    return docs.mapInArrow(run, "hash long, doc_id long, word int, start int, end int")
+    return docs.mapInArrow(run, "hash long, doc_id long, word int, start int, end int, gone boolean")
 
 
 def _spans(stretches: DataFrame) -> DataFrame:
-    """Spans of the repeated stretches (doc_id, lo, word, start, end) of each document that overlap or touch."""
+    """Spans of the repeated stretches (doc_id, lo, word, start, end), where lo is the document that keeps it.
+
+    Stretches of the same verdict that overlap or touch are one span.  A word that a kept stretch holds is kept.
+    """
 
-    def spans(doc, lo, word, start, end) -> pa.RecordBatch:
+    def merged(doc, lo, first, last, start, end, removed: bool) -> pa.RecordBatch:
         new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (word[1:] > word[:-1] + RUN_WORDS)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(doc)) - 1
-        cluster = np.minimum.reduceat(lo, first)
-        return _passages(doc[first], start[first], end[last], word[last] + RUN_WORDS - word[first], cluster, doc[first] > cluster)
+        new[1:] = (doc[1:] != doc[:-1]) | (first[1:] > last[:-1])
+        at = np.flatnonzero(new)
+        to = np.append(at[1:], len(doc)) - 1 if len(doc) else at
+        cluster = np.minimum.reduceat(lo, at) if len(doc) else lo
+        return _passages(doc[at], start[at], end[to], last[to] - first[at], cluster, np.full(len(at), removed))
+
+    def spans(doc, lo, word, start, end) -> Iterator[pa.RecordBatch]:
+        doc, lo, word, start, end = (x.astype(np.int64) for x in (doc, lo, word, start, end))
+        n, kept = len(doc), doc == lo
+        yield merged(doc[kept], lo[kept], word[kept], word[kept] + RUN_WORDS, start[kept], end[kept], False)
+        # Of a removed stretch, the words between the kept stretches before and after it; one byte at least parts words.
+        before = np.maximum.accumulate(np.where(kept, np.arange(n), -1))
+        after = np.minimum.accumulate(np.where(kept, np.arange(n), n)[::-1])[::-1]
+        b, a = np.maximum(before, 0), np.minimum(after, n - 1)
+        late = (before >= 0) & (doc[b] == doc) & (word[b] + RUN_WORDS > word)
+        early = (after < n) & (doc[a] == doc) & (word[a] < word + RUN_WORDS)
+        first, last = np.where(late, word[b] + RUN_WORDS, word), np.where(early, word[a], word + RUN_WORDS)
+        start, end = np.where(late, end[b] + 1, start), np.where(early, start[a] - 1, end)
+        use = ~kept & (first < last)
+        yield merged(doc[use], lo[use], first[use], last[use], start[use], end[use], True)
 
     return _by_document(stretches, spans)
 
@@ -172,11 +203,11 @@ def _by_document(stretches: DataFrame, spans) -> DataFrame:
             cut = int(np.searchsorted(columns[0], columns[0][-1]))
             if cut or held and held[-1][0][-1] != columns[0][0]:
                 done = [*held, [c[:cut] for c in columns]]
-                yield spans(*map(np.concatenate, zip(*done, strict=True)))
+                yield from spans(*map(np.concatenate, zip(*done, strict=True)))
                 held = []
             held.append([c[cut:] for c in columns])
         if held:
-            yield spans(*map(np.concatenate, zip(*held, strict=True)))
+            yield from spans(*map(np.concatenate, zip(*held, strict=True)))
 
     return stretches.repartition("doc_id").sortWithinPartitions("doc_id", "word").mapInArrow(run, _PASSAGE)
 
@@ -185,7 +216,8 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """Spans that repeat across documents: (doc_id, kind, start, end, n_words, cluster, removed).
 
     Documents without such a span have no row.  kind is ``paragraph`` or ``passage``; a passage may lie inside a
-    paragraph.  cluster is the smallest unit number of a component, or the smallest document of a passage's parts.
+    paragraph.  cluster is the smallest unit number of a component, or the smallest document that keeps
+    a stretch of a passage.
     """
     docs = prepared(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null and text is not null")
     units = _units(docs)
@@ -193,12 +225,15 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     doc_of = lambda c: F.shiftright(c, PLACE_BITS)
     across = placed.groupBy("component").agg(F.min(doc_of("id")).alias("lo"), F.max(doc_of("id")).alias("hi"), F.count("*").alias("c")).where("lo <> hi").drop("hi", "c")
     found = keep(placed.join(across, "component").select("id", F.col("component").alias("cluster"), (doc_of("id") > F.col("lo")).alias("removed")))
-    spans = units.drop("text").join(found, "id").select("doc_id", F.lit("paragraph").alias("kind"), F.col("start"), F.col("end"), F.col("n_words"), "cluster", "removed")
+    spans = keep(units.drop("text").join(found, "id").select("doc_id", F.lit("paragraph").alias("kind"), F.col("start"), F.col("end"), F.col("n_words"), "cluster", "removed"))
 
     names = shared(_names(docs)).groupBy("doc_id").agg(F.collect_list("token").alias("tokens"))
     same = Window.partitionBy("hash")
-    found = _repeatable(docs.join(names, "doc_id").select("doc_id", "text", "tokens"))
-    found = found.withColumns({"lo": F.min("doc_id").over(same), "hi": F.max("doc_id").over(same)}).where("lo <> hi")
+    lines = spans.where("removed").groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("lines"))
+    found = _repeatable(docs.join(names.join(lines, "doc_id", "left"), "doc_id").select("doc_id", "text", "tokens", "lines"))
+    whole = F.min(F.when(~F.col("gone"), F.col("doc_id"))).over(same)
+    found = found.withColumns({"lo": F.min("doc_id").over(same), "hi": F.max("doc_id").over(same), "whole": whole}).where("lo <> hi")
+    found = found.withColumn("lo", F.coalesce("whole", "lo"))
     passages = _spans(found.select("doc_id", "lo", "word", "start", "end"))
     return spans.union(passages)
 

@@ -69,6 +69,24 @@ def test_passages_against_brute_force(spark):
     assert want and got == want
 
 
+def test_no_stretch_is_removed_everywhere(spark):
+    rng = random.Random(13)
+    early, late = prose(rng, 40, 8), prose(rng, 40, 8)
+    line, new = prose(rng, 240, 10).split(), prose(rng, 30, 99)
+    rows = [(i + 1000, prose(rng, 90)) for i in range(30)]
+    rows += [(5, f"{prose(rng, 30)} {early} {prose(rng, 30)}"), (9, f"{prose(rng, 30)} {early} {late} {prose(rng, 30)}"), (12, f"{prose(rng, 30)} {early} {late} {prose(rng, 30)}")]
+    rows += [(14, f"{prose(rng, 30)} {late} {prose(rng, 30)}"), (20, " ".join(line)), (21, " ".join([*line[:50], new, *line[50:]])), (22, f"{prose(rng, 40)} {new} {prose(rng, 40)}"), (23, f"{prose(rng, 40)} {new} {prose(rng, 40)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = {r["doc_id"]: r["text"].split() for r in pg.remove(df).collect()}
+    stretches = lambda words: {tuple(words[k : k + pg.RUN_WORDS]) for k in range(len(words) - pg.RUN_WORDS + 1)}
+    stay = set().union(*map(stretches, left.values()))
+    for passage in (early, late, new, f"{early} {late}"):
+        assert stretches(passage.split()) <= stay
+    assert " ".join(left[9]).count(late) == 1 and late not in " ".join(left[12] + left[14]) and early not in " ".join(left[12])
+    assert not left[21] and new in " ".join(left[22]) and new not in " ".join(left[23])  # the line of 21 goes as a near copy
+    assert {w for words in left.values() for w in words} <= {w for _, t in rows for w in t.split()}  # no words are glued
+
+
 def test_banding_recall():
     import numpy as np
 
