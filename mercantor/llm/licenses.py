@@ -4,11 +4,13 @@ A text is scanned for the templates' three-word windows (hashed, all texts of a
 says where its template would begin; about each such place the text is aligned with the template: words that
 occur once in both are anchors, the longest increasing run of anchors stays, and the gaps between them are
 aligned in the same way, equal words at a gap's ends first.  Coverage is the share of the template's words
-that are aligned.  Where several templates cover, the one with the most aligned words wins, then the first listed.
+that are aligned.  Where templates cover at places that overlap, the one with the most aligned words wins, then the first
+listed, then the first place; all places that are left are the text's ``notices``, in their order, and the one that
+wins among these is its license.
 
 Words are runs of letters and digits, A-Z lower-cased.  Defined results: a null, empty or wordless text has no
 license, coverage 0 and no span; repeated rows are scanned one by one; an empty table gives no rows; other columns
-are not read; texts of any length are scanned whole; a license given twice is reported once, at its best place.
+are not read; texts of any length are scanned whole; a license given twice is two notices.
 """
 
 from __future__ import annotations
@@ -50,6 +52,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 WINDOW = 3
 COVERAGE = 0.75
+_NOTICES = pa.list_(pa.struct([("license", pa.string()), ("template", pa.int32()), ("n_matched", pa.int64()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
 def longest_increasing(values: list[int]) -> list[int]:
@@ -114,8 +117,8 @@ class Scanner:
             self.at.setdefault(h, []).append((t, i - int(words.first[t])))
         self.hashes = np.array(sorted(self.at), U64)
 
-    def scan(self, texts: Texts) -> dict[int, tuple[int, int, int, int]]:
-        """By text: (template, aligned words, first byte, last byte) of the best template, if any covers."""
+    def scan(self, texts: Texts) -> dict[int, list[tuple[int, int, int, int]]]:
+        """By text: (template, aligned words, first byte, last byte) of every notice, the best first, if any covers."""
         words = Words(texts, ALNUM, FOLD)
         at, h = words.windows(WINDOW)
         place = np.searchsorted(self.hashes, h)
@@ -125,7 +128,7 @@ class Scanner:
         for i, x in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
             for t, offset in self.at[x]:
                 starts.setdefault((int(words.text[i]), t), set()).add(i - offset)
-        best: dict[int, tuple[int, int, int, int]] = {}
+        covers: dict[int, list[tuple[int, int, int, int]]] = {}
         for (i, t), places in sorted(starts.items()):
             template = self.words[t]
             slack, last = max(2, len(template) // 4), None
@@ -136,14 +139,29 @@ class Scanner:
                 lo = max(int(words.first[i]), p - slack)
                 hi = min(int(words.first[i + 1]), p + len(template) + slack)
                 pairs = align(words.hashes[lo:hi].tolist(), template)
-                if len(pairs) >= self.coverage * len(template) and (i not in best or len(pairs) > best[i][1]):
-                    base = int(texts.offsets[i])
-                    best[i] = t, len(pairs), int(words.starts[lo + pairs[0][0]]) - base, int(words.ends[lo + pairs[-1][0]]) - base
-        return best
+                if len(pairs) >= self.coverage * len(template):
+                    # If the template's own length does as well, no word of the next notice is taken for one of this.
+                    near = max(p, int(words.first[i]))
+                    own = align(words.hashes[near : min(hi, p + len(template))].tolist(), template)
+                    if len(own) >= len(pairs):
+                        lo, pairs = near, own
+                    covers.setdefault(i, []).append((-len(pairs), t, lo + pairs[0][0], lo + pairs[-1][0]))
+        out: dict[int, list[tuple[int, int, int, int]]] = {}
+        for i, found in covers.items():
+            base, taken = int(texts.offsets[i]), []
+            for n, t, a, b in sorted(found):
+                at = bisect_left(taken, (a, b))
+                if (at == 0 or taken[at - 1][1] < a) and (at == len(taken) or taken[at][0] > b):
+                    taken.insert(at, (a, b))
+                    out.setdefault(i, []).append((t, -n, int(words.starts[a]) - base, int(words.ends[b]) - base))
+        return out
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, *, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, license, template, n_matched, coverage, start, end) of every document; start and end are bytes."""
+    """(doc_id, license, template, n_matched, coverage, start, end, notices) of every document; start and end are bytes.
+
+    The first columns tell the best notice; ``notices`` lists all of them, the best one too, by their places.
+    """
     docs = prepared(docs, doc_id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,11 +169,13 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, *,
         for batch in batches:
             for texts in texts_of(column(batch, "text")):
                 found = scanner.scan(texts)
-                rows = [found.get(i) for i in range(texts.n)]
+                rows = [found[i][0] if i in found else None for i in range(texts.n)]
+                tell = lambda t, n, a, b: {"license": scanner.names[t], "template": t, "n_matched": n, "coverage": n / len(scanner.words[t]), "start": a, "end": b}
+                notices = pa.array([[tell(*r) for r in sorted(found.get(i, []), key=lambda r: r[2])] for i in range(texts.n)], _NOTICES)  # noqa: B023
                 get = lambda k, kind: pa.array([r and r[k] for r in rows], kind)  # noqa: B023, E731
                 name = pa.array([r and scanner.names[r[0]] for r in rows], pa.string())
                 share = pa.array([r[1] / len(scanner.words[r[0]]) if r else 0.0 for r in rows], pa.float64())
                 matched = pa.array([r[1] if r else 0 for r in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, texts.n), name, get(0, pa.int32()), matched, share, get(2, pa.int64()), get(3, pa.int64())], names=["doc_id", "license", "template", "n_matched", "coverage", "start", "end"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, texts.n), name, get(0, pa.int32()), matched, share, get(2, pa.int64()), get(3, pa.int64()), notices], names=["doc_id", "license", "template", "n_matched", "coverage", "start", "end", "notices"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, license string, template int, n_matched long, coverage double, start long, end long")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, license string, template int, n_matched long, coverage double, start long, end long, notices array<struct<license: string, template: int, n_matched: bigint, coverage: double, start: bigint, end: bigint>>")

@@ -118,6 +118,20 @@ def test_licenses(spark):
     assert li.scan(df.limit(0)).count() == 0
 
 
+def test_all_notices(spark):
+    rng = random.Random(9)
+    mit, gpl, cc = li.TEMPLATES[8][1], li.TEMPLATES[11][1], "Licensed under CC BY-NC 4.0."
+    text = f"{prose(rng, 30)}\n{cc}\n{prose(rng, 30)}\n{gpl}\n{prose(rng, 30)}\n{mit}\n{prose(rng, 5)}\n{mit} {cc}"
+    df = spark.createDataFrame([(1, text), (2, prose(rng, 60)), (3, li.TEMPLATES[10][1]), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in li.scan(df).collect()}
+    assert [n["license"] for n in got[1]["notices"]] == ["CC-BY-NC-4.0", "GPL-3.0", "MIT", "MIT", "CC-BY-NC-4.0"]
+    spans = [text.encode()[n["start"] : n["end"]].decode() for n in got[1]["notices"]]
+    assert spans == [x.rstrip(".") for x in (cc, gpl, mit, mit, cc)] and all(n["coverage"] == 1.0 for n in got[1]["notices"])
+    assert got[1]["license"] == "MIT" and (got[1]["start"], got[1]["end"]) == (got[1]["notices"][2]["start"], got[1]["notices"][2]["end"])
+    assert got[2]["notices"] == got[4]["notices"] == []
+    assert [(n["license"], n["template"]) for n in got[3]["notices"]] == [("Apache-2.0", 10)]  # the short notice lies inside
+
+
 def test_alignment():
     assert li.longest_increasing([3, 1, 2, 9, 4, 5]) == [1, 2, 4, 5] and li.longest_increasing([]) == []
     a, b = "x a b c q d e".split(), "a b z c d e f".split()
