@@ -8,8 +8,8 @@ The set is broadcast only while the benchmark's text is within ``slice_bytes``;
 into slices of that size at most, and the documents are scanned once for each, so no worker ever holds more.
 
 Defined results: a null or wordless text has no words, hits or items; an item with fewer than n words, but
-not none, is one window of its own length; a wordless or null item has no window; repeated items keep their
-ids, repeated rows are judged one by one; an empty benchmark hits nothing; columns of the documents pass
+not none, is one window of its own length; a wordless or null text has no window; items without an id hit like
+others and are one item together, null in ``items`` and left out of its joined ids; repeated items keep their ids, repeated rows are judged one by one; an empty benchmark hits nothing; columns of the documents pass
 through untouched, whatever their names, and those that the scan adds start with ``__mx_``.
 """
 
@@ -29,6 +29,8 @@ from .workspace import OWN, keep
 
 SLICE_BYTES = 64 << 20
 _BITMAP_BITS = 22
+#: Stands for a null item id while documents are scanned.
+NO_ID = -(1 << 63)
 N_WORDS, HITS, ITEMS = OWN + "n_words", OWN + "hits", OWN + "items"
 _ADDED = T.StructType([T.StructField(N_WORDS, T.LongType()), T.StructField(HITS, T.ArrayType(T.LongType(), False)), T.StructField(ITEMS, T.ArrayType(T.LongType(), False))])
 
@@ -131,8 +133,11 @@ def union_runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 13, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The documents with their words, hit runs (word numbers) and item ids in three more columns."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).where("i is not null and t is not null")
-    bound = items.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
+    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t is not null")
+    bound, least = items.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0)), F.min("i")).first()
+    if least == NO_ID:
+        raise ValueError("the smallest 64-bit number is not free to be an item's id")
+    items = items.select(F.coalesce("i", F.lit(NO_ID).cast("long")).alias("i"), "t")
     slices = max(1, -(-bound // slice_bytes))
     for k in range(slices):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k) if slices > 1 else items
@@ -148,13 +153,13 @@ def n_hit() -> F.Column:
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, *, share: tuple[int, int] = (1, 20), **how) -> DataFrame:
-    """Adds n_words, n_hit, items (sorted ids) and contaminated: hit words are at least ``share`` of all words.
+    """Adds n_words, n_hit, items (sorted ids, a null first) and contaminated: hit words are at least ``share`` of all words.
 
     A document's own columns of those names are replaced.
     """
     part, whole = share
     out = scan(docs, benchmark, **how)
-    out = out.withColumns({"n_words": F.col(N_WORDS), "n_hit": n_hit(), "items": F.col(ITEMS)}).drop(N_WORDS, ITEMS)
+    out = out.withColumns({"n_words": F.col(N_WORDS), "n_hit": n_hit(), "items": F.transform(ITEMS, lambda x: F.when(x != F.lit(NO_ID), x))}).drop(N_WORDS, ITEMS)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (whole * F.col("n_hit") >= part * F.col("n_words"))).drop(HITS)
 
 

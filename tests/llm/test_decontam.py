@@ -80,3 +80,22 @@ def test_unions_of_runs():
         got = dc.union_runs(*runs)
         cover = {k for a, b in np.asarray(got).reshape(-1, 2) for k in range(a, b)}
         assert cover == sets[0] | sets[1]
+
+
+def test_items_without_an_id_hit(spark):
+    import duckdb
+
+    from mercantor.llm.queries import ORACLES
+
+    text = " ".join(f"w{k}" for k in range(20))
+    docs = [(1, f"before {text} after"), (2, "nothing of it"), (3, f"{text} and also {text.upper()} v1 v2 rare")]
+    bench = [(None, text), (None, "rare"), (7, "rare")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    got = sorted(tuple(r) for r in dc.digest(dc.judge(d, b)).collect())
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar); create table benchmark (item_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", docs)
+    con.executemany("insert into benchmark values (?, ?)", bench)
+    assert got == sorted(con.sql(ORACLES["op2_decontamination"]).fetchall())
+    assert [r[3] for r in got] == [1, 0, 2] and [r["doc_id"] for r in dc.remove_documents(d, b).collect()] == [2]
