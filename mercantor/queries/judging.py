@@ -42,8 +42,13 @@ def d_findings(spark, d):
 
 @query()
 def d_canonical_roles(spark, d):
-    """Without SQL: a decision procedure over a field's votes; unit cases test it."""
+    """A field for each brand and type, with the votes and facts of all its parts.
+
+    Without SQL: a decision procedure over a field's votes; unit cases test it.
+    """
     part = table(spark, d, "part")
-    votes = part.where("p_partkey < 200").select(F.concat(F.lit("f"), (F.col("p_partkey") % 20).cast("string")).alias("field"), F.col("p_partkey").alias("run"), F.element_at(F.array(*map(F.lit, jd.ROLES)), (F.col("p_size") % 7 + 1).cast("int")).alias("role"))
-    facts = part.where("p_partkey < 20").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("field"), (F.col("p_size") / 50).alias("parsed"), F.col("p_size").cast("long").alias("distinct"), F.lit(0.96).alias("uniqueness"), F.lit(150).cast("long").alias("n"), (F.col("p_size") % 2 == 0).alias("variant_scoped"))
+    field = F.concat_ws(" ", "p_brand", "p_type").alias("field")
+    votes = part.select(field, F.col("p_partkey").alias("run"), F.element_at(F.array(*map(F.lit, jd.ROLES)), (F.col("p_size") % 7 + 1).cast("int")).alias("role"))
+    n = F.count("*")
+    facts = part.groupBy(field).agg((F.avg("p_size") / 50).alias("parsed"), F.countDistinct("p_size").alias("distinct"), (F.countDistinct("p_name") / n).alias("uniqueness"), n.alias("n"), (2 * F.count_if(F.col("p_size") % 2 == 0) >= n).alias("variant_scoped"))
     return jd.canonical_roles(votes, facts)

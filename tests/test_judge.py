@@ -26,3 +26,11 @@ def test_gates_and_fits():
     cut = jd.threshold_fit([(1, 1, 9), (4, 1, 9), (16, 9, 1), (64, 9, 1)])
     assert cut == 8.0
     assert jd.facet_path(10, 1, True) == "bitmap" and jd.facet_path(10, 1, False) == "ordinal" and jd.sort_path(1000, 48, 2000) == "presorted" and jd.sort_path(10, 48, 5000) == "scan"
+
+
+def test_canonical_roles_of_the_whole_table(spark, sf_dir):
+    from mercantor.queries.judging import d_canonical_roles
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", "p_type").distinct().collect()
+    got = [r["field"] for r in d_canonical_roles(spark, sf_dir).collect()]
+    assert sorted(got) == sorted(f"{r['p_brand']} {r['p_type']}" for r in part) and len(got) > 19
