@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import keep
+from .workspace import drop, keep
 
 
 def _stamp(edges: DataFrame) -> tuple:
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         # Every a has only smaller neighbours now; they and a itself go to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = keep(small.where("a <> b").distinct())
+        last, now = now, keep(small.where("a <> b").distinct())
+        drop(last)
         before, stamp = stamp, _stamp(now)
         if before == stamp:
             break

@@ -3,21 +3,24 @@
 With sizes a and b, a Jaccard similarity of 3/4 or more means at most d = (a + b) / 7 shingles in the symmetric
 difference.  A document's shingles are XORed into a sketch; each shingle of the difference changes one block at
 most, so all but d blocks of two linked documents agree.  In a size band (an octave of the larger document) the
-sketch has at least as many blocks as the document has shingles, each the XOR of the 64-bit hashes in its range
-of hashes.  Blocks are taken in the order of their range: of the first d + 1 blocks that aren't empty, one is
-equal in both documents and is among the first d + 1 of the other as well (all earlier ones differ), so equal
-blocks among these find every linked pair.  Documents in the top part of a band also enter the next band.
+sketch has a block for every three shingles of the band's largest set, each the XOR of the 64-bit hashes in its
+range of hashes.  Blocks that aren't empty are put in an order that depends on themselves only (those of most
+shingles first: few unlinked documents share them): of the first d + 1, one is equal in both documents and is among
+the first d + 1 of the other as well (all earlier ones differ), so equal blocks among these find every linked pair
+of which one document at least has d + 1 blocks that aren't empty.  Documents with fewer meet in finer blocks, at
+least as many as shingles, as well.  Documents in the top part of a band also enter the next band.
 
 Documents with equal shingle sets are one class, and only its smallest id takes part.  Classes that share a block
-are a group; groups with the same smallest class are joined.  In a group, every class is checked against the group's smallest; the linked ones are joined into components; only
+are a group; groups with the same smallest class are joined.  Every class is checked against the smallest class of
+all its groups, then against those of its groups' smallest classes that are in other components by then; only
 groups that still hold several components are compared further, across components, in square cells of bounded
 size that run as separate tasks.  A compact parity sketch (one bit flipped for each shingle; its Hamming distance
 is a lower bound of d) sorts out pairs before their shingle sets are fetched and intersected.  So the smallest ids
 of components are exact, and a group of copies costs a number of pairs in proportion to its size.
 
 Exact up to hashes: shingles, sets and blocks are told apart by 64-bit, 128-bit and 64-bit hashes.  A band's
-blocks that aren't empty are fewer than d + 1 with a chance below 1e-20 (from 64 shingles on; below, each shingle
-is a block of its own).
+fine blocks that aren't empty are fewer than d + 1 with a chance below 1e-20 (from 64 shingles on; below, each
+shingle is a block of its own).
 
 Defined results: a null, empty or wordless text has no shingles, links with nothing and is its own component; a
 text of fewer than five words has one shingle, its whole sequence; rows that share an id are one document, which
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import FOLD, U64, VISIBLE, Words, column, mixed, shingles, texts_of
-from .workspace import OWN, keep, prepared, release
+from .workspace import OWN, drop, keep, prepared
 
 N = 5
 #: Below 2**SINGLE shingles every shingle is a block of its own.
@@ -103,36 +106,57 @@ def profiles(docs: DataFrame, n: int = N) -> DataFrame:
     return docs.mapInArrow(run, "id long, n_shingles int, s1 long, s2 long, sketch binary, coarse binary")
 
 
+def _ranges(first: np.ndarray, hashes: np.ndarray, rows: np.ndarray, level: np.ndarray, d: np.ndarray, fine: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row numbers, tokens, blocks that aren't empty, by row): the first d + 1 blocks of each of ``rows`` at its level.
+
+    Coarse: a third of a block for each shingle of the largest set of the level, the blocks of most shingles first.
+    Fine: twice as many blocks as that set has shingles, or below 2**SINGLE one for each hash, in their order.
+    """
+    n = np.diff(first)
+    at = np.repeat(np.arange(len(rows)), n[rows])
+    ends = np.cumsum(n[rows])
+    h = hashes[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n[rows] - first[:-1][rows], n[rows])]
+    if fine:
+        block = h >> np.where(level < SINGLE, 0, 63 - level).astype(U64)[at]
+    else:
+        block = ((h >> U64(32)) * ((2 << level) // 3).astype(U64)[at]) >> U64(32)
+    new = np.ones(len(h), bool)
+    new[1:] = (at[1:] != at[:-1]) | (block[1:] != block[:-1])
+    starts = np.flatnonzero(new)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(len(rows), np.int64)
+    value, count = np.bitwise_xor.reduceat(h, starts), np.diff(np.append(starts, len(h)))
+    own, block = at[starts], block[starts]
+    if not fine:
+        order = np.lexsort((-count, own))  # stable: blocks of as many shingles keep their order
+        own, block, value, count = own[order], block[order], value[order], count[order]
+    filled = np.bincount(own, minlength=len(rows))
+    take = np.arange(len(own)) - np.searchsorted(own, own) <= d[own]
+    own = own[take]
+    tag = (level[own].astype(U64) << U64(57)) ^ (U64(0) if fine else count[take].astype(U64) << U64(1) | U64(1))
+    return rows[own], mixed(mixed(value[take]) ^ (block[take] * U64(0x9E3779B97F4A7C15)) ^ tag), filled
+
+
 def blocks(first: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, tokens): the first d + 1 blocks of each row in its own band, and in the next if it may link there."""
+    """(row numbers, tokens): the blocks of each row in its own band, and in the next if it may link there."""
     n = np.diff(first)
-    owner = np.repeat(np.arange(len(n)), n)
     band = np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1
     most = 4 * n // 3  # shingles of the largest partner
-    rows_out, tokens_out = [], []
+    rows_out, tokens_out = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
     for up in (0, 1):
         level = band + up
-        enters = (n > 0) & ((up == 0) | (most >= (1 << level)))
         d = (n + (np.minimum(most, (2 << level) - 1) if not up else most)) // 7
-        use = np.flatnonzero(enters[owner])
-        own, h = owner[use], hashes[use]
-        at = level[own]
-        shift = np.where(at < SINGLE, 0, 63 - at).astype(U64)  # 2**(level + 1) ranges of hashes
-        block = h >> shift
-        new = np.ones(len(use), bool)
-        new[1:] = (own[1:] != own[:-1]) | (block[1:] != block[:-1])
-        starts = np.flatnonzero(new)
-        if not len(starts):
-            continue
-        value = np.bitwise_xor.reduceat(h, starts)
-        own, block = own[starts], block[starts]
-        rank = np.arange(len(own)) - np.searchsorted(own, own)
-        take = rank <= d[own]
-        own = own[take]
+        enters = (n > 0) & ((up == 0) | (most >= (1 << level)))
+        short = enters & (level < SINGLE)
+        large = np.flatnonzero(enters & ~short)
+        own, tokens, filled = _ranges(first, hashes, large, level[large], d[large], False)
+        rows_out.append(own)
+        tokens_out.append(tokens)
+        short[large] = filled <= d[large]
+        small = np.flatnonzero(short)
+        own, tokens, _ = _ranges(first, hashes, small, level[small], d[small], True)
         rows_out.append(own)
-        tokens_out.append(mixed(mixed(value[take]) ^ (block[take] * U64(0x9E3779B97F4A7C15)) ^ (level[own].astype(U64) << U64(57))))
-    if not rows_out:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
+        tokens_out.append(tokens)
     return np.concatenate(rows_out), np.concatenate(tokens_out)
 
 
@@ -253,7 +277,9 @@ def _linked(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     pairs = keep(pairs)
     wanted = _fetched(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs, n)
     side = lambda x: wanted.select(F.col("id").alias(x), F.col("h").alias("h" + x))
-    return keep(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long").distinct())
+    out = keep(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long").distinct())
+    drop(pairs, wanted)
+    return out
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -332,13 +358,15 @@ def _across(groups: DataFrame, sketches: DataFrame, docs: DataFrame, n: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     kind = "token long, x long, y long, rep long, component long"
-    picked = spread
+    picked: list[DataFrame] = []
     for marks in ("coarse", "sketch"):
-        rows = picked.join(sketches, "rep").select("token", "x", "y", "rep", "component", "n_shingles", F.col(marks).alias("sketch"))
-        picked = keep(by_cell(rows).mapInArrow(pick, kind))
-        release(docs)
-    wanted = _fetched(picked.select(F.col("rep").alias("id")).distinct(), docs, n).withColumnRenamed("id", "rep")
-    return keep(by_cell(picked.join(wanted, "rep").select("token", "x", "y", "rep", "component", "h")).mapInArrow(settle, "a long, b long").distinct())
+        rows = (picked[-1] if picked else spread).join(sketches, "rep").select("token", "x", "y", "rep", "component", "n_shingles", F.col(marks).alias("sketch"))
+        picked.append(keep(by_cell(rows).mapInArrow(pick, kind)))
+    wanted = _fetched(picked[-1].select(F.col("rep").alias("id")).distinct(), docs, n)
+    sets = picked[-1].join(wanted.withColumnRenamed("id", "rep"), "rep").select("token", "x", "y", "rep", "component", "h")
+    out = keep(by_cell(sets).mapInArrow(settle, "a long, b long").distinct())
+    drop(*picked, wanted)
+    return out
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, make=blocks) -> dict[str, DataFrame]:
@@ -358,20 +386,28 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     same_id = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     # Groups with the same smallest class are one group, named by it: many blocks, one set of classes.
     stars = keep(_stars(_tokens(docs.where("id is not null"), n, make)))
-    release(docs)
     side = lambda x: member.select(F.col("id").alias(x), F.col("rep").alias("r" + x), F.col("n_shingles").alias("n" + x))
-    stars = stars.join(side("b"), "b").join(side("a"), "a").where("ra <> rb")
+    met = stars.join(side("b"), "b").join(side("a"), "a").where("ra <> rb")
     both = F.explode(F.array(F.struct("ra", F.col("rb").alias("rep"), F.col("nb").alias("n")), F.struct("ra", F.col("ra").alias("rep"), F.col("na").alias("n"))))
-    group = keep(stars.select(both.alias("g")).select(F.col("g.ra").alias("token"), "g.rep", F.col("g.n").alias("n_shingles")).distinct())
+    group = keep(met.select(both.alias("g")).select(F.col("g.ra").alias("token"), "g.rep", F.col("g.n").alias("n_shingles")).distinct())
+    drop(stars)
     wanted = group.select(F.col("rep").alias("id")).distinct()
     sketches = keep(real.join(wanted, "id", "left_semi").select(F.col("id").alias("rep"), "n_shingles", "sketch", "coarse").dropDuplicates(["rep", "n_shingles"]))
     pairs = group.where("rep <> token").select(F.col("token").alias("a"), F.col("rep").alias("b"))
-    links = _linked(_near(pairs, sketches), docs, n)
-    first = keep(components(links.union(same_id)))
+    # Each class meets the smallest of all groups' first, then those of other components only.
+    least = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    near = _linked(_near(least, sketches), docs, n)
+    first = keep(components(near.union(same_id)))
+    part = lambda x: first.select(F.col("node").alias(x), F.col("component").alias("c" + x))
+    more = pairs.join(least, ["a", "b"], "left_anti").join(part("a"), "a", "left").join(part("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    more = _linked(_near(more, sketches), docs, n)
+    drop(first)
+    first = keep(components(near.union(more).union(same_id)))
     placed = group.join(first, group.rep == first.node, "left").select("token", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
     open_ = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.sum("n_shingles").alias("n")).where("lo <> hi and c > 2").select("token", F.ceil(F.greatest(F.col("c") / CELL, F.col("n") / CELL_SHINGLES)).alias("cells"))
-    release(docs)
-    links = keep(links.union(_across(placed.drop("n_shingles").join(open_, "token"), sketches, docs, n)).union(same_id))
+    far = _across(placed.drop("n_shingles").join(open_, "token"), sketches, docs, n)
+    links = keep(near.union(more).union(far).union(same_id))
+    drop(group, sketches, first, near, more, far)
     last = keep(components(links))
     involved = member.join(last, F.col("rep") == F.col("node"), "left").where("copies > 1 or node is not null")
     joined = rows.join(classes, sets, "left").join(last, F.col("rep") == F.col("node"), "left")

@@ -16,7 +16,6 @@ not read; a text of any length is one segment at most.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .kernels import column, texts_of
 from .tokens import encoder
-from .workspace import prepared
+from .workspace import fresh_path, prepared
 
 SEGMENT = 1 << 20
 END = 0
@@ -228,17 +227,6 @@ def occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
     return spark.read.parquet(path).select("shard", "at", "matrix").mapInArrow(run, "shard int, at long, n long")
 
 
-def fresh_path(spark: SparkSession) -> str:
-    """A new folder beside the session's checkpoints, which all executors reach."""
-    from .workspace import keep
-
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if found.isEmpty():
-        keep(spark.range(1))
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return f"{found.get()}/wavelet-{uuid.uuid4().hex}"
-
-
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """The contract's columns, read back from files."""
     to = fresh_path(docs.sparkSession)
