@@ -247,6 +247,12 @@ def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def among(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """A semi- or anti-join with distinct keys, which are broadcast if they are few: then no text is shuffled."""
+    keys = keys.distinct()
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, keys.columns, how)
+
+
 def _fetched(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """(id, h): the shingle sets of the given distinct ids, made again from the texts."""
 
@@ -255,8 +261,7 @@ def _fetched(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
             raw = [hashes[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(raw, pa.binary())], names=["id", "h"])
 
-    few = ids.count() <= BROADCAST_IDS
-    return keep(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(sets, "id long, h binary"))
+    return keep(among(docs, ids, "left_semi").mapInArrow(sets, "id long, h binary"))
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:

@@ -12,13 +12,17 @@ windows of ``ANCHOR_WORDS`` words, which depends on its own words only, so equal
 stretches whose name comes again are compared by their whole hash (64 bits).  None is lost.  Copies with changed words
 are found as lines (above), or in their unchanged stretches of ``RUN_WORDS`` words.
 
+Documents of equal texts (told apart by 128-bit hashes) are one class: only its smallest id is compared with others,
+and the verdicts of the rest, all of whose lines and stretches are repeats, follow from it.
+
 Of each component, and of each repeated stretch of ``RUN_WORDS`` words, the occurrence with the smallest document id
 stays; of a stretch, the smallest one that no removed line cuts, if there is any.  Each stretch has its own verdict,
 and a word that any kept stretch holds is kept, so what remains of a removed passage may be shorter than a stretch.
 
 Defined results: a null, empty or wordless text has no paragraphs; repeats within one document only are no repeats
 across documents; rows without an id are left out; rows that share an id are one document; a repeated row is a
-copy of its document only if the ids differ; an empty table gives no rows; other columns are not read.
+copy of its document only if the ids differ; ids may be any 64-bit numbers, and texts have any number of lines; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .jaccard import join, shared
+from .jaccard import among, join, shared
 from .kernels import PLACE, U64, VISIBLE, Words, column, list_values, mixed, rolling, texts_of
-from .workspace import keep, prepared
+from .workspace import drop, keep, prepared
 
 BANDS, ROWS = 9, 3
 MIN_WORDS, ANCHOR_WORDS, RUN_WORDS = 16, 13, 24
-#: A unit's number is its document's id and place: 39 bits for ids, 24 for places.
-PLACE_BITS = 24
+#: A line of ``MIN_WORDS`` words has so many bytes at least.
+_LINE_BYTES = 2 * MIN_WORDS - 1
 
 
 def bands(first: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,24 +73,32 @@ class Units:
         self.n_words = self.last - self.first + 1
         self.text = words.text[self.first]
         self.starts, self.ends = words.starts[self.first], words.ends[self.last]
-        self.number = np.arange(len(self.first)) - np.searchsorted(self.text, self.text)
 
 
-def _units(docs: DataFrame) -> DataFrame:
-    """(id, text, doc_id, start, end, n_words) of each paragraph; start and end are bytes of the document."""
+def _place_bits(ids: tuple[int, int] | None, longest: int) -> int | None:
+    """Bits for a paragraph's place beside its document's id, or None if both don't fit into 63 bits."""
+    bits = max(1, (longest // _LINE_BYTES + 1).bit_length())
+    return bits if ids is not None and -(1 << (63 - bits)) <= ids[0] and ids[1] < 1 << (63 - bits) else None
+
+
+def _units(docs: DataFrame, bits: int | None) -> DataFrame:
+    """(id, text, doc_id, start, end, n_words) of each paragraph; start and end are bytes of the document.
+
+    id is the document's id and the paragraph's place in ``bits`` bits; without those, a 64-bit hash of both.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for texts in texts_of(column(batch, "text")):
                 u = Units(Words(texts, VISIBLE))
-                if (u.number >> PLACE_BITS).any() or (np.abs(ids) >> (63 - PLACE_BITS)).any():
-                    raise ValueError("a document's id or its number of lines is beyond what a unit's number holds")
                 use = np.flatnonzero(u.n_words >= MIN_WORDS)
-                doc = ids[texts.first + u.text[use]]
-                low = texts.offsets[u.text[use]]
+                own = u.text[use]
+                doc, place = ids[texts.first + own], np.arange(len(use)) - np.searchsorted(own, own)
+                unit = doc << bits | place if bits is not None else mixed(mixed(doc.view(U64)) + place.astype(U64)).view(np.int64)
+                low = texts.offsets[own]
                 raw = [texts.data[a:b].tobytes().decode() for a, b in zip(u.starts[use].tolist(), u.ends[use].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc << PLACE_BITS | u.number[use]), pa.array(raw, pa.string()), pa.array(doc), pa.array(u.starts[use] - low), pa.array(u.ends[use] - low), pa.array(u.n_words[use])], names=["id", "text", "doc_id", "start", "end", "n_words"])
+                yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(raw, pa.string()), pa.array(doc), pa.array(u.starts[use] - low), pa.array(u.ends[use] - low), pa.array(u.n_words[use])], names=["id", "text", "doc_id", "start", "end", "n_words"])
 
     return docs.mapInArrow(run, "id long, text string, doc_id long, start long, end long, n_words long")
 
@@ -123,19 +135,21 @@ def _names(docs: DataFrame) -> DataFrame:
 
 
 def _repeatable(docs: DataFrame) -> DataFrame:
-    """(hash, doc_id, word, start, end, gone) of the stretches whose names are among their row's ``tokens``.
+    """(hash, doc_id, word, start, end, gone, copied) of the stretches whose names are among their row's ``tokens``.
 
-    gone: a word of it is in one of the row's removed ``lines``, (start, end) pairs in a flat array.
+    gone: a word of it is in one of the row's removed ``lines``, (start, end) pairs in a flat array.  copied: the row
+    has copies, so that all of its stretches come.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, copied = batch.column(0).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
             for texts in texts_of(column(batch, "text")):
                 words = Words(texts, VISIBLE)
                 at, name, hashes = stretches(words)
+                own = copied[texts.first : texts.first + texts.n]
                 # Whether a name comes again doesn't depend on the document, so all rows' names are one set.
-                use = np.isin(name, list_values(batch.column(2).slice(texts.first, texts.n)).view(U64))
+                use = np.isin(name, list_values(batch.column(2).slice(texts.first, texts.n)).view(U64)) | own[words.text[at]]
                 at, hashes = at[use], hashes[use]
                 text = words.text[at]
                 low = texts.offsets[text]
@@ -147,9 +161,9 @@ def _repeatable(docs: DataFrame) -> DataFrame:
                         np.add.at(gone, edges[1::2], -1)
                 inside = np.concatenate([[0], np.cumsum(np.cumsum(gone)[words.starts] > 0)])
                 cut = inside[at + RUN_WORDS] > inside[at]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[texts.first + text]), pa.array((at - words.first[text]).astype(np.int32)), pa.array((words.starts[at] - low).astype(np.int32)), pa.array((words.ends[at + RUN_WORDS - 1] - low).astype(np.int32)), pa.array(cut)], names=["hash", "doc_id", "word", "start", "end", "gone"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[texts.first + text]), pa.array((at - words.first[text]).astype(np.int32)), pa.array((words.starts[at] - low).astype(np.int32)), pa.array((words.ends[at + RUN_WORDS - 1] - low).astype(np.int32)), pa.array(cut), pa.array(own[text])], names=["hash", "doc_id", "word", "start", "end", "gone", "copied"])
 
-    return docs.mapInArrow(run, "hash long, doc_id long, word int, start int, end int, gone boolean")
+    return docs.mapInArrow(run, "hash long, doc_id long, word int, start int, end int, gone boolean, copied boolean")
 
 
 def _spans(stretches: DataFrame) -> DataFrame:
@@ -220,22 +234,40 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     a stretch of a passage.
     """
     docs = prepared(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null and text is not null")
-    units = _units(docs)
+    docs = docs.withColumn("k", F.xxhash64(F.lit(1), "text"))
+    texts = keep(docs.select("doc_id", "k", F.xxhash64(F.lit(2), "text").alias("k2"), F.octet_length("text").alias("n")))
+    least, most, longest = texts.agg(F.min("doc_id"), F.max("doc_id"), F.coalesce(F.max("n"), F.lit(0))).first()
+    classes = texts.groupBy("k", "k2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").drop("last")
+    copies = keep(texts.join(classes, ["k", "k2", "n"]).where("doc_id <> rep").select("rep", "doc_id", "k").distinct())
+    drop(texts)
+    reps = among(docs, copies.select("doc_id", "k"), "left_anti").drop("k")
+    copied = copies.select(F.col("rep").alias("doc_id")).distinct()
+
+    units = _units(reps, _place_bits((least, most) if least is not None else None, longest))
     placed = keep(join(units, id_col="id", make=bands)["members"].distinct())
-    doc_of = lambda c: F.shiftright(c, PLACE_BITS)
-    across = placed.groupBy("component").agg(F.min(doc_of("id")).alias("lo"), F.max(doc_of("id")).alias("hi"), F.count("*").alias("c")).where("lo <> hi").drop("hi", "c")
-    found = keep(placed.join(across, "component").select("id", F.col("component").alias("cluster"), (doc_of("id") > F.col("lo")).alias("removed")))
-    spans = keep(units.drop("text").join(found, "id").select("doc_id", F.lit("paragraph").alias("kind"), F.col("start"), F.col("end"), F.col("n_words"), "cluster", "removed"))
-
-    names = shared(_names(docs)).groupBy("doc_id").agg(F.collect_list("token").alias("tokens"))
+    lines = units.drop("text").join(placed, "id", "left").join(copied.withColumn("copied", F.lit(True)), "doc_id", "left").where("component is not null or copied")
+    lines = keep(lines.select("doc_id", "start", "end", "n_words", F.coalesce("component", "id").alias("cluster"), F.coalesce("copied", F.lit(False)).alias("copied")))
+    across = lines.groupBy("cluster").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bool_or("copied").alias("c")).where("lo <> hi or c").select("cluster", "lo")
+    spans = keep(lines.join(across, "cluster").select("doc_id", F.lit("paragraph").alias("kind"), "start", "end", "n_words", "cluster", (F.col("doc_id") > F.col("lo")).alias("removed")))
+    drop(placed, lines)
+
+    names = shared(_names(reps)).groupBy("doc_id").agg(F.collect_list("token").alias("tokens"))
+    names = keep(names.join(copied.withColumn("copied", F.lit(True)), "doc_id", "full"))
+    gone = spans.where("removed").groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("lines"))
+    wanted = among(reps, names.select("doc_id"), "left_semi").join(names, "doc_id").join(gone, "doc_id", "left")
+    found = _repeatable(wanted.select("doc_id", "text", F.coalesce("tokens", F.array().cast("array<long>")).alias("tokens"), "lines", F.coalesce("copied", F.lit(False)).alias("copied")))
     same = Window.partitionBy("hash")
-    lines = spans.where("removed").groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("lines"))
-    found = _repeatable(docs.join(names.join(lines, "doc_id", "left"), "doc_id").select("doc_id", "text", "tokens", "lines"))
     whole = F.min(F.when(~F.col("gone"), F.col("doc_id"))).over(same)
-    found = found.withColumns({"lo": F.min("doc_id").over(same), "hi": F.max("doc_id").over(same), "whole": whole}).where("lo <> hi")
-    found = found.withColumn("lo", F.coalesce("whole", "lo"))
-    passages = _spans(found.select("doc_id", "lo", "word", "start", "end"))
-    return spans.union(passages)
+    found = found.withColumns({"lo": F.min("doc_id").over(same), "hi": F.max("doc_id").over(same), "whole": whole}).where("lo <> hi or copied")
+    found = keep(found.select("doc_id", F.coalesce("whole", "lo").alias("lo"), "word", "start", "end", "copied"))
+    drop(names)
+
+    # A copy repeats all lines of its text, and its stretches, which touch, are one passage.
+    like = copies.select(F.col("rep").alias("of"), F.col("doc_id").alias("copy")).distinct()
+    more = spans.join(like, F.col("doc_id") == F.col("of")).select(F.col("copy").alias("doc_id"), "kind", "start", "end", "n_words", "cluster", F.lit(True).alias("removed"))
+    whole = found.where("copied").groupBy("doc_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word") + RUN_WORDS).alias("n_words"), F.min("lo").alias("cluster"))
+    whole = whole.join(like, F.col("doc_id") == F.col("of")).select(F.col("copy").alias("doc_id"), F.lit("passage").alias("kind"), *[F.col(c).cast("long").alias(c) for c in ("start", "end", "n_words", "cluster")], F.lit(True).alias("removed"))
+    return spans.union(more).union(_spans(found.select("doc_id", "lo", "word", "start", "end"))).union(whole)
 
 
 def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -87,6 +87,25 @@ def test_no_stretch_is_removed_everywhere(spark):
     assert {w for words in left.values() for w in words} <= {w for _, t in rows for w in t.split()}  # no words are glued
 
 
+def test_copies_follow_their_class(spark):
+    rng = random.Random(15)
+    part, text, tiny = prose(rng, 40), prose(rng, 70, 9), prose(rng, 12)
+    big = 1 << 62
+    rows = [(big + 1, f"{prose(rng, 20)} {part} {prose(rng, 30)}")] + [(big + 10 + i, f"{text[:200]}\n{part}\n{text[200:]}") for i in range(4)]
+    rows += [(-5, tiny), (-6, tiny), (-big, "\n".join([text[:200], text[200:]])), rows[2], (7, prose(rng, 50)), (8, "x " * 3000), (9, "x " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = pg.repeats(df.selectExpr("*", "1 as k", "2 as n", "'x' as rep")).collect()
+    assert {r["doc_id"] for r in got} == {-big, *(big + 10 + i for i in range(4)), big + 1, 8, 9}
+    texts = dict(rows)
+    for r in got:
+        assert len(texts[r["doc_id"]].encode()[r["start"] : r["end"]].decode().split()) == r["n_words"]
+    left = {r["doc_id"]: r["text"].split() for r in pg.remove(df).collect()}
+    assert all(not left[big + 10 + i] for i in range(1, 4)) and not left[9] and len(left[8]) == 3000
+    assert " ".join(left[big + 1]).count(part) == 1 and left[-big] == texts[-big].split()
+    stretches = lambda words: {tuple(words[k : k + pg.RUN_WORDS]) for k in range(len(words) - pg.RUN_WORDS + 1)}
+    assert set().union(*(stretches(t.split()) for t in texts.values())) - {tuple(["x"] * pg.RUN_WORDS)} <= set().union(*map(stretches, left.values())) | stretches(texts[big + 10].split())
+
+
 def test_banding_recall():
     import numpy as np
 
