@@ -1,4 +1,4 @@
-"""The catalog as DataFrames: products, variants, and the flat table that queries run on.
+"""The catalog as DataFrames: products, variants, and the compiled flat table that queries scan (see `index`).
 
 Parts are products.  A variant is a part as one supplier ships it: the lines of a (part, supplier) pair, which
 are the smallest unit with a key.  Suppliers' nations and regions give a two-level category.  Matching is by
@@ -38,7 +38,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each (part, supplier): partial sums before the shuffle, as it is one grouping."""
     line = table(spark, sf_dir, "lineitem")
     return line.groupBy(F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("supplier_id")).agg(
@@ -53,9 +53,21 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("s_suppkey").alias("supplier_id"), F.col("n_name").alias("category"), F.col("r_name").alias("region"), F.concat_ws(" / ", "r_name", "n_name").alias("path"))
 
 
+def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table from its sources: one row for each variant with its product's attributes and category."""
+    return grouped(spark, sf_dir).join(products(spark, sf_dir), "product_id").join(categories(spark, sf_dir), "supplier_id")
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat table: one row for each variant with its product's attributes and category."""
-    return variants(spark, sf_dir).join(products(spark, sf_dir), "product_id").join(categories(spark, sf_dir), "supplier_id")
+    """The flat table as the index has it: a scan."""
+    from .index import opened
+
+    return opened(spark, sf_dir).table(spark, "catalog")
+
+
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variants' own columns in the index."""
+    return catalog(spark, sf_dir).select("product_id", "supplier_id", "returnflag", "linestatus", "quantity", "price_cents", "units", "variant_id", "ordinal")
 
 
 def with_ordinal(df: DataFrame, *order: str, name: str = "ordinal") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import ATTRIBUTES
 from ..model import Category, Constraint, Enum, EnumAny, Multi, Num, Request
-from .predicates import all_match
+from .predicates import all_match, where_all
 from .search import page
 
 
@@ -20,6 +20,11 @@ def facet(rows: DataFrame, attr: str) -> DataFrame:
     return rows.select(value.alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n")).select(F.lit(attr).alias("facet"), "value", "n")
 
 
+def whole_facet(counts: DataFrame, attr: str) -> DataFrame:
+    """A facet of the whole catalog, from the counts that the index holds."""
+    return counts.where(F.col("facet") == attr)
+
+
 def single_facet(rows: DataFrame, attr: str) -> DataFrame:
     """Facet counts of single-valued attributes; many-valued ones have none."""
     out = facet(rows, attr)
@@ -48,40 +53,72 @@ def scope(r: Request, without: str | None = None) -> Column:
     return all_match([c for a, cs in conditions(r).items() if a is None or a != without for c in cs])
 
 
+def in_scope(catalog: DataFrame, r: Request) -> DataFrame:
+    """The rows of a request, by filters that the scan can push."""
+    return where_all(catalog, [c for cs in conditions(r).values() for c in cs])
+
+
 def check(catalog: DataFrame, r: Request) -> None:
     """An unknown category is an error, not an empty result."""
     if r.category is not None and catalog.where(F.col("category") == r.category).isEmpty():
         raise ValueError(f"unknown category: {r.category}")
 
 
+def _entries(attrs: tuple[str, ...], counts_for) -> Column:
+    """One struct (facet, values, for) for each attribute; ``counts_for`` says for whom the row's values count."""
+    out = []
+    for a in attrs:
+        name, kind = ATTRIBUTES[a]
+        values = F.array_distinct(name) if kind == "multi" else F.array(F.col(name).cast("string"))
+        out.append(F.struct(F.lit(a).alias("facet"), values.alias("values"), counts_for(a).alias("for")))
+    return F.array(*out)
+
+
 def facets(catalog: DataFrame, r: Request) -> DataFrame:
-    """All facets of a request; each is counted without its own filter."""
+    """All facets of a request in one pass; each is counted without its own filter.
+
+    A row that fails the filters of one attribute only still counts for that attribute's facet, so each row bears a
+    bit for each attribute it fails, and rows with two bits or more go at once.
+    """
     own = conditions(r)
-    plain = catalog.where(scope(r))
-    parts = [facet(catalog.where(scope(r, a)) if a in own else plain, a) for a in r.facets]
-    return reduce(DataFrame.union, parts)
+    groups = [a for a in own if a is not None]
+    failed = reduce(lambda x, y: x.bitwiseOR(y), [F.when(all_match(own[a]), F.lit(0)).otherwise(F.lit(1 << i)).cast("long") for i, a in enumerate(groups)], F.lit(0).cast("long"))
+    rows = where_all(catalog, own[None]).withColumn("_failed", failed).where(F.bit_count("_failed") <= 1)
+    counts = lambda a: F.col("_failed").isin(0, 1 << groups.index(a)) if a in groups else F.col("_failed") == 0
+    entries = rows.select(F.explode(F.filter(_entries(r.facets, counts), lambda e: e["for"])).alias("e"))
+    return entries.select("e.facet", F.explode("e.values").alias("value")).where("value is not null").groupBy("facet", "value").agg(F.count("*").alias("n"))
+
+
+#: Requests whose bits one number holds.
+_BITS = 62
 
 
 def facets_of_many(catalog: DataFrame, requests: dict[str, Request]) -> DataFrame:
     """(request, facet, value, n) of many requests in one pass over the catalog.
 
-    Each row is tested against all requests; for each facet it goes once to every request that it counts for, and
-    the counts are summed before the shuffle.
+    Each row is tested against all requests, and the set of those that a facet's values count for is a bitmask.
+    Rows are summed by facet, value and mask; only the few sums are then dealt out to the requests.
     """
-    entries, attrs = [], sorted({a for r in requests.values() for a in r.facets})
-    for a in attrs:
-        name, kind = ATTRIBUTES[a]
-        values = F.array_distinct(name) if kind == "multi" else F.array(F.col(name).cast("string"))
-        who = F.array_compact(F.array(*[F.when(scope(r, a), F.lit(k)) for k, r in requests.items() if a in r.facets]))
-        entries.append(F.struct(F.lit(a).alias("facet"), values.alias("values"), who.alias("who")))
-    rows = catalog.select(F.explode(F.array(*entries)).alias("e")).select("e.facet", F.explode("e.values").alias("value"), F.col("e.who").alias("who"))
-    return rows.where("value is not null").select(F.explode("who").alias("request"), "facet", "value").groupBy("request", "facet", "value").agg(F.count("*").alias("n"))
+    names = list(requests)
+    attrs = tuple(sorted({a for r in requests.values() for a in r.facets}))
+    chunks = [names[k : k + _BITS] for k in range(0, len(names), _BITS)]
+
+    def mask(a: str) -> Column:
+        bit = lambda i, k: F.when(scope(requests[k], a), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+        own = [[bit(i, k) for i, k in enumerate(c) if a in requests[k].facets] for c in chunks]
+        return F.array(*[reduce(lambda x, y: x.bitwiseOR(y), bits, F.lit(0).cast("long")) for bits in own])
+
+    rows = catalog.select(F.explode(F.filter(_entries(attrs, mask), lambda e: F.exists(e["for"], lambda m: m != 0))).alias("e"))
+    sums = rows.select("e.facet", F.explode("e.values").alias("value"), F.col("e.for").alias("for")).where("value is not null").groupBy("facet", "value", "for").agg(F.count("*").alias("c"))
+    who = F.array(*[F.struct(F.lit(n).alias("request"), F.lit(k // _BITS).alias("at"), F.lit(1 << k % _BITS).cast("long").alias("bit")) for k, n in enumerate(names)])
+    asked = F.filter(who, lambda w: F.get(F.col("for"), w["at"]).bitwiseAND(w["bit"]) != 0)
+    return sums.select(F.explode(asked).alias("w"), "facet", "value", "c").groupBy(F.col("w.request").alias("request"), "facet", "value").agg(F.sum("c").alias("n"))
 
 
 def browse(catalog: DataFrame, r: Request) -> dict[str, DataFrame]:
     """The count, the page of ids and the facets of a request."""
     check(catalog, r)
-    rows = catalog.where(scope(r))
+    rows = in_scope(catalog, r)
     return {"num_found": rows.agg(F.count("*").alias("num_found")), "docs": page(rows, r), "facets": facets(catalog, r)}
 
 

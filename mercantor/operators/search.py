@@ -9,32 +9,40 @@ from pyspark.sql import functions as F
 
 from ..functions.text import space_tokens
 from ..model import Query, Request
-from .predicates import matches, preference_score, query_matches
+from .predicates import matches, preference_score, where_all
 
 IDS = ("product_id", "variant_id")
 
 
 def execute(catalog: DataFrame, q: Query) -> DataFrame:
-    """(product_id, variant_id) of the variants that meet all constraints; Catalyst pushes what the scan can prune."""
-    return catalog.where(query_matches(q)).select(*IDS)
+    """(product_id, variant_id) of the variants that meet all constraints; comparisons reach the scan as pushed filters."""
+    return where_all(catalog, q.constraints).select(*IDS)
 
 
-def text_score(residual: tuple[str, ...]) -> Column:
-    """Two for each leftover word in the title, one for each in other texts (here, the words attribute)."""
-    title, other = space_tokens("title"), F.transform("words", F.lower)
+def title_tokens(catalog: DataFrame) -> Column:
+    """The titles' words: as the index holds them, or split now in a table that was not compiled."""
+    return F.col("title_tokens") if "title_tokens" in catalog.columns else space_tokens("title")
+
+
+def text_score(residual: tuple[str, ...], title: Column) -> Column:
+    """Two for each leftover word in the title, one for each in other texts (here, the words attribute).
+
+    The index holds the titles' tokens, so no title is split while a query runs.
+    """
+    other = F.transform("words", F.lower)
     parts = [F.when(F.array_contains(title, w.lower()), 2.0).otherwise(0.0) + F.when(F.array_contains(other, w.lower()), 1.0).otherwise(0.0) for w in residual]
     return reduce(lambda a, b: a + b, parts, F.lit(0.0))
 
 
 def ranked(catalog: DataFrame, q: Query, k: int) -> DataFrame:
     """The k best: preferences score if there are any, leftover words otherwise; ties by ids."""
-    score = preference_score(q.preferences) if q.preferences else text_score(q.residual)
-    return catalog.where(query_matches(q)).select(*IDS, score.alias("score")).orderBy(F.desc("score"), *IDS).limit(k)
+    score = preference_score(q.preferences) if q.preferences else text_score(q.residual, title_tokens(catalog))
+    return where_all(catalog, q.constraints).select(*IDS, score.alias("score")).orderBy(F.desc("score"), *IDS).limit(k)
 
 
 def narrowed(catalog: DataFrame, candidates: DataFrame, q: Query, k: int) -> DataFrame:
     """Candidates that still meet the constraints, in the order of ids, with score 0."""
-    return catalog.join(candidates.select("variant_id"), "variant_id", "left_semi").where(query_matches(q)).select(*IDS, F.lit(0.0).alias("score")).orderBy(*IDS).limit(k)
+    return where_all(catalog, q.constraints).join(candidates.select("variant_id"), "variant_id", "left_semi").select(*IDS, F.lit(0.0).alias("score")).orderBy(*IDS).limit(k)
 
 
 def tiered(catalog: DataFrame, q: Query, k: int) -> DataFrame:

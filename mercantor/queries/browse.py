@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import SQL, catalog, categories
+from ..index import opened
 from ..model import Brand, BrandAny, Category, Enum, Multi, Num, Preference, PriceUnder, ProductType, Query, Request
 from ..operators import facets as fx
-from ..operators.predicates import all_match
+from ..operators.predicates import where_all as kept_all
 from ..operators.search import IDS, after, legacy_sort_key, page, ranked, sort_key, tiered
 from ..plans.sql import where, where_all
 from ..registry import query
@@ -73,13 +74,13 @@ _PAGE = Request(filters=(("returnflag", "R"),), sort="price_cents", top_k=500, o
 @query(f"{SQL} SELECT product_id, variant_id, CAST(price_cents AS DOUBLE) AS sort_value FROM catalog WHERE {where(Enum('returnflag', 'R'))} ORDER BY price_cents DESC, product_id, variant_id LIMIT 200 OFFSET 30")
 def r_page_sorted(spark, d):
     """The page size is held to 200."""
-    return page(catalog(spark, d).where(fx.scope(_PAGE)), _PAGE)
+    return page(fx.in_scope(catalog(spark, d), _PAGE), _PAGE)
 
 
 @query(f"{SQL} SELECT product_id, variant_id, CAST(NULL AS DOUBLE) AS sort_value FROM catalog WHERE {where(Enum('returnflag', 'R'))} ORDER BY product_id, variant_id LIMIT 48")
 def r_page_unsorted(spark, d):
     r = Request(filters=(("returnflag", "R"),))
-    return page(catalog(spark, d).where(fx.scope(r)), r)
+    return page(fx.in_scope(catalog(spark, d), r), r)
 
 
 @query(f"{SQL} SELECT product_id, variant_id FROM catalog WHERE brand = 'Brand#17' AND (product_id, variant_id) > (500, 500000000) ORDER BY product_id, variant_id LIMIT 25")
@@ -89,7 +90,7 @@ def r_keyset_page(spark, d):
 
 @query(f"{SQL} SELECT title, product_id, variant_id FROM catalog WHERE {where(PriceUnder(150000))} ORDER BY title, product_id, variant_id LIMIT 40")
 def r_title_sorted(spark, d):
-    return catalog(spark, d).where(all_match([PriceUnder(150000)])).select("title", *IDS).orderBy("title", *IDS).limit(40)
+    return kept_all(catalog(spark, d), [PriceUnder(150000)]).select("title", *IDS).orderBy("title", *IDS).limit(40)
 
 
 def _facet_sql(attr: str, cond: str) -> str:
@@ -102,8 +103,8 @@ def _facet_sql(attr: str, cond: str) -> str:
 
 for _attr in ("returnflag", "linestatus", "words", "brand", "product_type", "category"):
     _cs = (PriceUnder(3000000), Enum("returnflag", "N"))
-    query(f"{SQL} {_facet_sql(_attr, where_all(_cs))}", f"a_facet_{_attr}")(lambda spark, d, a=_attr, cs=_cs: fx.facet(catalog(spark, d).where(all_match(cs)), a))
-    query(f"{SQL} {_facet_sql(_attr, 'TRUE')}", f"a_facet_all_{_attr}")(lambda spark, d, a=_attr: fx.facet(catalog(spark, d), a))
+    query(f"{SQL} {_facet_sql(_attr, where_all(_cs))}", f"a_facet_{_attr}")(lambda spark, d, a=_attr, cs=_cs: fx.facet(kept_all(catalog(spark, d), cs), a))
+    query(f"{SQL} {_facet_sql(_attr, 'TRUE')}", f"a_facet_all_{_attr}")(lambda spark, d, a=_attr: fx.whole_facet(opened(spark, d).table(spark, "facets"), a))
 
 _REQUEST = Request(category="NATION_3", filters=(("returnflag", "N"),), any_filters=(("words", ("red", "small")), ("brand", ("Brand#12", "Brand#17", "Brand#21"))), ranges=(("quantity", "<", 40.0),), facets=("returnflag", "words", "brand", "product_type", "linestatus"), sort="price_cents", descending=False)
 
@@ -147,8 +148,7 @@ def p_browse_many(spark, d):
 @query(f"""{SQL}, f AS ({_facet_sql('category', 'TRUE')} UNION ALL {_facet_sql('brand', 'TRUE')})
 SELECT facet, value, n, place FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS place FROM f) WHERE place <= 5""")
 def r_top_facet_values(spark, d):
-    c = catalog(spark, d)
-    return fx.top_values(fx.facet(c, "category").union(fx.facet(c, "brand")), 5)
+    return fx.top_values(opened(spark, d).table(spark, "facets").where("facet in ('category', 'brand')"), 5)
 
 
 @query(f"{SQL} SELECT region, category, count(*) AS suppliers FROM category GROUP BY region, category")
@@ -161,4 +161,4 @@ _B = BrandAny(("Brand#12", "Brand#17"))
 
 @query(f"{SQL} SELECT count(DISTINCT returnflag) AS returnflags, count(DISTINCT brand) AS brands, count(DISTINCT product_type) AS product_types FROM catalog WHERE {where(_B)}")
 def a_cardinalities(spark, d):
-    return catalog(spark, d).where(all_match([_B])).agg(F.countDistinct("returnflag").alias("returnflags"), F.countDistinct("brand").alias("brands"), F.countDistinct("product_type").alias("product_types"))
+    return kept_all(catalog(spark, d), [_B]).agg(F.countDistinct("returnflag").alias("returnflags"), F.countDistinct("brand").alias("brands"), F.countDistinct("product_type").alias("product_types"))

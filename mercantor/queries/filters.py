@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import SQL, catalog, effective, table, with_ordinal
+from ..catalog import SQL, catalog, effective, table
 from ..model import Bool, Brand, BrandAny, Category, Enum, EnumAny, Multi, Num, PriceOver, PriceUnder, ProductType, ProductTypeAny, Query, Text
-from ..operators.predicates import all_match, matches, number_matches
+from ..operators.predicates import matches, number_matches
+from ..operators.predicates import where_all as kept_all
 from ..operators.search import IDS, execute
 from ..plans.sql import where, where_all
 from ..registry import query
@@ -54,24 +55,22 @@ def f_nan_and_missing(spark, d):
 
 @query(f"{SQL} SELECT count(*) AS n, count(DISTINCT product_id) AS products FROM catalog WHERE {where_all(CASES['f_execute'])}")
 def f_candidate_counts(spark, d):
-    return catalog(spark, d).where(all_match(CASES["f_execute"])).agg(F.count("*").alias("n"), F.countDistinct("product_id").alias("products"))
+    return kept_all(catalog(spark, d), CASES["f_execute"]).agg(F.count("*").alias("n"), F.countDistinct("product_id").alias("products"))
 
 
 @query(f"{SQL} SELECT DISTINCT product_id FROM catalog WHERE {where(Brand('Brand#17'))}")
 def f_candidate_products(spark, d):
-    return catalog(spark, d).where(matches(Brand("Brand#17"))).select("product_id").distinct()
+    return kept_all(catalog(spark, d), [Brand("Brand#17")]).select("product_id").distinct()
 
 
 @query(f"{SQL} SELECT product_id, variant_id FROM catalog WHERE {where(Brand('Brand#17'))} ORDER BY product_id, variant_id LIMIT 20")
 def f_first_n(spark, d):
-    return catalog(spark, d).where(matches(Brand("Brand#17"))).select(*IDS).orderBy(*IDS).limit(20)
+    return kept_all(catalog(spark, d), [Brand("Brand#17")]).select(*IDS).orderBy(*IDS).limit(20)
 
 
 @query(f"{SQL} SELECT variant_id, row_number() OVER (ORDER BY product_id, variant_id) - 1 AS ordinal FROM variant")
 def f_ordinals(spark, d):
-    from ..catalog import variants
-
-    return with_ordinal(variants(spark, d).select(*IDS), *IDS).select("variant_id", "ordinal")
+    return catalog(spark, d).select("variant_id", "ordinal")
 
 
 @query(f"{SQL} SELECT variant_id, CASE WHEN units > 1 THEN 'lot' ELSE brand END AS brand, title FROM catalog")
@@ -89,7 +88,7 @@ _A, _B = (Brand("Brand#17"), Enum("returnflag", "R")), (ProductType("ECONOMY"),
 def _set(kind: str):
     def run(spark, d):
         c = catalog(spark, d)
-        a, b = (c.where(all_match(x)).select("variant_id") for x in (_A, _B))
+        a, b = (kept_all(c, x).select("variant_id") for x in (_A, _B))
         return {"INTERSECT": a.intersect, "UNION": lambda y: a.union(y).distinct(), "EXCEPT": a.subtract}[kind](b)
 
     return run
@@ -101,7 +100,7 @@ for _kind in ("INTERSECT", "UNION", "EXCEPT"):
 
 @query(f"{SQL} SELECT count(*) AS n FROM catalog WHERE {where_all(_A + _B)}")
 def u_intersection_count(spark, d):
-    return catalog(spark, d).where(all_match(_A + _B)).agg(F.count("*").alias("n"))
+    return kept_all(catalog(spark, d), _A + _B).agg(F.count("*").alias("n"))
 
 
 _EDGES = (100000, 1000000, 2000000, 4000000)
