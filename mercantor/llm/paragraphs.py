@@ -31,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard import among, join, shared
-from .kernels import PLACE, U64, VISIBLE, Words, column, list_values, mixed, rolling, texts_of
+from .kernels import PLACE, U64, VISIBLE, Words, column, list_array, list_values, mixed, rolling, texts_of
 from .workspace import drop, keep, prepared
 
 BANDS, ROWS = 9, 3
@@ -134,11 +134,16 @@ def _names(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "token long, doc_id long")
 
 
+#: Consecutive stretches of one name that a run holds at most; its first and last one have all of its words.
+_RUN = RUN_WORDS - ANCHOR_WORDS + 1
+_STRETCHES = "token long, run long, doc_id long, word int, n int, hashes array<long>, starts array<int>, ends array<int>, gone int, copied boolean"
+
+
 def _repeatable(docs: DataFrame) -> DataFrame:
-    """(hash, doc_id, word, start, end, gone, copied) of the stretches whose names are among their row's ``tokens``.
+    """Runs of consecutive stretches of one name (`_STRETCHES`) whose names are among their row's ``tokens``.
 
-    gone: a word of it is in one of the row's removed ``lines``, (start, end) pairs in a flat array.  copied: the row
-    has copies, so that all of its stretches come.
+    run: a hash of all of a run's words.  gone: a bit for each stretch, set if a word of it is in one of the row's
+    removed ``lines``, (start, end) pairs in a flat array.  copied: the row has copies, so that all of its runs come.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +155,9 @@ def _repeatable(docs: DataFrame) -> DataFrame:
                 own = copied[texts.first : texts.first + texts.n]
                 # Whether a name comes again doesn't depend on the document, so all rows' names are one set.
                 use = np.isin(name, list_values(batch.column(2).slice(texts.first, texts.n)).view(U64)) | own[words.text[at]]
-                at, hashes = at[use], hashes[use]
+                at, name, hashes = at[use], name[use], hashes[use]
+                if not len(at):
+                    continue
                 text = words.text[at]
                 low = texts.offsets[text]
                 gone = np.zeros(len(texts.data) + 1, np.int32)
@@ -161,13 +168,47 @@ def _repeatable(docs: DataFrame) -> DataFrame:
                         np.add.at(gone, edges[1::2], -1)
                 inside = np.concatenate([[0], np.cumsum(np.cumsum(gone)[words.starts] > 0)])
                 cut = inside[at + RUN_WORDS] > inside[at]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[texts.first + text]), pa.array((at - words.first[text]).astype(np.int32)), pa.array((words.starts[at] - low).astype(np.int32)), pa.array((words.ends[at + RUN_WORDS - 1] - low).astype(np.int32)), pa.array(cut), pa.array(own[text])], names=["hash", "doc_id", "word", "start", "end", "gone", "copied"])
+                new = np.ones(len(at), bool)
+                new[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)
+                k = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+                first = np.flatnonzero(k % _RUN == 0)
+                n = np.diff(np.append(first, len(at)))
+                last = first + n - 1
+                whole = mixed(mixed(hashes[first]) * PLACE[7] + hashes[last] + n.astype(U64))
+                bits = np.bitwise_or.reduceat(cut.astype(np.int32) << (k % _RUN).astype(np.int32), first)
+                flat = [hashes.view(np.int64), (words.starts[at] - low).astype(np.int32), (words.ends[at + RUN_WORDS - 1] - low).astype(np.int32)]
+                lists = [list_array(x, n, t) for x, t in zip(flat, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(name[first].view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[texts.first + text[first]]), pa.array((at[first] - words.first[text[first]]).astype(np.int32)), pa.array(n.astype(np.int32)), *lists, pa.array(bits), pa.array(own[text[first]])], names=["token", "run", "doc_id", "word", "n", "hashes", "starts", "ends", "gone", "copied"])
+
+    return docs.mapInArrow(run, _STRETCHES)
+
+
+def _kept_by(rows: DataFrame, key: str, gone: Column, *more: Column) -> DataFrame:
+    """(key, lo, hi, whole, ...): the smallest and largest document of each group, and the smallest that isn't gone.
 
-    return docs.mapInArrow(run, "hash long, doc_id long, word int, start int, end int, gone boolean, copied boolean")
+    A partial aggregate, so a group of any size is fine; whoever needs it at the rows joins it back.
+    """
+    return rows.groupBy(key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.when(~gone, F.col("doc_id"))).alias("whole"), *more)
+
+
+def _verdicts(runs: DataFrame) -> DataFrame:
+    """(doc_id, lo, word, n, start, end, copied) of the repeated stretches: lo is the document that keeps them.
+
+    Where all documents of a name have the same run, it is judged as one; the stretches of other runs one by one.
+    """
+    whole = F.expr("shiftleft(1, n) - 1")
+    cols = ["doc_id", F.coalesce("whole", "lo").alias("lo"), "word", "n", "start", "end", "copied"]
+    names = _kept_by(runs, "token", F.col("gone") != 0, (F.min("run") == F.max("run")).alias("same"), F.bool_or((F.col("gone") != 0) & (F.col("gone") != whole)).alias("partly"))
+    judged = runs.join(names.select("token", "lo", "hi", "whole", (F.col("same") & ~F.col("partly")).alias("pure")), "token")
+    pure = judged.where("pure and (lo <> hi or copied)").withColumns({"start": F.col("starts")[0], "end": F.element_at("ends", -1)}).select(*cols)
+    other = judged.where("not pure").select("doc_id", "word", "gone", "copied", "starts", "ends", F.posexplode("hashes").alias("i", "hash"))
+    each = other.select("hash", "doc_id", (F.col("word") + F.col("i")).alias("word"), F.lit(1).alias("n"), F.col("starts")[F.col("i")].alias("start"), F.col("ends")[F.col("i")].alias("end"), F.expr("(gone & shiftleft(1, i)) <> 0").alias("gone"), "copied")
+    found = each.join(_kept_by(each, "hash", F.col("gone")), "hash").where("lo <> hi or copied").select(*cols)
+    return pure.union(found)
 
 
 def _spans(stretches: DataFrame) -> DataFrame:
-    """Spans of the repeated stretches (doc_id, lo, word, start, end), where lo is the document that keeps it.
+    """Spans of the repeated stretches (doc_id, lo, word, n, start, end), where lo is the document that keeps them.
 
     Stretches of the same verdict that overlap or touch are one span.  A word that a kept stretch holds is kept.
     """
@@ -180,17 +221,17 @@ def _spans(stretches: DataFrame) -> DataFrame:
         cluster = np.minimum.reduceat(lo, at) if len(doc) else lo
         return _passages(doc[at], start[at], end[to], last[to] - first[at], cluster, np.full(len(at), removed))
 
-    def spans(doc, lo, word, start, end) -> Iterator[pa.RecordBatch]:
-        doc, lo, word, start, end = (x.astype(np.int64) for x in (doc, lo, word, start, end))
-        n, kept = len(doc), doc == lo
-        yield merged(doc[kept], lo[kept], word[kept], word[kept] + RUN_WORDS, start[kept], end[kept], False)
+    def spans(doc, lo, word, size, start, end) -> Iterator[pa.RecordBatch]:
+        doc, lo, word, size, start, end = (x.astype(np.int64) for x in (doc, lo, word, size, start, end))
+        n, kept, to = len(doc), doc == lo, word + size - 1 + RUN_WORDS
+        yield merged(doc[kept], lo[kept], word[kept], to[kept], start[kept], end[kept], False)
         # Of a removed stretch, the words between the kept stretches before and after it; one byte at least parts words.
         before = np.maximum.accumulate(np.where(kept, np.arange(n), -1))
         after = np.minimum.accumulate(np.where(kept, np.arange(n), n)[::-1])[::-1]
         b, a = np.maximum(before, 0), np.minimum(after, n - 1)
-        late = (before >= 0) & (doc[b] == doc) & (word[b] + RUN_WORDS > word)
-        early = (after < n) & (doc[a] == doc) & (word[a] < word + RUN_WORDS)
-        first, last = np.where(late, word[b] + RUN_WORDS, word), np.where(early, word[a], word + RUN_WORDS)
+        late = (before >= 0) & (doc[b] == doc) & (to[b] > word)
+        early = (after < n) & (doc[a] == doc) & (word[a] < to)
+        first, last = np.where(late, to[b], word), np.where(early, word[a], to)
         start, end = np.where(late, end[b] + 1, start), np.where(early, start[a] - 1, end)
         use = ~kept & (first < last)
         yield merged(doc[use], lo[use], first[use], last[use], start[use], end[use], True)
@@ -256,18 +297,16 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     gone = spans.where("removed").groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("lines"))
     wanted = among(reps, names.select("doc_id"), "left_semi").join(names, "doc_id").join(gone, "doc_id", "left")
     found = _repeatable(wanted.select("doc_id", "text", F.coalesce("tokens", F.array().cast("array<long>")).alias("tokens"), "lines", F.coalesce("copied", F.lit(False)).alias("copied")))
-    same = Window.partitionBy("hash")
-    whole = F.min(F.when(~F.col("gone"), F.col("doc_id"))).over(same)
-    found = found.withColumns({"lo": F.min("doc_id").over(same), "hi": F.max("doc_id").over(same), "whole": whole}).where("lo <> hi or copied")
-    found = keep(found.select("doc_id", F.coalesce("whole", "lo").alias("lo"), "word", "start", "end", "copied"))
-    drop(names)
+    runs = keep(found)
+    found = keep(_verdicts(runs))
+    drop(names, runs)
 
     # A copy repeats all lines of its text, and its stretches, which touch, are one passage.
     like = copies.select(F.col("rep").alias("of"), F.col("doc_id").alias("copy")).distinct()
     more = spans.join(like, F.col("doc_id") == F.col("of")).select(F.col("copy").alias("doc_id"), "kind", "start", "end", "n_words", "cluster", F.lit(True).alias("removed"))
-    whole = found.where("copied").groupBy("doc_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word") + RUN_WORDS).alias("n_words"), F.min("lo").alias("cluster"))
+    whole = found.where("copied").groupBy("doc_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("word") + F.col("n")) - 1 + RUN_WORDS).alias("n_words"), F.min("lo").alias("cluster"))
     whole = whole.join(like, F.col("doc_id") == F.col("of")).select(F.col("copy").alias("doc_id"), F.lit("passage").alias("kind"), *[F.col(c).cast("long").alias(c) for c in ("start", "end", "n_words", "cluster")], F.lit(True).alias("removed"))
-    return spans.union(more).union(_spans(found.select("doc_id", "lo", "word", "start", "end"))).union(whole)
+    return spans.union(more).union(_spans(found.select("doc_id", "lo", "word", "n", "start", "end"))).union(whole)
 
 
 def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
