@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import FOLD, U64, VISIBLE, Words, column, mixed, shingles, texts_of
-from .workspace import OWN, drop, keep, prepared
+from .workspace import OWN, drop, keep, prepared, small_batches
 
 N = 5
 #: Below 2**SINGLE shingles every shingle is a block of its own.
@@ -381,6 +381,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     links holds verified links only, and enough of them to make up the components.  ``make`` gives the tokens that
     two linked rows must share, here or (with less than certainty) another scheme's.
     """
+    small_batches(docs.sparkSession)
     docs = prepared(docs, id=id_col, text=text_col)
     docs = docs.withColumn("id", F.col("id").cast("long"))
     rows = keep(profiles(docs, n))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .jaccard import among, join, shared
 from .kernels import PLACE, U64, VISIBLE, Words, column, list_array, list_values, mixed, rolling, texts_of
-from .workspace import drop, keep, prepared
+from .workspace import drop, keep, prepared, small_batches
 
 BANDS, ROWS = 9, 3
 MIN_WORDS, ANCHOR_WORDS, RUN_WORDS = 16, 13, 24
@@ -195,16 +195,22 @@ def _verdicts(runs: DataFrame) -> DataFrame:
     """(doc_id, lo, word, n, start, end, copied) of the repeated stretches: lo is the document that keeps them.
 
     Where all documents of a name have the same run, it is judged as one; the stretches of other runs one by one.
+    Each step is written before the next one begins, and what no step needs any more is deleted.
     """
     whole = F.expr("shiftleft(1, n) - 1")
-    cols = ["doc_id", F.coalesce("whole", "lo").alias("lo"), "word", "n", "start", "end", "copied"]
-    names = _kept_by(runs, "token", F.col("gone") != 0, (F.min("run") == F.max("run")).alias("same"), F.bool_or((F.col("gone") != 0) & (F.col("gone") != whole)).alias("partly"))
-    judged = runs.join(names.select("token", "lo", "hi", "whole", (F.col("same") & ~F.col("partly")).alias("pure")), "token")
-    pure = judged.where("pure and (lo <> hi or copied)").withColumns({"start": F.col("starts")[0], "end": F.element_at("ends", -1)}).select(*cols)
-    other = judged.where("not pure").select("doc_id", "word", "gone", "copied", "starts", "ends", F.posexplode("hashes").alias("i", "hash"))
+    names = keep(_kept_by(runs, "token", F.col("gone") != 0, (F.min("run") == F.max("run")).alias("same"), F.bool_or((F.col("gone") != 0) & (F.col("gone") != whole)).alias("partly")))
+    sure = names.select("token", "lo", "hi", "whole", (F.col("same") & ~F.col("partly")).alias("pure"))
+    judged = runs.join(sure, "token").where("not pure or lo <> hi or copied")
+    open_ = lambda c: F.when(~F.col("pure"), F.col(c)).alias(c)
+    marked = keep(judged.select("doc_id", F.coalesce("whole", "lo").alias("lo"), "word", "n", F.col("starts")[0].alias("start"), F.element_at("ends", -1).alias("end"), "copied", "pure", "gone", *map(open_, ("hashes", "starts", "ends"))))
+    drop(runs, names)
+    cols = ["doc_id", "lo", "word", "n", "start", "end", "copied"]
+    other = marked.where("not pure").select("doc_id", "word", "gone", "copied", "starts", "ends", F.posexplode("hashes").alias("i", "hash"))
     each = other.select("hash", "doc_id", (F.col("word") + F.col("i")).alias("word"), F.lit(1).alias("n"), F.col("starts")[F.col("i")].alias("start"), F.col("ends")[F.col("i")].alias("end"), F.expr("(gone & shiftleft(1, i)) <> 0").alias("gone"), "copied")
-    found = each.join(_kept_by(each, "hash", F.col("gone")), "hash").where("lo <> hi or copied").select(*cols)
-    return pure.union(found)
+    found = each.join(_kept_by(each, "hash", F.col("gone")), "hash").where("lo <> hi or copied").withColumn("lo", F.coalesce("whole", "lo"))
+    out = keep(marked.where("pure").select(*cols).union(found.select(*cols)))
+    drop(marked)
+    return out
 
 
 def _spans(stretches: DataFrame) -> DataFrame:
@@ -275,6 +281,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     a stretch of a passage.
     """
     docs = prepared(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null and text is not null")
+    small_batches(docs.sparkSession)
     docs = docs.withColumn("k", F.xxhash64(F.lit(1), "text"))
     texts = keep(docs.select("doc_id", "k", F.xxhash64(F.lit(2), "text").alias("k2"), F.octet_length("text").alias("n")))
     least, most, longest = texts.agg(F.min("doc_id"), F.max("doc_id"), F.coalesce(F.max("n"), F.lit(0))).first()
@@ -284,13 +291,13 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     reps = among(docs, copies.select("doc_id", "k"), "left_anti").drop("k")
     copied = copies.select(F.col("rep").alias("doc_id")).distinct()
 
-    units = _units(reps, _place_bits((least, most) if least is not None else None, longest))
+    units = keep(_units(reps, _place_bits((least, most) if least is not None else None, longest)))
     placed = keep(join(units, id_col="id", make=bands)["members"].distinct())
     lines = units.drop("text").join(placed, "id", "left").join(copied.withColumn("copied", F.lit(True)), "doc_id", "left").where("component is not null or copied")
     lines = keep(lines.select("doc_id", "start", "end", "n_words", F.coalesce("component", "id").alias("cluster"), F.coalesce("copied", F.lit(False)).alias("copied")))
     across = lines.groupBy("cluster").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bool_or("copied").alias("c")).where("lo <> hi or c").select("cluster", "lo")
     spans = keep(lines.join(across, "cluster").select("doc_id", F.lit("paragraph").alias("kind"), "start", "end", "n_words", "cluster", (F.col("doc_id") > F.col("lo")).alias("removed")))
-    drop(placed, lines)
+    drop(units, placed, lines)
 
     names = shared(_names(reps)).groupBy("doc_id").agg(F.collect_list("token").alias("tokens"))
     names = keep(names.join(copied.withColumn("copied", F.lit(True)), "doc_id", "full"))
@@ -298,8 +305,8 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     wanted = among(reps, names.select("doc_id"), "left_semi").join(names, "doc_id").join(gone, "doc_id", "left")
     found = _repeatable(wanted.select("doc_id", "text", F.coalesce("tokens", F.array().cast("array<long>")).alias("tokens"), "lines", F.coalesce("copied", F.lit(False)).alias("copied")))
     runs = keep(found)
-    found = keep(_verdicts(runs))
-    drop(names, runs)
+    drop(names)
+    found = _verdicts(runs)
 
     # A copy repeats all lines of its text, and its stretches, which touch, are one passage.
     like = copies.select(F.col("rep").alias("of"), F.col("doc_id").alias("copy")).distinct()

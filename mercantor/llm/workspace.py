@@ -75,6 +75,21 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+#: Bytes of an Arrow batch on its way to Python; a longer text is a batch by itself.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of texts by bytes, so that JVM and Python hold few texts at a time.
+
+    Spark's own bound is some 64 MB for each task on both sides; a smaller one that the session set is kept.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is not None and int(str(now).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, by the path the caller gave (a folder in any store that Spark reads)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
