@@ -5,27 +5,47 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Words that name an occasion.
-OCCASIONS = ("gift", "gifts", "birthday", "wedding", "anniversary", "christmas")
+OCCASIONS = ("gift", "gifts", "birthday", "wedding", "anniversary", "christmas", "valentine", "valentines", "mother's", "mothers", "father's", "fathers", "graduation", "baby", "shower", "halloween", "thanksgiving", "easter", "housewarming", "retirement")
 
 
-def query_class(n_tokens: str, n_residual: str, n_ambiguous: str, n_entities: str, n_attributes: str, n_ranges: str, words: str) -> Column:
-    """One of nine classes of a compiled query, the first that fits."""
+def occasion(words: str) -> Column:
+    """Whether one of a text's lower-cased words names an occasion."""
+    return F.coalesce(F.arrays_overlap(words, F.array(*map(F.lit, OCCASIONS))), F.lit(False))
+
+
+def query_class(words: str, n_residual: str, n_ambiguous: str, n_entities: str, n_attributes: str, n_ranges: str, n_preferences: str) -> Column:
+    """One of nine classes of a compiled query, the first that fits; without constraints and leftovers, ambiguous."""
     c = F.col
-    occasion = F.arrays_overlap(c(words), F.array(*map(F.lit, OCCASIONS)))
+    tokens = F.greatest(F.size(words), F.lit(1))
     structural = (c(n_entities) + c(n_attributes) + c(n_ranges)) > 0
+    nothing = ~structural & (c(n_preferences) == 0) & (c(n_residual) == 0)
     return (
-        F.when((c(n_ambiguous) > 0) | (c(n_tokens) == 0), "ambiguous")
-        .when((c(n_tokens) >= 4) & (4 * c(n_residual) >= 3 * c(n_tokens)), "long_tail")
-        .when(structural & (c(n_residual) > 0), F.when(occasion, "semantic").otherwise("structural_lexical"))
+        F.when((c(n_ambiguous) > 0) | nothing, "ambiguous")
+        .when((c(n_residual) > 0) & (tokens >= 4) & (4 * c(n_residual) >= 3 * tokens), "long_tail")
+        .when(structural & (c(n_residual) > 0), F.when(occasion(words), "semantic").otherwise("structural_lexical"))
         .when(c(n_ranges) > 0, "range")
         .when(c(n_attributes) > 0, "attribute")
         .when(c(n_entities) >= 2, "entities")
         .when(c(n_entities) == 1, "entity")
-        .otherwise("lexical_first")
+        .when(c(n_residual) > 0, "lexical_first")
+        .otherwise("ambiguous")
+    )
+
+
+def query_class_7(is_id: str, words: str, n_residual: str, n_ambiguous: str, n_constraints: str) -> Column:
+    """One of seven classes: a literal id, ambiguity, structure without and with leftovers, occasion, words, nothing."""
+    c = F.col
+    return (
+        F.when(c(is_id), "id_lookup")
+        .when(c(n_ambiguous) > 0, "ambiguous")
+        .when(c(n_constraints) > 0, F.when(c(n_residual) > 0, "structural_lexical").otherwise("structural"))
+        .when(occasion(words), "occasion")
+        .when(c(n_residual) >= 2, "lexical")
+        .otherwise("punt")
     )
 
 
@@ -120,24 +140,83 @@ def _plain(x):
     return x.item() if hasattr(x, "item") else x
 
 
-def findings(kind: str, has_non_number: str, distinct: str, passes_identifier: str) -> Column:
-    """What is wrong with a proposed field type; empty if nothing is."""
-    k = F.col(kind)
+def field_role(n: str, distinct: str, uniqueness: str, parsed: str, length: str, variant_scoped: str) -> Column:
+    """A field's role by statistics alone; few values abstain."""
+    c = F.col
+    unique = (c(uniqueness) >= 0.95) & (c(n) >= 100) & c(variant_scoped)
+    return F.when(c(n) < 30, "abstain").when(unique, "identifier").when((c(parsed) >= 0.9) & (c(distinct) > 3), "numeric").when(c(distinct) == 2, "boolean").when((c(uniqueness) < 0.3) & (c(length) <= 20), "enum").otherwise("free_text")
+
+
+# Distinct values that an enum may have, and the bar of an identifier.
+ENUM_VALUES, IDENTIFIER_UNIQUENESS, IDENTIFIER_VALUES = 6000, 0.95, 100
+#: Operators that the engine can serve.
+SERVED = ("equals", "contains", "less", "greater", "range")
+
+
+def findings(role: str, value_type: str, scope: str, relationship: str, operators: str, n_aliases: str, alias_used: str, n_not_numbers: str, distinct: str, uniqueness: str, n: str) -> Column:
+    """What is wrong with a proposed field; empty if nothing is.  A proposal stands unless something rejects it."""
+    c = F.col
+    related = c(scope) == "relationship"
     return F.array_compact(
         F.array(
-            F.when((k == "numeric") & F.col(has_non_number), "reject: not a number"),
-            F.when((k == "enum") & (F.col(distinct) > 6000), "downgrade: too many values"),
-            F.when((k == "identifier") & ~F.col(passes_identifier), "downgrade: not unique"),
+            F.when((c(value_type) == "number") & (c(n_not_numbers) > 0), "reject: not a number"),
+            F.when((c(role) == "enum") & (c(distinct) > ENUM_VALUES), "downgrade: too many values"),
+            F.when((c(role) == "identifier") & ((c(uniqueness) < IDENTIFIER_UNIQUENESS) | (c(n) < IDENTIFIER_VALUES)), "reject: not an identifier"),
+            F.when(related & c(relationship).isNull(), "reject: relationship without a meaning").when(~related & c(relationship).isNotNull(), "reject: meaning without a relationship"),
+            F.when(F.size(F.array_except(operators, F.array(*map(F.lit, SERVED)))) > 0, "downgrade: operator is not served"),
+            F.when((c(n_aliases) > 0) & ~c(alias_used), "downgrade: aliases are not used"),
         )
     )
 
 
-def threshold_fit(observed: list[tuple[float, float, float]]) -> float | None:
-    """The cut on x with the least summed cost of (x, cost below, cost above); between geometric midpoints."""
-    xs = sorted({x for x, _, _ in observed if x > 0})
-    cuts = [0.0, *((a * b) ** 0.5 for a, b in zip(xs, xs[1:], strict=False)), float("inf")]
-    cost = lambda t: sum(a if x < t else b for x, a, b in observed)
-    return min(cuts, key=lambda t: (cost(t), t)) if observed else None
+def accepted(found: Column) -> Column:
+    return ~F.exists(found, lambda f: f.startswith("reject"))
+
+
+def type_conflict(runs: DataFrame) -> DataFrame:
+    """(field, conflict): whether one run calls a field categorical and another numeric; runs (field, role), null abstains."""
+    return runs.groupBy("field").agg((F.coalesce(F.bool_or(F.col("role").isin("enum", "boolean")), F.lit(False)) & F.coalesce(F.bool_or(F.col("role") == "numeric"), F.lit(False))).alias("conflict"))
+
+
+def unsafe_accepted(promoted: DataFrame, truth: DataFrame) -> DataFrame:
+    """The fields (field, role) promoted under another role although they are identifiers or relationships."""
+    return promoted.alias("p").join(truth.alias("t"), "field").where("t.role in ('identifier', 'relationship') and not (p.role <=> t.role)").select("field")
+
+
+def significant_recall(promoted: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: the share of truth's significant fields (field, significant) that are promoted; 1 if there are none."""
+    hit = truth.where("significant").join(promoted.select("field").distinct().withColumn("got", F.lit(1)), "field", "left")
+    return hit.agg(F.round(F.coalesce(F.try_divide(F.count("got"), F.count("*")), F.lit(1.0)), 6).alias("recall"))
+
+
+def by_real_key(proposals: DataFrame, shown: DataFrame) -> DataFrame:
+    """Proposals (config, key, ...) under their real key: shown (config, shown_key, real_key) maps disguised ones."""
+    return proposals.join(shown.withColumnRenamed("shown_key", "key"), ["config", "key"], "left").withColumn("real_key", F.coalesce("real_key", "key"))
+
+
+def threshold_costs(observed: DataFrame) -> DataFrame:
+    """(cut, cost): for each cut the summed cost of observations (x, below, above): below where x < cut, else above.
+
+    Cuts are 0, infinity and the geometric middle of neighbouring x (half the upper one beside 0).  Costs are
+    running sums over the distinct x, of which there are far fewer than observations; those are summed first.
+    """
+    bars = observed.groupBy("x").agg(F.sum("below").alias("below"), F.sum("above").alias("above"))
+    order = Window.orderBy("x")
+    ends = order.rowsBetween(Window.unboundedPreceding, 0)
+    b = bars.withColumns({"next": F.lead("x").over(order), "b": F.sum("below").over(ends), "a": F.sum("above").over(Window.partitionBy()) - F.sum("above").over(ends)})
+    middle = F.when(F.col("next").isNull(), float("inf")).when(F.col("x") > 0, F.sqrt(F.col("x") * F.col("next"))).otherwise(F.col("next") / 2)
+    cuts = b.select(middle.alias("cut"), (F.col("b") + F.col("a")).alias("cost"))
+    return bars.agg(F.lit(0.0).alias("cut"), F.sum("above").alias("cost")).where("cost is not null").union(cuts)
+
+
+def threshold_fit(observed: DataFrame, margin: float = 0.8) -> DataFrame:
+    """One row (cut, cost, crossover): the cheapest cut, the smallest among equals, or null without a crossover.
+
+    There is one if each way is somewhere at most ``margin`` times as dear as the other.  No observations, no row.
+    """
+    best = threshold_costs(observed).agg(F.min(F.struct("cost", "cut")).alias("best"))
+    cross = observed.agg((F.bool_or(F.col("below") <= margin * F.col("above")) & F.bool_or(F.col("above") <= margin * F.col("below"))).alias("crossover"))
+    return best.crossJoin(cross).where("crossover is not null").select(F.when(F.col("crossover"), F.col("best.cut")).alias("cut"), F.round("best.cost", 6).alias("cost"), "crossover")  # one row each
 
 
 def facet_path(candidates: int, values: int, many_valued: bool, tau: float = 919.497) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,10 +23,24 @@ def distribution(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, group: str, value: str, p: float) -> DataFrame:
-    """The value at place round((n - 1) p) of each group: by numbering, not by gathering a list."""
-    n = F.count("*").over(Window.partitionBy(group))
-    k = F.row_number().over(Window.partitionBy(group).orderBy(value)) - 1
-    return rows.withColumns({"n": n, "k": k}).where(F.col("k") == F.round((F.col("n") - 1) * p).cast("int")).select(group, F.round(value, 6).alias("value"))
+    """The value at place round((n - 1) p) of each group, halves up.
+
+    Equal values are summed before anything is ordered, and a group's places are counted in two levels (ranges of
+    values, then values inside the one range that holds the place), so no task orders a whole group.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    edges = counts.groupBy(group).agg(F.sum("c").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    near = counts.join(edges, group)
+    width = (F.col("most") - F.col("least")) / 1024.0
+    near = near.withColumn("bar", F.when(width > 0, F.least(F.floor((F.col("v") - F.col("least")) / width), F.lit(1023))).otherwise(0))
+    bars = near.groupBy(group, "bar").agg(F.sum("c").alias("bc"), F.first("n").alias("n"))
+    by_bar = Window.partitionBy(group).orderBy("bar").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.floor((F.col("n") - 1) * p + 0.5)
+    bars = bars.withColumn("before", F.coalesce(F.sum("bc").over(by_bar), F.lit(0))).where((F.col("before") <= place) & (place < F.col("before") + F.col("bc")))
+    inside = near.join(bars.select(group, "bar", "before"), [group, "bar"])
+    by_value = Window.partitionBy(group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ends = inside.withColumn("end", F.col("before") + F.sum("c").over(by_value)).where(F.col("end") > place)
+    return ends.groupBy(group).agg(F.round(F.min("v"), 6).alias("value"))
 
 
 def t_point(n: Column) -> Column:
@@ -38,29 +53,108 @@ def mean_interval(rows: DataFrame, group: str, value: str) -> DataFrame:
     return out.select(group, "n", F.round("mean", 6).alias("mean"), F.round(t_point(F.col("n")) * F.col("sd") / F.sqrt("n"), 6).alias("half"))
 
 
-def bootstrap(rows: DataFrame, group: str, value: str, id_col: str, rounds: int = 200, seed: int = 42) -> DataFrame:
-    """(group, lo, hi): a 95 % interval of the mean by Poisson resampling, which needs no group in one place.
-
-    In each round a row counts as often as a Poisson(1) number drawn from its hash says; only sums are shuffled.
-    """
-    u = F.pmod(F.xxhash64(id_col, "b", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+def _draws(u: Column) -> Column:
+    """How often a row counts in a round: a Poisson(1) number for a uniform number in [0, 1)."""
     cdf, total = [], 0.0
     for k in range(8):
         total += math.exp(-1) / math.factorial(k)
         cdf.append(total)
-    times = F.size(F.filter(F.array(*map(F.lit, cdf)), lambda c: c <= u))
-    draws = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("t", times)
-    means = draws.groupBy(group, "b").agg((F.sum(F.col("t") * F.col(value)) / F.sum("t")).alias("m"))
-    return means.groupBy(group).agg(F.round(F.percentile("m", 0.025), 6).alias("lo"), F.round(F.percentile("m", 0.975), 6).alias("hi"))
+    return reduce(lambda a, b: a + b, [(u >= c).cast("long") for c in cdf])
+
+
+def resampled(rows: DataFrame, group: str, sums: dict[str, Column], id_col: str, rounds: int, seed: int) -> DataFrame:
+    """(group, round, n, one sum for each of ``sums``): Poisson resampling, which needs no group in one place.
+
+    Rounds are columns of one partial aggregate while they are summed, so a row is read once and never copied.
+    """
+    def u(k: int) -> Column:
+        return F.pmod(F.xxhash64(id_col, F.lit(k), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+
+    t = rows.withColumns({f"_t{k}": _draws(u(k)) for k in range(1, rounds + 1)})
+    made = [F.sum(f"_t{k}").alias(f"n_{k}") for k in range(1, rounds + 1)]
+    made += [F.sum(F.col(f"_t{k}") * c).alias(f"{n}_{k}") for n, c in sums.items() for k in range(1, rounds + 1)]
+    wide = t.groupBy(group).agg(*made)
+    parts = [F.struct(F.lit(k).alias("round"), F.col(f"n_{k}").alias("n"), *[F.col(f"{n}_{k}").alias(n) for n in sums]) for k in range(1, rounds + 1)]
+    return wide.select(group, F.explode(F.array(*parts)).alias("x")).select(group, "x.*")
+
+
+def _interval(group: str, rounds: DataFrame, value: Column, alpha: float = 0.05) -> DataFrame:
+    """The nearest-rank interval of a resampled quantity; a group has one row a round."""
+    ordered = rounds.withColumn("m", value).where("m is not null").groupBy(group).agg(F.array_sort(F.collect_list("m")).alias("m"))
+    at = lambda p: F.element_at("m", (F.floor((F.size("m") - 1) * p + 0.5) + 1).cast("int"))
+    return ordered.select(group, F.round(at(alpha / 2), 6).alias("lo"), F.round(at(1 - alpha / 2), 6).alias("hi"))
+
+
+def bootstrap(rows: DataFrame, group: str, value: str, id_col: str, rounds: int = 200, seed: int = 42) -> DataFrame:
+    """(group, lo, hi): a 95 % interval of the mean."""
+    r = resampled(rows, group, {"s": F.col(value)}, id_col, rounds, seed)
+    return _interval(group, r, F.try_divide("s", "n"))
+
+
+def bootstrap_difference(rows: DataFrame, group: str, value: str, side: str, id_col: str, rounds: int = 200, seed: int = 42) -> DataFrame:
+    """(group, difference, lo, hi): mean of the side that is TRUE less the mean of the other, resampled together."""
+    yes = F.col(side).cast("long")
+    sums = {"a": yes * F.col(value), "na": yes, "b": (1 - yes) * F.col(value), "nb": 1 - yes}
+    r = resampled(rows, group, sums, id_col, rounds, seed)
+    point = rows.groupBy(group).agg(F.round(F.avg(F.when(F.col(side), F.col(value))) - F.avg(F.when(~F.col(side), F.col(value))), 6).alias("difference"))
+    return point.join(_interval(group, r, F.try_divide("a", "na") - F.try_divide("b", "nb")), group)
+
+
+def degradation(pairs: DataFrame, group: str, policy: str, baseline: str, id_col: str, rounds: int = 200, seed: int = 42) -> DataFrame:
+    """(group, degradation, lo, hi): mean of the baseline less the policy's over the same pairs, resampled in pairs."""
+    lost = F.col(baseline) - F.col(policy)
+    r = resampled(pairs, group, {"s": lost}, id_col, rounds, seed)
+    return pairs.groupBy(group).agg(F.round(F.avg(lost), 6).alias("degradation")).join(_interval(group, r, F.try_divide("s", "n")), group)
+
+
+# Fixed value: a ratio up to this is materially better.
+MATERIAL = 0.75
 
 
 def log_ratio(pairs: DataFrame, group: str, a: str, b: str) -> DataFrame:
-    """(group, ratio, lo, hi, verdict): geometric mean of b / a with its interval; material up to 0.75."""
-    x = pairs.where((F.col(a) > 0) & (F.col(b) > 0)).withColumn("l", F.ln(F.col(b) / F.col(a)))
-    s = x.groupBy(group).agg(F.count("*").alias("n"), F.avg("l").alias("m"), F.stddev_samp("l").alias("sd"))
+    """(group, ratio, lo, hi, verdict): geometric mean of b / a with its interval.
+
+    better: the interval ends at ``MATERIAL`` or below; not_better: it begins above; open: neither.  A group with a
+    pair that isn't positive, or with fewer than two pairs, has no interval and no row.
+    """
+    good = (F.col(a) > 0) & (F.col(b) > 0)
+    x = pairs.withColumn("l", F.when(good, F.ln(F.col(b) / F.col(a))))
+    s = x.groupBy(group).agg(F.count("*").alias("n"), F.count("l").alias("k"), F.avg("l").alias("m"), F.stddev_samp("l").alias("sd")).where("n = k and n > 1")
     half = t_point(F.col("n")) * F.col("sd") / F.sqrt("n")
-    out = s.select(group, F.round(F.exp("m"), 6).alias("ratio"), F.round(F.exp(F.col("m") - half), 6).alias("lo"), F.round(F.exp(F.col("m") + half), 6).alias("hi"))
-    return out.withColumn("verdict", F.when(F.col("hi") <= 0.75, "better").when(F.col("lo") > 1, "worse").otherwise("open"))
+    out = s.select(group, F.exp("m").alias("ratio"), F.exp(F.col("m") - half).alias("lo"), F.exp(F.col("m") + half).alias("hi"))
+    verdict = F.when(F.col("hi") <= MATERIAL, "better").when(F.col("lo") > MATERIAL, "not_better").otherwise("open")
+    return out.select(group, *[F.round(c, 6).alias(c) for c in ("ratio", "lo", "hi")], verdict.alias("verdict"))
+
+
+# The largest relative half width by kind of measurement, the largest variation, and the blocks wanted.
+HALF_WIDTH = {"cpu": 0.075, "footprint": 0.02}
+MOST_VARIATION, BLOCKS = 0.10, 30
+
+
+def stable_cells(rows: DataFrame, cell: str, value: str, kind: str = "cpu") -> DataFrame:
+    """(cell, n, mean, rel_half, cv, underpowered, passes): whether a cell's mean is known well enough.
+
+    A cell whose mean isn't positive, or with one sample, has no relative width and fails.
+    """
+    s = rows.groupBy(cell).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    known = (F.col("mean") > 0) & F.col("sd").isNotNull()
+    half = F.when(known, t_point(F.col("n")) * F.col("sd") / F.sqrt("n") / F.col("mean"))
+    cv = F.when(known, F.col("sd") / F.col("mean"))
+    passes = F.coalesce((half <= HALF_WIDTH[kind]) & (cv <= MOST_VARIATION), F.lit(False))
+    return s.select(cell, "n", F.round("mean", 6).alias("mean"), F.round(half, 6).alias("rel_half"), F.round(cv, 6).alias("cv"), (F.col("n") < BLOCKS).alias("underpowered"), passes.alias("passes"))
+
+
+def depths(rows: DataFrame, depth: str, promoted: str) -> DataFrame:
+    """One row: mean, nearest-rank median and 95th point of how many draws keys took, the most, and the share abstained.
+
+    Depths are few numbers, so their histogram is summed first and only its bars are ordered.
+    """
+    bars = rows.groupBy(F.col(depth).alias("d")).agg(F.count("*").alias("c"), F.count_if(F.col(promoted)).alias("p"))
+    up_to = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    total = Window.partitionBy()
+    b = bars.withColumns({"end": F.sum("c").over(up_to), "n": F.sum("c").over(total)})
+    at = lambda q: F.min(F.when(F.col("end") > F.floor((F.col("n") - 1) * q + 0.5), F.col("d")))
+    return b.agg(F.round(F.sum(F.col("d") * F.col("c")) / F.sum("c"), 6).alias("mean"), at(0.5).alias("median"), at(0.95).alias("p95"), F.max("d").alias("most"), F.round(1 - F.sum("p") / F.sum("c"), 6).alias("abstained"))
 
 
 def relevance(hits: DataFrame, judged: DataFrame, k: int) -> DataFrame:
@@ -77,6 +171,13 @@ def relevance(hits: DataFrame, judged: DataFrame, k: int) -> DataFrame:
     return every.select("query_id", z(F.col("dcg") / F.col("ideal")).alias("ndcg"), z(F.col("found") / F.col("relevant")).alias("recall"), z(1.0 / F.col("first")).alias("mrr"))
 
 
+def precision(judged: DataFrame, group: str) -> DataFrame:
+    """(group, queries, shown, precision, filter_recall, exact_recall) of judged rows (query_id, passes, relevant, exact)."""
+    yes = lambda *cols: F.count_if(reduce(lambda a, b: a & b, map(F.col, cols)))
+    share = lambda a, b: F.round(F.try_divide(a, b), 6)
+    return judged.groupBy(group).agg(F.countDistinct("query_id").alias("queries"), yes("passes").alias("shown"), share(yes("passes", "relevant"), yes("passes")).alias("precision"), share(yes("passes", "relevant"), yes("relevant")).alias("filter_recall"), share(yes("passes", "exact"), yes("exact")).alias("exact_recall"))
+
+
 def macro_f1(pairs: DataFrame) -> DataFrame:
     """One row: the mean F1 over classes that truth has; pairs (truth, guess)."""
     rows = pairs.select(F.explode(F.array(F.struct(F.col("truth").alias("c"), F.lit(1).alias("t"), F.lit(0).alias("g"), F.when(F.col("truth") == F.col("guess"), 1).otherwise(0).alias("both")), F.struct(F.col("guess").alias("c"), F.lit(0).alias("t"), F.lit(1).alias("g"), F.lit(0).alias("both")))).alias("x")).select("x.*")

@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A plain decimal number, without what a cast would also take (signs of type, spaces, hexadecimals).
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -23,7 +27,7 @@ def space_tokens(text) -> Column:
 def cents(text) -> Column:
     """``$12.34`` or ``12.34`` in cents, half a cent away from zero; null for anything else."""
     s = F.regexp_replace(_col(text), r"^\$", "")
-    return F.when(s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.round(s.try_cast("double") * 100).cast("long"))
+    return F.when(s.rlike(NUMBER), F.round(s.try_cast("double") * 100).cast("long"))
 
 
 # Endings of company names that don't tell brands apart.
@@ -79,6 +83,48 @@ def clean_share(text) -> Column:
     return F.when(F.length(t) > 0, F.length(F.regexp_replace(t, r"[^\p{L}\p{N} ]", "")) / F.length(t)).otherwise(0.0)
 
 
+def name_share(text) -> Column:
+    """The share of ASCII letters and white space: how much a text looks like a name."""
+    t = _col(text)
+    return F.when(F.length(t) > 0, F.length(F.regexp_replace(t, r"[^A-Za-z\s]", "")) / F.length(t)).otherwise(0.0)
+
+
+def decoded(text) -> Column:
+    """A query string's value: plus is a space, %XX a byte; null if an escape is broken or the bytes aren't UTF-8."""
+    t = _col(text)
+    out = F.try_url_decode(t)
+    broken = out.contains("\ufffd") & ~t.contains("\ufffd") & ~F.upper(t).contains("%EF%BF%BD")
+    return F.when(~t.rlike("%(?![0-9A-Fa-f]{2})") & ~broken, out)
+
+
+def encoded(text) -> Column:
+    """A value for a query string; a space is %20."""
+    return F.replace(F.url_encode(_col(text)), F.lit("+"), F.lit("%20"))
+
+
+def attribute_string(kind, s, n, b) -> Column:
+    """An attribute value as text by its kind; whole numbers without a point; many-valued ones have none."""
+    num = _col(n)
+    whole = (num == F.floor(num)) & (F.abs(num) < 1e15)
+    return F.when(_col(kind).isin("text", "enum"), _col(s)).when(_col(kind) == "boolean", _col(b).cast("string")).when(_col(kind) == "number", F.when(whole, num.cast("long").cast("string")).otherwise(num.cast("string")))
+
+
+def residual_tokens(phrases) -> Column:
+    """The letters-and-digits tokens of several phrases in a row."""
+    return F.flatten(F.transform(_col(phrases), tokens))
+
+
+def plural_equivalent(a, b) -> Column:
+    """Whether two words are the same but for one s at the end."""
+    x, y = _col(a), _col(b)
+    return (x == y) | (x == F.concat(y, F.lit("s"))) | (y == F.concat(x, F.lit("s")))
+
+
+def is_known_id(text, ids) -> Column:
+    """Whether a trimmed text is one of an array of ids; large sets of ids are a semi-join instead."""
+    return F.array_contains(ids, F.trim(_col(text)))
+
+
 def strictly_within(a: Column, b: Column) -> Column:
     """Whether the words of a are some but not all of the words of b."""
     return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_distinct(a)) < F.size(F.array_distinct(b)))

@@ -104,12 +104,43 @@ def a_mean_interval(spark, d):
     return st.mean_interval(table(spark, d, "events"), "user_id", "value")
 
 
-@query(f"WITH x AS (SELECT p_type, ln((p_size + 10) / (p_retailprice / 50)) AS l FROM part), s AS (SELECT p_type, count(*) AS n, avg(l) AS m, stddev_samp(l) AS sd FROM x GROUP BY p_type), r AS (SELECT p_type, exp(m) AS r, exp(m - {_T} * sd / sqrt(n)) AS lo, exp(m + {_T} * sd / sqrt(n)) AS hi FROM s) SELECT p_type, round(r, 6) AS ratio, round(lo, 6) AS lo, round(hi, 6) AS hi, CASE WHEN round(hi, 6) <= 0.75 THEN 'better' WHEN round(lo, 6) > 1 THEN 'worse' ELSE 'open' END AS verdict FROM r")
+@query(f"WITH x AS (SELECT p_type || p_size % 8 AS p_type, CASE WHEN p_size > 1 THEN ln((p_size + p_size % 8 * 4) / (p_retailprice / 50)) END AS l FROM part), s AS (SELECT p_type, count(*) AS n, avg(l) AS m, stddev_samp(l) AS sd FROM x GROUP BY p_type HAVING count(*) = count(l) AND count(*) > 1), r AS (SELECT p_type, exp(m) AS r, exp(m - {_T} * sd / sqrt(n)) AS lo, exp(m + {_T} * sd / sqrt(n)) AS hi FROM s) SELECT p_type, round(r, 6) AS ratio, round(lo, 6) AS lo, round(hi, 6) AS hi, CASE WHEN hi <= 0.75 THEN 'better' WHEN lo > 0.75 THEN 'not_better' ELSE 'open' END AS verdict FROM r")
 def a_log_ratio(spark, d):
-    pairs = table(spark, d, "part").select("p_type", (F.col("p_retailprice") / 50).alias("a"), (F.col("p_size") + 10.0).alias("b"))
+    """Groups with a pair that isn't positive have no verdict."""
+    size = F.col("p_size")
+    pairs = table(spark, d, "part").select(F.concat("p_type", (size % 8).cast("string")).alias("p_type"), (F.col("p_retailprice") / 50).alias("a"), F.when(size > 1, size + size % 8 * 4.0).otherwise(0.0).alias("b"))
     return st.log_ratio(pairs, "p_type", "a", "b")
 
 
+@query(f"WITH s AS (SELECT user_id, count(*) AS n, avg(value) AS m, stddev_samp(value) AS sd FROM events GROUP BY user_id) SELECT user_id, n, round(m, 6) AS mean, CASE WHEN m > 0 THEN round({_T} * sd / sqrt(n) / m, 6) END AS rel_half, CASE WHEN m > 0 THEN round(sd / m, 6) END AS cv, n < 30 AS underpowered, coalesce(m > 0 AND {_T} * sd / sqrt(n) / m <= 0.075 AND sd / m <= 0.1, FALSE) AS passes FROM s")
+def a_stable_cells(spark, d):
+    """Whether each cell's mean is known well enough."""
+    return st.stable_cells(table(spark, d, "events"), "user_id", "value")
+
+
+@query("WITH u AS (SELECT user_id, count(*) AS d, bool_or(event_type = 'purchase') AS p FROM events GROUP BY user_id), r AS (SELECT *, row_number() OVER (ORDER BY d) - 1 AS k, count(*) OVER () AS n FROM u) SELECT round(avg(d), 6) AS mean, max(CASE WHEN k = floor((n - 1) * 0.5 + 0.5) THEN d END) AS median, max(CASE WHEN k = floor((n - 1) * 0.95 + 0.5) THEN d END) AS p95, max(d) AS most, round(1 - avg(p::INT), 6) AS abstained FROM r")
+def a_depths(spark, d):
+    """How many events users took, and the share that never bought."""
+    u = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("d"), F.bool_or(F.col("event_type") == "purchase").alias("p"))
+    return st.depths(u, "d", "p")
+
+
+@query("SELECT event_type, round(avg(value) FILTER (user_id % 2 = 0) - avg(value) FILTER (user_id % 2 = 1), 6) AS difference, TRUE AS inside FROM events GROUP BY event_type")
+def a_bootstrap_difference(spark, d):
+    """The point is SQL's; the interval comes from this engine's hash and must hold the point."""
+    e = table(spark, d, "events").withColumn("side", F.col("user_id") % 2 == 0)
+    out = st.bootstrap_difference(e, "event_type", "value", "side", "event_id")
+    return out.select("event_type", "difference", ((F.col("lo") < F.col("difference")) & (F.col("difference") < F.col("hi"))).alias("inside"))
+
+
+@query("SELECT event_type, round(avg(value) - avg(value * 0.9 + 1), 6) AS degradation, TRUE AS inside FROM events GROUP BY event_type")
+def a_degradation(spark, d):
+    """What a policy loses against its baseline over the same keys."""
+    e = table(spark, d, "events").select("event_type", "event_id", F.col("value").alias("base"), (F.col("value") * 0.9 + 1).alias("policy"))
+    out = st.degradation(e, "event_type", "policy", "base", "event_id")
+    return out.select("event_type", "degradation", ((F.col("lo") <= F.col("degradation")) & (F.col("degradation") <= F.col("hi"))).alias("inside"))
+
+
 @query()
 def a_bootstrap(spark, d):
     """Without SQL: the draws come from this engine's hash."""

@@ -39,9 +39,10 @@ def j_identifier_dictionary(spark, d):
     return idf.dictionary(_values(spark, d), "field", "id")
 
 
-@query(f"WITH v AS ({_VALUES}), book AS (SELECT DISTINCT {_NORM} AS norm, field, id FROM v), w AS (SELECT upper(c_name) || '-' AS value FROM customer WHERE c_custkey % 7 = 0) SELECT DISTINCT w.value AS word, field, id FROM w JOIN book ON {_NORM.replace('value', 'w.value')} = norm")
+@query(f"WITH v AS ({_VALUES}), book AS (SELECT DISTINCT {_NORM} AS norm, field, id FROM v), w AS (SELECT upper(c_name) || '-' AS value FROM customer UNION ALL SELECT s_name || ' ' FROM supplier) SELECT DISTINCT w.value AS word, field, id FROM w JOIN book ON {_NORM.replace('value', 'w.value')} = norm")
 def j_identifier_lookup(spark, d):
-    words = table(spark, d, "customer").where("c_custkey % 7 = 0").select(F.concat(F.upper("c_name"), F.lit("-")).alias("word"))
+    """Every name of a customer or supplier, written another way."""
+    words = table(spark, d, "customer").select(F.concat(F.upper("c_name"), F.lit("-")).alias("word")).union(table(spark, d, "supplier").select(F.concat("s_name", F.lit(" "))))
     return idf.lookup(idf.dictionary(_values(spark, d), "field", "id"), words, "field", "id")
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import table
+from ..functions import judge as jd
 from ..functions import stats as st
+from ..functions.text import NUMBER
 from ..registry import query
 
 # Documents of a source, longest first, as hits of the query "source"; quality labels are the gains.
@@ -33,10 +35,30 @@ def a_macro_f1(spark, d):
     return st.macro_f1(o.select(F.col("o_orderpriority").alias("truth"), F.when(F.col("o_orderkey") % 4 == 0, "5-LOW").otherwise(F.col("o_orderpriority")).alias("guess")))
 
 
-@query("SELECT round(sum((toxic = 0 AND quality = 1)::INT) / sum((toxic = 0)::INT), 6) AS precision, round(sum((toxic = 0 AND quality = 1)::INT) / sum(quality), 6) AS recall, count(*) AS judged FROM labels")
+#: Each part asks for its own brand and the tones of itself and of the next part; some parts are judged for it.
+_JUDGED = """p AS (SELECT p_partkey AS k, p_brand AS b, string_split(p_name, ' ')[1] AS tone, p_name, lead(string_split(p_name, ' ')[1], 1, 'red') OVER (ORDER BY p_partkey) AS next FROM part),
+j AS (SELECT q.k AS query_id, d.k AS doc_id, d.b = q.b AS brand_ok, d.tone = q.tone AS own, d.tone = q.next AS other, d.p_name = q.p_name AND d.b = q.b AS exact, d.b = q.b AS relevant, q.tone = q.next AS same FROM p q JOIN p d ON d.b = q.b OR d.k = q.k + 1)"""
+
+
+def _judged(spark, d):
+    part = table(spark, d, "part")
+    tone = F.split("p_name", " ")[0]
+    p = part.select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("b"), tone.alias("tone"), "p_name")
+    after = p.select((F.col("k") - 1).alias("k"), F.col("tone").alias("next"))
+    q = p.join(after, "k", "left").withColumn("next", F.coalesce("next", F.lit("red"))).select(*[F.col(c).alias("q_" + c) for c in ("k", "b", "tone", "p_name", "next")])
+    same = q.join(p, F.col("b") == F.col("q_b"))
+    near = q.join(p, (F.col("k") == F.col("q_k") + 1) & (F.col("b") != F.col("q_b")))
+    j = same.unionByName(near)
+    brand, own, other = F.col("b") == F.col("q_b"), F.col("tone") == F.col("q_tone"), F.col("tone") == F.col("q_next")
+    return j.select(F.col("q_k").alias("query_id"), (brand & own & other).alias("and_rule"), (brand & (own | other)).alias("or_rule"), brand.alias("relevant"), (brand & (F.col("p_name") == F.col("q_p_name"))).alias("exact"))
+
+
+@query(f"WITH {_JUDGED}, r AS (SELECT 'and' AS rule, brand_ok AND own AND other AS passes, relevant, exact, query_id FROM j UNION ALL SELECT 'or_within', brand_ok AND (own OR other), relevant, exact, query_id FROM j) SELECT rule, count(DISTINCT query_id) AS queries, count_if(passes) AS shown, round(count_if(passes AND relevant) / count_if(passes), 6) AS precision, round(count_if(passes AND relevant) / count_if(relevant), 6) AS filter_recall, round(count_if(passes AND exact) / count_if(exact), 6) AS exact_recall FROM r GROUP BY rule")
 def a_precision(spark, d):
-    good, chosen = F.col("quality") == 1, F.col("toxic") == 0
-    return table(spark, d, "labels").agg(F.round(F.count_if(good & chosen) / F.count_if(chosen), 6).alias("precision"), F.round(F.count_if(good & chosen) / F.count_if(good), 6).alias("recall"), F.count("*").alias("judged"))
+    """Judged products under two readings of a query with two values of one attribute: all of them, or any of them."""
+    j = _judged(spark, d)
+    rules = j.withColumn("r", F.explode(F.array(F.struct(F.lit("and").alias("rule"), F.col("and_rule").alias("passes")), F.struct(F.lit("or_within").alias("rule"), F.col("or_rule").alias("passes")))))
+    return st.precision(rules.select("r.rule", "r.passes", "query_id", "relevant", "exact"), "rule")
 
 
 @query("SELECT lang AS class, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents), 6) AS share FROM documents GROUP BY lang")
@@ -54,25 +76,23 @@ def a_pairwise_stability(spark, d):
     return p.groupBy(F.col("a.run").alias("run_a"), F.col("b.run").alias("run_b")).agg(F.count("*").alias("pairs"), F.count_if(F.col("a.label") == F.col("b.label")).alias("agree"))
 
 
-@query("SELECT count(*) AS total, CAST(sum((NOT a AND b)::INT) AS BIGINT) AS newly, CAST(sum((a AND NOT b)::INT) AS BIGINT) AS regressions FROM (SELECT o_totalprice > 200000 AS a, o_totalprice > 200000 OR o_orderstatus = 'P' AS b FROM orders)")
-def a_replay(spark, d):
-    """Two runs over the same queries: what is newly resolved and what is lost."""
-    x = table(spark, d, "orders").select((F.col("o_totalprice") > 200000).alias("a"), ((F.col("o_totalprice") > 200000) | (F.col("o_orderstatus") == "P")).alias("b"))
-    return x.agg(F.count("*").alias("total"), F.count_if(~F.col("a") & F.col("b")).alias("newly"), F.count_if(F.col("a") & ~F.col("b")).alias("regressions"))
-
-
 _ROLE = "CASE WHEN n < 30 THEN 'abstain' WHEN u >= 0.95 AND n >= 100 AND scoped THEN 'identifier' WHEN parsed >= 0.9 AND k > 3 THEN 'numeric' WHEN k = 2 THEN 'boolean' WHEN u < 0.3 AND len <= 20 THEN 'enum' ELSE 'free_text' END"
 _FIELDS = "SELECT 'c_name' AS field, c_name AS v, TRUE AS scoped FROM customer UNION ALL SELECT 'c_mktsegment', c_mktsegment, FALSE FROM customer UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR), FALSE FROM part UNION ALL SELECT 'l_linestatus', l_linestatus, FALSE FROM lineitem UNION ALL SELECT 'text', text, FALSE FROM benchmark UNION ALL SELECT 'r_name', r_name, FALSE FROM region"
 
 
-@query(f"WITH f AS ({_FIELDS}), s AS (SELECT field, count(*) AS n, count(DISTINCT v) AS k, count(DISTINCT v) / count(*) AS u, avg((try_cast(v AS DOUBLE) IS NOT NULL)::INT) AS parsed, avg(length(v)) AS len, bool_or(scoped) AS scoped FROM f GROUP BY field) SELECT field, {_ROLE} AS role FROM s")
-def d_field_roles(spark, d):
-    """A field's role by statistics alone."""
+def fields(spark, d):
+    """(field, v, scoped): all values of some fields."""
     part = lambda t, c, s: table(spark, d, t).select(F.lit(c).alias("field"), F.col(c).cast("string").alias("v"), F.lit(s).alias("scoped"))
     rows = part("customer", "c_name", True)
     for t, c in (("customer", "c_mktsegment"), ("part", "p_size"), ("lineitem", "l_linestatus"), ("benchmark", "text"), ("region", "r_name")):
         rows = rows.unionAll(part(t, c, False))
-    numeric = F.col("v").rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+    return rows
+
+
+@query(f"WITH f AS ({_FIELDS}), s AS (SELECT field, count(*) AS n, count(DISTINCT v) AS k, count(DISTINCT v) / count(*) AS u, avg((try_cast(v AS DOUBLE) IS NOT NULL)::INT) AS parsed, avg(length(v)) AS len, bool_or(scoped) AS scoped FROM f GROUP BY field) SELECT field, {_ROLE} AS role FROM s")
+def d_field_roles(spark, d):
+    """A field's role by statistics alone."""
+    rows = fields(spark, d)
+    numeric = F.col("v").rlike(NUMBER)
     s = rows.groupBy("field").agg(F.count("*").alias("n"), F.countDistinct("v").alias("k"), F.avg(numeric.cast("int")).alias("parsed"), F.avg(F.length("v")).alias("len"), F.bool_or("scoped").alias("scoped")).withColumn("u", F.col("k") / F.col("n"))
-    role = F.when(F.col("n") < 30, "abstain").when((F.col("u") >= 0.95) & (F.col("n") >= 100) & F.col("scoped"), "identifier").when((F.col("parsed") >= 0.9) & (F.col("k") > 3), "numeric").when(F.col("k") == 2, "boolean").when((F.col("u") < 0.3) & (F.col("len") <= 20), "enum").otherwise("free_text")
-    return s.select("field", role.alias("role"))
+    return s.select("field", jd.field_role("n", "k", "u", "parsed", "len", "scoped").alias("role"))

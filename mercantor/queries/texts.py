@@ -57,9 +57,9 @@ def x_gain(spark, d):
     return table(spark, d, "labels").select("doc_id", tx.gain(label, "three").alias("gain"))
 
 
-@query("SELECT c_name, round(length(regexp_replace(c_name, '[^A-Za-z0-9 ]', '', 'g')) / length(c_name), 6) AS clean FROM customer")
+@query("SELECT c_name, round(length(regexp_replace(c_name, '[^A-Za-z0-9 ]', '', 'g')) / length(c_name), 6) AS clean, round(length(regexp_replace(c_name, '[^A-Za-z ]', '', 'g')) / length(c_name), 6) AS like_a_name FROM customer")
 def x_clean_share(spark, d):
-    return table(spark, d, "customer").select("c_name", F.round(tx.clean_share("c_name"), 6).alias("clean"))
+    return table(spark, d, "customer").select("c_name", F.round(tx.clean_share("c_name"), 6).alias("clean"), F.round(tx.name_share("c_name"), 6).alias("like_a_name"))
 
 
 _POST = "SELECT p_partkey AS product_id, w AS token, count(*) AS tf FROM (SELECT p_partkey, unnest(string_split(p_name || ' ' || p_type, ' ')) AS w FROM part) GROUP BY ALL"
@@ -90,16 +90,17 @@ def p_postings_and_none(spark, d):
     return lex.having_all(_posts(spark, d), [], "product_id")
 
 
-@query(r"""WITH q AS (SELECT DISTINCT p_brand AS query_id, unnest(string_split(p_name || ' ' || lower(p_type), ' ')) AS token FROM part WHERE p_partkey < 12),
+@query(r"""WITH q AS (SELECT DISTINCT p_brand AS query_id, unnest(string_split(p_name || ' ' || lower(p_type), ' ')) AS token FROM part WHERE p_partkey % 100 = 0),
 doc AS (SELECT p_partkey AS product_id, string_split(p_name || ' ' || lower(p_type), ' ') AS t FROM part), s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM doc),
 post AS (SELECT product_id, len, token, count(*) AS tf FROM (SELECT product_id, len(t) AS len, unnest(t) AS token FROM doc) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM post GROUP BY token),
 w AS (SELECT token, product_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a)) AS w FROM post JOIN df USING (token), s),
 h AS (SELECT query_id, product_id, round(sum(w), 6) AS score FROM w JOIN q USING (token) GROUP BY ALL)
 SELECT query_id, product_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS place FROM h) WHERE place <= 10""")
 def p_bm25(spark, d):
+    """The stated query set, parts whose id is divisible by 100, against all parts."""
     part = table(spark, d, "part")
     docs = part.select(F.col("p_partkey").alias("product_id"), F.concat_ws(" ", "p_name", "p_type").alias("t"))
-    asked = part.where("p_partkey < 12").groupBy(F.col("p_brand").alias("query_id")).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "p_name", "p_type"))), " ").alias("q"))
+    asked = part.where("p_partkey % 100 = 0").groupBy(F.col("p_brand").alias("query_id")).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "p_name", "p_type"))), " ").alias("q"))
     return lex.bm25(docs, asked, 10, doc_id="product_id", doc_text="t", query_id="query_id", query_text="q")
 
 

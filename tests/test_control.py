@@ -1,4 +1,4 @@
-from mercantor.model import Ambiguous, Brand, Enum, Preference, ProductType, Query
+from mercantor.model import Brand, Enum, Num, Preference, ProductType, Query
 from mercantor.plans import control as ct
 from mercantor.plans.compile import Lexicon
 
@@ -34,9 +34,32 @@ def test_enrichment():
     assert ct.with_implied_brand(Query(), {"A", "B"}) == Query()
     own = Query((Brand("C"),))
     assert ct.with_implied_brand(own, {"A"}) == own
-    a = Ambiguous("leather", (Enum("material", "L"), Enum("style", "L")))
-    assert ct.resolve(a, "veto") is None and ct.resolve(a, "first") == a.readings[0]
-    assert ct.resolve(a, "prefer") == Preference(a.readings[0], 0.5)
-    n = {a.readings[0]: 3, a.readings[1]: 9}
-    assert ct.resolve(a, "frequency", n.get) == a.readings[1] and ct.resolve(a, "frequency", n.get, 4) is None
-    assert ct.failure(Query((Brand("A"),)), 0, False) == "over_constrained" and ct.failure(Query(residual=("x",)), 5, False) == "vocabulary"
+
+
+def test_size_treatments():
+    lex = Lexicon({"shoes": (ProductType("Shoes"),), "9": (Enum("width", "9"),), "7": (Enum("width", "7"), Enum("fit", "7"))})
+    number, width = Num("size", "=", 9.0), Enum("width", "9")
+    kinds = lambda have: lambda product_type, attr: have.get((product_type, attr), set())
+    assert ct.resolve("shoes size 9", lex, "a") == (Query((ProductType("Shoes"), number)),)
+    assert ct.resolve("shoes size 9", lex, "b") == (Query((ProductType("Shoes"), number)), Query((ProductType("Shoes"), width)))
+    (c,) = ct.resolve("shoes size 9", lex, "c")
+    assert c == Query((ProductType("Shoes"),), (Preference(number, 0.5), Preference(width, 0.5)), residual=("9",))
+    assert ct.resolve("shoes size 9", lex, "d", kinds({("Shoes", "width"): {"enum"}})) == (Query((ProductType("Shoes"), width)),)
+    assert ct.resolve("shoes size 9", lex, "e", kinds({("Shoes", "size"): {"number"}})) == (Query((ProductType("Shoes"), number)),)
+    both = {("Shoes", "size"): {"number"}, ("Shoes", "width"): {"enum"}}
+    assert ct.resolve("shoes size 9", lex, "d", kinds(both)) == (c,) == ct.resolve("shoes size 9", lex, "d")
+    assert ct.resolve("size 7", lex, "d") == ct.resolve("size 7", lex, "c") and len(ct.resolve("size 7", lex, "b")) == 3
+    assert all(ct.resolve("shoes size 8", lex, t) == (Query((ProductType("Shoes"), Num("size", "=", 8.0))),) for t in "abcde")
+
+
+def test_stages():
+    import pytest
+
+    assert ct.advance(ct.advance("proposed", "replayed"), "promoted") == "promoted"
+    with pytest.raises(ValueError):
+        ct.advance("rejected", "promoted")
+
+
+def test_promoted_is_the_latest_stage(spark):
+    rows = [("a", "b", "proposed", 1), ("a", "b", "promoted", 2), ("c", "b", "promoted", 1), ("c", "b", "retired", 2)]
+    assert [tuple(r) for r in ct.promoted(spark.createDataFrame(rows, "narrow string, wide string, stage string, version int")).collect()] == [("a", "b")]

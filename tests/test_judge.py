@@ -22,12 +22,16 @@ def test_consensus_stops_when_no_continuation_changes_it():
 def test_gates_and_fits():
     a = jd.Coverage(frozenset("ab"), 4)
     assert jd.coverage_gate(a, jd.Coverage(frozenset("abc"), 4)) and not jd.coverage_gate(a, a) and not jd.coverage_gate(a, jd.Coverage(frozenset("acd"), 4))
-    assert jd.threshold_fit([]) is None
-    cut = jd.threshold_fit([(1, 1, 9), (4, 1, 9), (16, 9, 1), (64, 9, 1)])
-    assert cut == 8.0
     assert jd.facet_path(10, 1, True) == "bitmap" and jd.facet_path(10, 1, False) == "ordinal" and jd.sort_path(1000, 48, 2000) == "presorted" and jd.sort_path(10, 48, 5000) == "scan"
 
 
+def test_threshold_fit(spark):
+    fit = lambda rows: [tuple(r) for r in jd.threshold_fit(spark.createDataFrame(rows, "x double, below double, above double")).collect()]
+    assert fit([]) == []
+    assert fit([(1.0, 1.0, 9.0), (4.0, 1.0, 9.0), (16.0, 9.0, 1.0), (64.0, 9.0, 1.0)]) == [(8.0, 4.0, True)]
+    assert fit([(1.0, 1.0, 9.0), (4.0, 1.0, 9.0)]) == [(None, 2.0, False)]
+
+
 def test_canonical_roles_of_the_whole_table(spark, sf_dir):
     from mercantor.queries.judging import d_canonical_roles
 

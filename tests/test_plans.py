@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from mercantor.model import Brand, Category, Enum, Multi, Num, Preference, PriceOver, PriceUnder, ProductType, Query
 from mercantor.operators import lexical as lex
 from mercantor.plans import planner as pl
-from mercantor.plans.compile import Lexicon, compile_corpus, compile_text, money
+from mercantor.plans.compile import Lexicon, compile_corpus, compile_text, money, query_of_row
 from mercantor.plans.sql import where_all
 
 LEX = Lexicon(
@@ -65,7 +65,7 @@ def test_corpus_is_the_same_scan(spark):
     got = compile_corpus(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string"), LEX).orderBy("k").collect()
     for r, t in zip(got, texts, strict=True):
         q = compile_text(t or "", LEX)
-        assert (r["n_constraints"], r["residual"], r["ambiguous"]) == (len(q.constraints), list(q.residual), [a.text for a in q.ambiguous])
+        assert query_of_row(r) == q
 
 
 @pytest.fixture(scope="module")
