@@ -1,3 +1,3 @@
 """All registered queries; importing this package fills the registry."""
 
-from . import aggregates, browse, feeds, filters, judging, learning, lookups, quality, state, texts  # noqa: F401
+from . import aggregates, browse, feeds, filters, judging, learning, lookups, planning, quality, state, texts  # noqa: F401

@@ -117,5 +117,19 @@ def test_hits_are_verified(shop):
     assert [(r["product_id"], r["variant_id"]) for r in fast] == [(0, 0), (0, 1)]
 
 
+def test_texts_compile_to_the_queries_of_the_plans(spark, sf_dir):
+    from mercantor.queries import planning as pg
+
+    lex_ = pg.lexicon(spark, "/root/testdata/sf0.01")
+    assert {k: compile_text(t, lex_) for k, (t, _) in pg.TEXTS.items()} == pg.QUERIES
+
+
+def test_named_variants_are_never_replaced(spark, shop):
+    hits = spark.createDataFrame([(1, 11, 3.0), (2, 20, 2.0), (4, None, 1.0)], pl.HITS)
+    q = Query((Brand("B1"),))
+    assert [tuple(r) for r in pl.verify(hits, shop, q, 9).collect()] == [(1, 11, 3.0)]
+    assert [r["product_id"] for r in pl.verify(hits, shop, Query((Brand("B0"),)), 9).collect()] == [2, 4]
+
+
 def test_sql_text_quotes():
     assert "O''Neill" in where_all([Brand("O'Neill")])
