@@ -1,7 +1,8 @@
 """Array kernels over Arrow text columns: words, word hashes and window hashes of many texts at once.
 
-A column's UTF-8 bytes are handled as one numpy array, about a megabyte at a time (`pieces_of`), so memory
-depends on the longest text and not on the batch.  Null texts count as empty ones.
+A column's UTF-8 bytes are handled as one numpy array, about a megabyte at a time (`texts_of`).  A longer text is a
+slice by itself; its words are hashed a slice at a time too, so it costs a few bytes a byte and not dozens.  Null
+texts count as empty ones.
 """
 
 from __future__ import annotations
@@ -75,14 +76,46 @@ class Texts:
     def sums(self, fold: np.ndarray = NO_FOLD) -> np.ndarray:
         """Running polynomial sums of the bytes, from which `hashes` reads the hash of any span."""
         if self._sums is None:
-            up, _ = _Powers.of(len(self.data) + 1)
-            self._sums = np.zeros(len(self.data) + 1, U64)
-            np.cumsum(_BYTE[fold][self.data] * up[: len(self.data)], out=self._sums[1:])
+            self._sums = _sums(self.data, fold)
         return self._sums
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = NO_FOLD) -> np.ndarray:
-        sums, (_, down) = self.sums(fold), _Powers.of(len(self.data) + 1)
-        return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+        """A hash of each span's bytes; of long texts the spans, which must not overlap then, are taken a slice at a time."""
+        if len(self.data) <= 4 * SLICE_BYTES:
+            return _hashes(self.sums(fold), starts, ends)
+        out = np.empty(len(starts), U64)
+        at = 0
+        while at < len(starts):
+            low = int(starts[at])
+            to = max(at + 1, int(np.searchsorted(ends, low + SLICE_BYTES, "right")))
+            if int(ends[to - 1]) - low > SLICE_BYTES:
+                out[at] = _long_hash(self.data[low : ends[at]], fold)
+            else:
+                out[at:to] = _hashes(_sums(self.data[low : ends[to - 1]], fold), starts[at:to] - low, ends[at:to] - low)
+            at = to
+        return out
+
+
+def _sums(data: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    up, _ = _Powers.of(len(data) + 1)
+    out = np.zeros(len(data) + 1, U64)
+    np.cumsum(_BYTE[fold][data] * up[: len(data)], out=out[1:])
+    return out
+
+
+def _hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    _, down = _Powers.of(len(sums))
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+
+
+def _long_hash(data: np.ndarray, fold: np.ndarray) -> int:
+    """The hash of one span of any length, a slice at a time."""
+    total, step = 0, pow(_BASE, SLICE_BYTES, 1 << 64)
+    power = 1
+    for at in range(0, len(data), SLICE_BYTES):
+        total += int(_sums(data[at : at + SLICE_BYTES], fold)[-1]) * power
+        power = power * step & (1 << 64) - 1
+    return int(mixed(np.array([(total + len(data)) & (1 << 64) - 1], U64))[0])
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -1,47 +1,53 @@
 """Token ids in wavelet matrices: bit-planes with rank and select, one compressed file for each shard.
 
-Documents are dealt into shards by ranges of their ids, so shards follow one another in ascending order.  A shard
-is one Parquet file (zstd) of segments; a segment holds the ids of whole documents, about ``SEGMENT`` of them, as
-one wavelet matrix: the distinct ids in order, and for each bit of an id's number among them a plane of bits, each
-plane's ids being parted stably by the bit of the plane before.  With counts of ones before each word of a plane,
-a token, the number of times an id occurs before a place, and its k-th occurrence take one step a plane.
-
+Documents are dealt into shards by ranges of their ids, so shards follow one another in ascending order.  Texts are
+encoded where they are read, and only token ids are shuffled.  A shard is one Parquet file (zstd) of segments; a
+segment holds the ids of whole documents, about ``SEGMENT`` of them, as one wavelet matrix: the distinct ids in
+order, and for each bit of an id's number among them a plane of bits, each plane's ids being parted stably by the bit
+of the plane before.  Beside each plane stands its rank directory, the ones before each block of 512 bits, so a
+token, the number of times an id occurs before a place, and its k-th occurrence take one step a plane and no pass
+over a plane.
+
+`access`, `count_before` and `locate` answer from the files: a segment's totals say which segment holds the answer.
 Segments bound memory and the work lost with an executor; files are written and read by Spark, so they may lie
 in any store that it reaches.
 
 Defined results: a null or empty text is the end id alone; rows with a null id come first; repeated rows are
-stored as often as they come, in the order of id and hash; an empty table writes no segment; other columns are
-not read; a text of any length is one segment at most.
+stored as often as they come, in the order of id and ids; an empty table writes no segment; other columns are
+not read; a text of any length is one segment at most; ids may be of any type that orders.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .kernels import column, texts_of
 from .tokens import encoder
-from .workspace import fresh_path, prepared
+from .workspace import fresh_path, prepared, small_batches
 
 SEGMENT = 1 << 20
 END = 0
 #: Shard totals of up to so many shards are broadcast; more are joined by shuffle.
 BROADCAST_SHARDS = 100_000
-_MAGIC = 0x314D5857
+_MAGIC = 0x324D5857
+#: Bytes of a plane for which one number in its rank directory stands.
+_BLOCK = 64
+#: Rows of a shard, at least; fewer shards are made of few rows.
+SHARD_ROWS = 256
 
 
 class WaveletMatrix:
     """A sequence of ids that answers access, rank and select from its bit-planes."""
 
-    def __init__(self, n: int, alphabet: np.ndarray, planes: list[np.ndarray]):
-        self.n, self.alphabet, self.planes = n, alphabet, planes
-        self._ones: list[np.ndarray] | None = None
+    def __init__(self, n: int, alphabet: np.ndarray, planes: list[np.ndarray], ranks: list[np.ndarray]):
+        self.n, self.alphabet, self.planes, self.ranks = n, alphabet, planes, ranks
 
     @classmethod
     def of(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -58,11 +64,11 @@ class WaveletMatrix:
             planes.append(np.packbits(bit, bitorder="little"))
             if k:
                 now = np.concatenate([now[~bit], now[bit]])
-        return cls(n, alphabet, planes)
+        return cls(n, alphabet, planes, [_directory(p) for p in planes])
 
     def to_bytes(self) -> bytes:
         head = np.array([_MAGIC, len(self.planes), len(self.alphabet), self.n & 0xFFFFFFFF, self.n >> 32], "<u4")
-        return b"".join([head.tobytes(), self.alphabet.astype("<u4").tobytes(), *(p.tobytes() for p in self.planes)])
+        return b"".join([head.tobytes(), self.alphabet.astype("<u4").tobytes(), *(p.tobytes() for p in self.planes), *(r.astype("<u4").tobytes() for r in self.ranks)])
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> WaveletMatrix:
@@ -71,9 +77,12 @@ class WaveletMatrix:
             raise ValueError("not a wavelet matrix")
         n, at = low | high << 32, 20 + 4 * letters
         width = -(-n // 8)
-        if len(raw) != at + depth * width:
+        marks = -(-width // _BLOCK) + 1
+        ranks = at + depth * width
+        if len(raw) != ranks + 4 * depth * marks:
             raise ValueError("a wavelet matrix of the wrong length")
-        return cls(n, np.frombuffer(raw, "<u4", letters, 20), [np.frombuffer(raw, np.uint8, width, at + k * width) for k in range(depth)])
+        planes = [np.frombuffer(raw, np.uint8, width, at + k * width) for k in range(depth)]
+        return cls(n, np.frombuffer(raw, "<u4", letters, 20), planes, [np.frombuffer(raw, "<u4", marks, ranks + 4 * k * marks) for k in range(depth)])
 
     def decode(self) -> np.ndarray:
         """All ids: from the last plane up, the two parts of each plane are merged again."""
@@ -92,11 +101,12 @@ class WaveletMatrix:
         return self.alphabet[now]
 
     def _before(self, level: int, i: int) -> int:
-        """Ones of a plane before place i."""
-        if self._ones is None:
-            self._ones = [np.concatenate([[0], np.cumsum(np.bitwise_count(p), dtype=np.int64)]) for p in self.planes]
+        """Ones of a plane before place i: the directory's number, and at most 512 bits counted."""
         byte, rest = divmod(i, 8)
-        return int(self._ones[level][byte]) + (int(self.planes[level][byte] & ((1 << rest) - 1)).bit_count() if rest else 0)
+        block = byte // _BLOCK
+        plane = self.planes[level]
+        ones = int(self.ranks[level][block]) + int(np.bitwise_count(plane[block * _BLOCK : byte]).sum())
+        return ones + (int(plane[byte] & ((1 << rest) - 1)).bit_count() if rest else 0)
 
     def _step(self, level: int, i: int, bit: int) -> int:
         ones = self._before(level, i)
@@ -146,43 +156,73 @@ class WaveletMatrix:
         return i
 
 
+def _directory(plane: np.ndarray) -> np.ndarray:
+    """Ones before each block of a plane, and of the whole."""
+    ones = np.bitwise_count(plane)
+    blocks = np.add.reduceat(ones, np.arange(0, len(ones), _BLOCK), dtype=np.uint32) if len(ones) else np.zeros(0, np.uint32)
+    return np.concatenate([[0], np.cumsum(blocks)]).astype(np.uint32)
+
+
+def _bounds(ids: DataFrame, most: int) -> list:
+    """The first ids of all shards but the first: equal ranges of the ids alone, no text is read for them."""
+    n = ids.count()
+    shards = max(1, min(most, n // SHARD_ROWS))
+    if shards == 1:
+        return []
+    dealt = ids.where("doc_id is not null").repartitionByRange(shards, "doc_id").withColumn("p", F.spark_partition_id())
+    return sorted({r["b"] for r in dealt.groupBy("p").agg(F.min("doc_id").alias("b")).collect()})[1:]  # one row a shard
+
+
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = END, segment: int = SEGMENT) -> DataFrame:
     """Segments (shard, at, doc_ids, counts, n_tokens, matrix), shards and ``at`` (ids before, in the shard) ascending."""
+    spark = docs.sparkSession
+    small_batches(spark)
     docs = prepared(docs, doc_id=id_col, text=text_col)
     key = docs.schema["doc_id"].dataType.simpleString()
-    kind = pa.int32() if key == "int" else pa.int64()
+    bounds = _bounds(docs.select("doc_id"), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard, at = encoder(path), TaskContext.get().partitionId(), 0
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for batch in batches:
+            for texts in texts_of(column(batch, "text")):
+                names = batch.column(0).slice(texts.first, texts.n)
+                flat, n = enc.encode(texts)
+                ends = np.cumsum(n)
+                ids = [flat[b - c : b].tobytes() for b, c in zip(ends.tolist(), n.tolist(), strict=True)]
+                shards = [0 if x is None else bisect_right(bounds, x) for x in names.to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), names, pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, at, shard = encoder(path).type, 0, None
         ids: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
         names: list[pa.Array] = []
+        last = np.array([end], kind)
 
         def close() -> pa.RecordBatch:
-            nonlocal at, ids, counts, names
-            flat, n = np.concatenate(ids), np.concatenate(counts)
-            row = [pa.array([shard], pa.int32()), pa.array([at], pa.int64()), pa.array([pa.chunked_array(names).to_pylist()], pa.list_(kind)), pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([len(flat)], pa.int64()), pa.array([WaveletMatrix.of(flat).to_bytes()], pa.binary())]
-            at, ids, counts, names = at + len(flat), [], [], []
+            nonlocal at, ids, names
+            flat, n = np.concatenate([x for own in ids for x in (own, last)]), [len(x) + 1 for x in ids]
+            row = [pa.array([shard], pa.int32()), pa.array([at], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.concat_arrays(names)), pa.array([n], pa.list_(pa.int64())), pa.array([len(flat)], pa.int64()), pa.array([WaveletMatrix.of(flat).to_bytes()], pa.binary())]
+            at, ids, names = at + len(flat), [], []
             return pa.RecordBatch.from_arrays(row, names=["shard", "at", "doc_ids", "counts", "n_tokens", "matrix"])
 
         held = 0
         for batch in batches:
-            for texts in texts_of(column(batch, "text")):
-                flat, n = enc.encode(texts)
-                ends = np.cumsum(n)
-                ids.append(np.insert(flat, ends, end))
-                counts.append(n + 1)
-                names.append(batch.column(0).slice(texts.first, texts.n).cast(kind))
-                held += len(ids[-1])
-                if held >= segment:
+            for k, (s, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
+                if ids and (s != shard or held >= segment):
                     yield close()
                     held = 0
-        if names:
+                if s != shard:
+                    shard, at = s, 0
+                own = np.frombuffer(raw.as_buffer(), kind)
+                ids.append(own)
+                names.append(batch.column(1).slice(k, 1))
+                held += len(own) + 1
+        if ids:
             yield close()
 
-    order = ["doc_id", F.xxhash64("text")]
-    placed = docs.repartitionByRange("doc_id").sortWithinPartitions(*order)
-    return placed.mapInArrow(run, f"shard int, at long, doc_ids array<{key}>, counts array<long>, n_tokens long, matrix binary")
+    encoded = docs.mapInArrow(tokens, f"shard int, doc_id {key}, ids binary")
+    placed = encoded.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    return placed.mapInArrow(segments, f"shard int, at long, doc_ids array<{key}>, counts array<long>, n_tokens long, matrix binary")
 
 
 def write(docs: DataFrame, path: str, to: str, **how) -> None:
@@ -227,6 +267,49 @@ def occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
     return spark.read.parquet(path).select("shard", "at", "matrix").mapInArrow(run, "shard int, at long, n long")
 
 
+def _asked(segments: DataFrame, answer, what: str) -> DataFrame:
+    """(q, answer) of segments (q, x, base, matrix): one question for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, x, base = (batch.column(k).to_pylist() for k in range(3))
+            got = [answer(WaveletMatrix.from_bytes(m.as_buffer()), i) + b for i, b, m in zip(x, base, batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(got, pa.int64())], names=["q", what])
+
+    return segments.select("q", "x", "base", "matrix").mapInArrow(run, f"q long, {what} long")
+
+
+def access(spark: SparkSession, path: str, shard: int, places: list[int]) -> DataFrame:
+    """(q, token): the token at each of some places of a shard, read from the one segment that holds it."""
+    asked = F.broadcast(spark.createDataFrame([(i,) for i in places], "q long"))
+    files = spark.read.parquet(path).where(F.col("shard") == shard)
+    hit = files.join(asked, (F.col("q") >= F.col("at")) & (F.col("q") < F.col("at") + F.col("n_tokens")))
+    return _asked(hit.select("q", (F.col("q") - F.col("at")).alias("x"), F.lit(0).cast("long").alias("base"), "matrix"), lambda m, i: m.access(i), "token")
+
+
+def count_before(spark: SparkSession, path: str, token: int, shard: int, places: list[int]) -> DataFrame:
+    """(q, n): how often an id occurs in a shard before each of some places."""
+    asked = F.broadcast(spark.createDataFrame([(i,) for i in places], "q long"))
+    files = spark.read.parquet(path).where(F.col("shard") == shard)
+    hit = files.join(asked, F.col("q") > F.col("at"))
+    parts = _asked(hit.select("q", F.least(F.col("q") - F.col("at"), F.col("n_tokens")).alias("x"), F.lit(0).cast("long").alias("base"), "matrix"), lambda m, i: m.rank(token, i), "n")
+    return asked.join(parts.groupBy("q").agg(F.sum("n").alias("n")), "q", "left").select("q", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def locate(spark: SparkSession, path: str, token: int, shard: int, ks: list[int]) -> DataFrame:
+    """(q, place): where occurrence q (from 0) of an id stands in a shard; none beyond the last.
+
+    A first pass counts the id in each segment; only segments that hold an asked occurrence are read again.
+    """
+    asked = F.broadcast(spark.createDataFrame([(k,) for k in ks], "q long"))
+    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # one row a segment of the shard
+    counts = occurrences(spark, path, token).where(F.col("shard") == shard).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    hit = counts.join(asked, (F.col("q") >= F.col("before")) & (F.col("q") < F.col("before") + F.col("n")))
+    files = spark.read.parquet(path).where(F.col("shard") == shard).select("at", "matrix")
+    rows = files.join(hit.select("at", "q", (F.col("q") - F.col("before")).alias("x"), F.col("at").alias("base")), "at")
+    return _asked(rows, lambda m, k: m.select(token, k), "place")
+
+
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """The contract's columns, read back from files."""
     to = fresh_path(docs.sparkSession)

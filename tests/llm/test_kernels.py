@@ -42,3 +42,18 @@ def test_equal_shingles_have_equal_hashes():
             for h in own:
                 seen.setdefault(h, set()).add(key)
     assert np.unique(list(seen)).size == len(set().union(*known))
+
+
+def test_long_texts_are_hashed_as_short_ones():
+    import numpy as np
+
+    from mercantor.llm import kernels as kn
+
+    text = "word " * 1_200_000 + "x" * 3_000_000 + " the end"
+    (long,) = kn.texts_of(pa.array([text]))
+    w = kn.Words(long, kn.VISIBLE)
+    (short,) = kn.texts_of(pa.array(["word the end"]))
+    s = kn.Words(short, kn.VISIBLE).hashes
+    assert (w.hashes[:1_200_000] == s[0]).all() and w.hashes[-2:].tolist() == s[1:].tolist()
+    piece = np.frombuffer(b"x" * 3_000_000, np.uint8)
+    assert w.hashes[-3] == kn._hashes(kn._sums(piece, kn.NO_FOLD), np.array([0]), np.array([3_000_000]))[0]

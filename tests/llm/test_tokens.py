@@ -85,6 +85,17 @@ def test_wavelet_matrix(n, letters):
         wv.WaveletMatrix.from_bytes(m.to_bytes() + b"x")
 
 
+def test_shards_follow_one_another(spark, tmp_path):
+    rows = [(f"id{i * 7919 % 5000:05d}", f"w{i} " * (i % 5)) for i in range(2000)] + [(None, "none"), ("id00003", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    path = str(tmp_path / "w")
+    wv.write(df.selectExpr("*", "1 as shard", "2 as ids"), PATH, path)
+    got = sorted(map(tuple, wv.read(spark, path).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or ""))
+    assert [r[1] for r in got] == [sum(r[2] for r in got[:k]) for k in range(len(got))]
+    assert 1 < spark.read.parquet(path).select("shard").distinct().count() <= 4
+
+
 def test_files(spark, library, tmp_path):
     rows = [(3 * i % 101, t) for i, t in enumerate(texts(101, 50, 5))] + [(200, None), (201, ""), (7, "again"), (300, "long text " * 4000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -102,5 +113,15 @@ def test_files(spark, library, tmp_path):
     token = library.encode("again", add_special_tokens=False).ids[0]
     total = sum(library.encode(t or "", add_special_tokens=False).ids.count(token) for _, t in rows)
     assert sum(r["n"] for r in wv.occurrences(spark, path, token).collect()) == total
+    shards = {}
+    for r in spark.read.parquet(path).orderBy("shard", "at").collect():
+        shards.setdefault(r["shard"], []).extend(wv.WaveletMatrix.from_bytes(bytes(r["matrix"])).decode().tolist())
+    s, flat = max(shards.items(), key=lambda x: len(x[1]))
+    assert len(spark.read.parquet(path).where(f"shard = {s}").collect()) > 2
+    places = [0, 1, 499, 500, len(flat) // 2, len(flat) - 1]
+    assert {r["q"]: r["token"] for r in wv.access(spark, path, s, places).collect()} == {i: flat[i] for i in places}
+    where = [i for i, x in enumerate(flat) if x == token]
+    assert {r["q"]: r["n"] for r in wv.count_before(spark, path, token, s, [*places, len(flat)]).collect()} == {i: flat[:i].count(token) for i in [*places, len(flat)]}
+    assert {r["q"]: r["place"] for r in wv.locate(spark, path, token, s, [0, len(where) - 1, len(where)]).collect()} == {k: where[k] for k in {0, len(where) - 1} if where}
     wv.write(df.limit(0), PATH, str(tmp_path / "none"))
     assert wv.read(spark, str(tmp_path / "none")).count() == 0
