@@ -126,8 +126,9 @@ def test_feeds(spark, tmp_path):
     (tmp_path / "f.tsv").write_text('id\tbag\n1\ta:b|c : d:e|x|a:z\n')
     feed = src.read_feed(spark, str(tmp_path / "f.tsv"))
     assert {(r["key"], r["value"]) for r in src.feature_rows(feed, "id", "bag").collect()} == {("a", "b"), ("c", "d:e")}
-    shop = src.synthetic(spark, 50)
-    assert shop.collect() == src.synthetic(spark, 50).collect() and shop.count() == 100
+    ids = spark.range(50).withColumnRenamed("id", "product_id")
+    shop = src.synthetic(ids)
+    assert shop.collect() == src.synthetic(ids).collect() and shop.count() == 100
     src.write_jsonl(shop, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 100
     assert json.loads(src.manifest(spark, run=1))["run"] == 1 and not math.isnan(1)

@@ -53,3 +53,15 @@ def test_stream(spark, tmp_path):
     q.stop()
     got = {r["key"]: (r["authority"], r["at"], r["payload"]) for r in ss.current(spark.read.parquet(str(tmp_path / "out")).drop("version")).collect()}
     assert got == fold(rows)[0]
+
+
+def test_versions_are_merged(spark, tmp_path):
+    rows = deltas(9)
+    write = ss.upsert_to(str(tmp_path / "out"))
+    for k in range(3):
+        write(spark.createDataFrame(rows[40 * k : 40 * k + 40], SCHEMA), k)
+    before = {tuple(r) for r in ss.current(spark.read.parquet(str(tmp_path / "out")).drop("version")).select("key", "payload", "authority", "at").collect()}
+    assert ss.compact(spark, str(tmp_path / "out")) == 3
+    left = spark.read.parquet(str(tmp_path / "out"))
+    assert [r["version"] for r in left.select("version").distinct().collect()] == [3] and left.count() == len(before)
+    assert {tuple(r) for r in ss.current(left.drop("version")).select("key", "payload", "authority", "at").collect()} == before
