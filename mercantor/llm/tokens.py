@@ -1,7 +1,8 @@
 """Exact token ids of many texts: every distinct piece of a task's texts goes through the tokenizer once.
 
-A piece is a run of ASCII white space with the run of other bytes after it.  A byte-level pre-tokenizer never
-joins across the end of such a piece and never looks beyond it, so a text's ids are its pieces' ids in a row.
+A piece is a run of ASCII white space with the run of other bytes after it, cut again where an ASCII letter is
+followed by an ASCII mark.  A byte-level pre-tokenizer never joins across the end of such a piece and never looks
+beyond it, so a text's ids are its pieces' ids in a row.
 Two kinds of text are handed to the library whole: those with other Unicode white space, which may reach across
 pieces, and those that contain a special token's string.  Pieces are known by their 64-bit hashes.
 """
@@ -14,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .kernels import U64, VISIBLE, Texts, Words
+from .kernels import U64, VISIBLE, Texts, Words, byte_class
 
 #: Pieces that a worker remembers.  Beyond that it forgets all and starts again; results are the same.
 MOST_PIECES = 1_000_000
@@ -22,6 +23,10 @@ MOST_PIECES = 1_000_000
 _PLAIN = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+_LETTER = byte_class((0x41, 0x5A), (0x61, 0x7A))
+_MARK = byte_class((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: visible Latin-1 characters stand for
     themselves, the others get the letters from U+0100 on, in order."""
@@ -100,10 +105,16 @@ class Encoder:
         last[has] = words.ends[words.first[1:][has] - 1]
         last[odd] = texts.offsets[:-1][odd]
         tail = np.flatnonzero(last < texts.offsets[1:])
-        s = np.concatenate([starts[keep], last[tail]])
-        e = np.concatenate([words.ends[keep], texts.offsets[1:][tail]])
-        t = np.concatenate([words.text[keep], tail.astype(np.int32)])
+        s, e, t = starts[keep], words.ends[keep], words.text[keep]
+        cuts = np.flatnonzero(_LETTER[texts.data[:-1]] & _MARK[texts.data[1:]]) + 1
+        if len(cuts) and len(s):
+            # A letter and a mark beside each other are one word's, but for the end of a text and the start of the next.
+            own = np.searchsorted(s, cuts) - 1
+            inside = (own >= 0) & (cuts > s[own]) & (cuts < e[own])
+            cuts, own = cuts[inside], own[inside]
+            s, e, t = np.insert(s, own + 1, cuts), np.insert(e, own, cuts), np.insert(t, own, t[own])
         if len(tail):
+            s, e, t = np.concatenate([s, last[tail]]), np.concatenate([e, texts.offsets[1:][tail]]), np.concatenate([t, tail.astype(np.int32)])
             order = np.argsort(s, kind="stable")
             s, e, t = s[order], e[order], t[order]
         return s, e, t
