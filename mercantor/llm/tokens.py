@@ -3,8 +3,9 @@
 A piece is a run of ASCII white space with the run of other bytes after it, cut again where an ASCII letter is
 followed by an ASCII mark.  A byte-level pre-tokenizer never joins across the end of such a piece and never looks
 beyond it, so a text's ids are its pieces' ids in a row.
-Two kinds of text are handed to the library whole: those with other Unicode white space, which may reach across
-pieces, and those that contain a special token's string.  Pieces are known by their 64-bit hashes.
+Two kinds of text are odd: those with other Unicode white space, which may reach across pieces, and those that
+contain a special token's string.  They are cut only where an ASCII mark, letter or digit is followed by ASCII white
+space, which ends a token whatever stands elsewhere.  Pieces are known by their 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ class Encoder:
         with open(path) as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        #: Whether odd texts may be cut at white space: no special token has any.
+        self.parts = not any(re.search(r"\s", t) for t in self.special)
         kind = spec.get("pre_tokenizer") or {}
         #: Whether pieces are independent: a byte-level BPE with nothing before it.
         self.by_piece = kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True) and not spec.get("normalizer")
@@ -69,6 +72,14 @@ class Encoder:
                 out += [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
         return out
 
+    def payload(self, pieces: list[str]) -> list[list[int]]:
+        """What the cache keeps of each piece: its ids."""
+        out = [self._known(r) if self.by_piece else None for r in pieces]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.whole([pieces[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
+
     def odd(self, texts: Texts) -> np.ndarray:
         """Texts that aren't the sum of their pieces, or may not be."""
         if not self.by_piece:
@@ -92,32 +103,25 @@ class Encoder:
         return out
 
     def pieces(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(starts, ends, text numbers) of all pieces in order; an odd text is one piece."""
-        odd = self.odd(texts)
-        words = Words(texts, VISIBLE)
-        starts = np.empty_like(words.starts)
-        starts[1:] = words.ends[:-1]
-        heads = words.first[:-1][words.counts > 0]
-        starts[heads] = texts.offsets[:-1][words.counts > 0]
-        keep = ~odd[words.text]
-        last = texts.offsets[:-1].copy()
-        has = words.counts > 0
-        last[has] = words.ends[words.first[1:][has] - 1]
-        last[odd] = texts.offsets[:-1][odd]
-        tail = np.flatnonzero(last < texts.offsets[1:])
-        s, e, t = starts[keep], words.ends[keep], words.text[keep]
-        cuts = np.flatnonzero(_LETTER[texts.data[:-1]] & _MARK[texts.data[1:]]) + 1
-        if len(cuts) and len(s):
-            # A letter and a mark beside each other are one word's, but for the end of a text and the start of the next.
-            own = np.searchsorted(s, cuts) - 1
-            inside = (own >= 0) & (cuts > s[own]) & (cuts < e[own])
-            cuts, own = cuts[inside], own[inside]
-            s, e, t = np.insert(s, own + 1, cuts), np.insert(e, own, cuts), np.insert(t, own, t[own])
-        if len(tail):
-            s, e, t = np.concatenate([s, last[tail]]), np.concatenate([e, texts.offsets[1:][tail]]), np.concatenate([t, tail.astype(np.int32)])
-            order = np.argsort(s, kind="stable")
-            s, e, t = s[order], e[order], t[order]
-        return s, e, t
+        """(starts, ends, text numbers) of all pieces in order."""
+        low, high = texts.offsets[:-1], texts.offsets[1:]
+        starts = [low[high > low]]
+        if self.by_piece:
+            odd, words = self.odd(texts), Words(texts, VISIBLE)
+            last = words.ends - 1
+            border = ~odd[words.text] | ((texts.data[last] < 0x80) & self.parts)
+            starts.append(words.ends[border & (words.ends < high[words.text])])
+            cuts = np.flatnonzero(_LETTER[texts.data[:-1]] & _MARK[texts.data[1:]]) + 1
+            own = np.searchsorted(texts.offsets, cuts, "right") - 1
+            starts.append(cuts[~odd[own] & (cuts > low[own])])
+        s = np.concatenate(starts)
+        s.sort()
+        t = np.searchsorted(texts.offsets, s, "right") - 1
+        e = np.empty_like(s)
+        e[:-1] = s[1:]
+        if len(s):
+            e[-1] = high[t[-1]]
+        return s, np.minimum(e, high[t]), t.astype(np.int32)
 
     def slots_of(self, texts: Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Each piece's number in the cache, where new ones are put first."""
@@ -133,10 +137,7 @@ class Encoder:
         if len(new):
             first = len(self.starts) - 1
             raw = [texts.data[a:b].tobytes().decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
-            ids = [self._known(r) if self.by_piece else None for r in raw]
-            rest = [i for i, x in enumerate(ids) if x is None]
-            for i, x in zip(rest, self.whole([raw[i] for i in rest]), strict=True):
-                ids[i] = x
+            ids = self.payload(raw)
             counts = np.array([len(x) for x in ids], np.int64)
             flat = np.fromiter((v for x in ids for v in x), self.type, int(counts.sum()))
             while self.used + len(flat) > len(self.ids):
@@ -148,12 +149,6 @@ class Encoder:
             place = np.searchsorted(self.keys, unique)
         return self.slots[place][back]
 
-    def counts(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(starts, ends, text numbers, token counts) of all pieces in order."""
-        s, e, t = self.pieces(texts)
-        slots = self.slots_of(texts, s, e)
-        return s, e, t, self.starts[slots + 1] - self.starts[slots]
-
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of each text's ids)."""
         s, e, t = self.pieces(texts)

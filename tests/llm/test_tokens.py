@@ -64,6 +64,11 @@ def test_counts(spark, library):
     assert tc.count(df.limit(0), PATH).count() == 0
     tables = {r["doc_id"]: r["counts"] for r in tc.prefix_tables(df, PATH).collect()}
     assert all((tables[r["doc_id"]] or [0])[-1] == r["n_tokens"] for r in got)
+    for i, t in enumerate(docs[:30]):
+        assert tables[i] == [len(library.encode(t[: k + 1], add_special_tokens=False).ids) for k in range(len(t or ""))]
+    for r in tc.truncated(tc.prefix_tables(df, PATH), 9).collect():
+        c = [0, *tables[r["doc_id"]]]
+        assert (r["chars"], r["tokens"]) == (max(k for k, n in enumerate(c) if n <= 9), c[r["chars"]])
 
 
 @pytest.mark.parametrize("n, letters", [(0, 1), (1, 1), (7, 1), (200, 2), (1000, 37), (3000, 60000)])
