@@ -25,7 +25,8 @@ shingle is a block of its own).
 Defined results: a null, empty or wordless text has no shingles, links with nothing and is its own component; a
 text of fewer than five words has one shingle, its whole sequence; rows that share an id are one document, which
 has the links of each of its rows; rows without an id link with nothing and have a null component; an empty
-table gives no rows; only the id and text columns are read, so others may have any name.
+table gives no rows; only the id and text columns are read, so others may have any name; ids are whole numbers
+(others are a TypeError).
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import FOLD, U64, VISIBLE, Words, column, mixed, shingles, texts_of
-from .workspace import OWN, drop, keep, prepared, small_batches
+from .workspace import OWN, drop, keep, prepared, small_batches, whole_numbers
 
 N = 5
 #: Below 2**SINGLE shingles every shingle is a block of its own.
@@ -382,6 +383,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     two linked rows must share, here or (with less than certainty) another scheme's.
     """
     small_batches(docs.sparkSession)
+    whole_numbers(docs, id_col)
     docs = prepared(docs, id=id_col, text=text_col)
     docs = docs.withColumn("id", F.col("id").cast("long"))
     rows = keep(profiles(docs, n))

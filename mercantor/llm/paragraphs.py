@@ -21,7 +21,7 @@ and a word that any kept stretch holds is kept, so what remains of a removed pas
 
 Defined results: a null, empty or wordless text has no paragraphs; repeats within one document only are no repeats
 across documents; rows without an id are left out; rows that share an id are one document; a repeated row is a
-copy of its document only if the ids differ; ids may be any 64-bit numbers, and texts have any number of lines; an
+copy of its document only if the ids differ; ids may be any 64-bit whole numbers (others are a TypeError), and texts have any number of lines; an
 empty table gives no rows; other columns are not read.
 """
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .jaccard import among, join, shared
 from .kernels import PLACE, U64, VISIBLE, Words, column, list_array, list_values, mixed, rolling, texts_of
-from .workspace import drop, keep, prepared, small_batches
+from .workspace import drop, keep, prepared, small_batches, whole_numbers
 
 BANDS, ROWS = 9, 3
 MIN_WORDS, ANCHOR_WORDS, RUN_WORDS = 16, 13, 24
@@ -280,6 +280,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     paragraph.  cluster is the smallest unit number of a component, or the smallest document that keeps
     a stretch of a passage.
     """
+    whole_numbers(docs, id_col)
     docs = prepared(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null and text is not null")
     small_batches(docs.sparkSession)
     docs = docs.withColumn("k", F.xxhash64(F.lit(1), "text"))

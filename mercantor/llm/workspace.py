@@ -75,6 +75,13 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def whole_numbers(df: DataFrame, id_col: str) -> None:
+    """Ids that order classes and components must be whole numbers; anything else is told at once, not in a task."""
+    kind = df.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must hold whole numbers, not {kind}")
+
+
 #: Bytes of an Arrow batch on its way to Python; a longer text is a batch by itself.
 BATCH_BYTES = 4 << 20
 
