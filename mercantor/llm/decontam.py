@@ -4,13 +4,15 @@ The windows of the benchmark items are hashed into a sorted array with a bitmap
 window of every document is hashed and looked up; a hit counts only once the words themselves are equal.
 Hit words are merged into spans, which can be cut out, or their share condemns the document.
 
-The set is broadcast only while the benchmark's text is within ``slice_bytes``; a larger benchmark is dealt
-into slices of that size at most, and the documents are scanned once for each, so no worker ever holds more.
+The set is broadcast only while the benchmark's text is within ``slice_bytes`` (16 MB, of which some 160 MB of arrays
+are made); a larger benchmark is dealt into slices of that size at most, and the documents are scanned once for each,
+so no worker ever holds more; each scan's output replaces the one before.
 
 Defined results: a null or wordless text has no words, hits or items; an item with fewer than n words, but
 not none, is one window of its own length; a wordless or null text has no window; items without an id hit like
 others and are one item together, null in ``items`` and left out of its joined ids; repeated items keep their ids, repeated rows are judged one by one; an empty benchmark hits nothing; columns of the documents pass
-through untouched, whatever their names, and those that the scan adds start with ``__mx_``.
+through untouched, whatever their names, and those that the scan adds start with ``__mx_``; item ids are whole
+numbers (others are a TypeError).
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import ALNUM, FOLD, U64, Texts, Words, column, list_array, texts_of
-from .workspace import OWN, keep
+from .workspace import OWN, drop, keep, small_batches, whole_numbers
 
-SLICE_BYTES = 64 << 20
+SLICE_BYTES = 16 << 20
 _BITMAP_BITS = 22
 #: Stands for a null item id while documents are scanned.
 NO_ID = -(1 << 63)
@@ -35,38 +37,70 @@ N_WORDS, HITS, ITEMS = OWN + "n_words", OWN + "hits", OWN + "items"
 _ADDED = T.StructType([T.StructField(N_WORDS, T.LongType()), T.StructField(HITS, T.ArrayType(T.LongType(), False)), T.StructField(ITEMS, T.ArrayType(T.LongType(), False))])
 
 
+def _joined(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words' folded bytes with a space after each, and where each word begins there."""
+    sizes = words.ends - words.starts
+    at = np.concatenate([[0], np.cumsum(sizes + 1)])
+    out = np.full(int(at[-1]), 0x20, np.uint8)
+    from_, to = np.repeat(words.starts, sizes), np.repeat(at[:-1], sizes)
+    step = np.arange(len(from_)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[to + step] = words.fold[words.texts.data[from_ + step]]
+    return out, at
+
+
 class WindowSet:
-    """The benchmark's distinct windows: hashes in order, their words, and the items that have each."""
+    """The benchmark's distinct windows: hashes in order, where their words stand, and the items that have each.
+
+    All of it is arrays, about ten bytes for a byte of text, so the bound on the text bounds what is broadcast.
+    """
 
     def __init__(self, items: list[tuple[int, str | None]], n: int = 13):
-        found: dict[tuple[int, int], tuple[bytes, set[int]]] = {}
-        texts = pa.array([text or "" for _, text in items], pa.large_string())
+        ids = np.array([i for i, _ in items], np.int64)
+        parts: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        texts, held, base = pa.array([text or "" for _, text in items], pa.large_string()), [], 0
         for part in texts_of(texts):
             words = Words(part, ALNUM, FOLD)
+            joined, at = _joined(words)
             for length in sorted({min(n, int(c)) for c in words.counts if c}):
-                for at, h in zip(*(x.tolist() for x in words.windows(length)), strict=True):
-                    i = int(words.text[at])
-                    if length == n or words.counts[i] == length:
-                        same = found.setdefault((length, h), (words.window(at, length), set()))
-                        same[1].add(items[part.first + i][0])
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, list[bytes], list[np.ndarray]]] = {}
-        for length in sorted({k for k, _ in found}):
-            own = sorted((h, *v) for (k, h), v in found.items() if k == length)
-            hashes = np.array([h for h, _, _ in own], U64)
+                first, h = words.windows(length)
+                own = words.text[first]
+                use = np.ones(len(first), bool) if length == n else words.counts[own] == length
+                first, h, own = first[use], h[use], own[use]
+                parts.setdefault(length, []).append((h, base + at[first], base + at[first + length] - 1, ids[part.first + own]))
+            held.append(joined)
+            base += len(joined)
+        self.text = np.concatenate(held) if held else np.zeros(0, np.uint8)
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        for length, some in sorted(parts.items()):
+            h, start, end, item = map(np.concatenate, zip(*some, strict=True))
+            order = np.lexsort((item, h))
+            h, start, end, item = h[order], start[order], end[order], item[order]
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            heads = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+            for k in np.flatnonzero(~new).tolist():
+                if self._words(start[k], end[k]) != self._words(start[heads[k]], end[heads[k]]):
+                    raise ValueError("two windows of the benchmark share a 64-bit hash")
+            twice = np.zeros(len(h), bool)
+            twice[1:] = ~new[1:] & (item[1:] == item[:-1])
             bitmap = np.zeros(1 << _BITMAP_BITS, bool)
-            bitmap[hashes & U64((1 << _BITMAP_BITS) - 1)] = True
-            self.by_length[length] = hashes, bitmap, [w for _, w, _ in own], [np.array(sorted(s), np.int64) for _, _, s in own]
+            bitmap[h[new] & U64((1 << _BITMAP_BITS) - 1)] = True
+            owners = np.cumsum(new)[~twice] - 1
+            self.by_length[length] = h[new], bitmap, start[new], end[new], np.searchsorted(owners, np.arange(int(new.sum()) + 1)), item[~twice]
+
+    def _words(self, start: int, end: int) -> bytes:
+        return self.text[start:end].tobytes()
 
     def hits(self, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """(first words, numbers of the windows there, length) of all verified occurrences."""
-        for length, (hashes, bitmap, texts, _) in self.by_length.items():
+        for length, (hashes, bitmap, starts, ends, _, _) in self.by_length.items():
             at, h = words.windows(length)
             maybe = np.flatnonzero(bitmap[h & U64((1 << _BITMAP_BITS) - 1)])
             place = np.searchsorted(hashes, h[maybe])
             place[place == len(hashes)] = 0
             good = hashes[place] == h[maybe]
             at, place = at[maybe[good]], place[good]
-            same = np.array([words.window(int(i), length) == texts[k] for i, k in zip(at, place, strict=True)], bool)
+            same = np.array([words.window(int(i), length) == self._words(starts[k], ends[k]) for i, k in zip(at, place, strict=True)], bool)
             if same.any():
                 yield at[same], place[same], length
 
@@ -80,9 +114,9 @@ class WindowSet:
         for at, which, length in self.hits(words):
             np.add.at(change, at, 1)
             np.add.at(change, at + length, -1)
-            owners = self.by_length[length][3]
+            *_, first, owners = self.by_length[length]
             for i, k in set(zip(words.text[at].tolist(), which.tolist(), strict=True)):
-                of_text.setdefault(i, []).append(owners[k])
+                of_text.setdefault(i, []).append(owners[first[k] : first[k + 1]])
         hit = np.cumsum(change[:-1]) > 0
         for i, lists in of_text.items():
             own = np.zeros(words.counts[i] + 2, np.int8)
@@ -133,6 +167,8 @@ def union_runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 13, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The documents with their words, hit runs (word numbers) and item ids in three more columns."""
     spark = docs.sparkSession
+    small_batches(spark)
+    whole_numbers(benchmark, item_id)
     items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t is not null")
     bound, least = items.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0)), F.min("i")).first()
     if least == NO_ID:
@@ -144,6 +180,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
         docs = _pass(docs, text_col, spark.sparkContext.broadcast(WindowSet([tuple(r) for r in rows.collect()], n)))
         if slices > 1:
             docs = keep(docs)
+            if k:
+                drop(before)
+            before = docs
     return docs
 
 
