@@ -3,7 +3,7 @@
 Links are given through hubs: documents with the same hub (equal texts, a near-copy component, or the two ends
 of an edge) are neighbours.  Every document starts in a shard drawn by hash.  In each round a hub wants the
 shard that holds most of its members; members move there if the shard's quota of linked documents allows it,
-else their hub waits.  Unlinked documents gain nothing by staying, so they make room: a last pass by prefix
+else their hub waits.  Rounds go on until none lowers the number of documents outside their hub's shard.  Unlinked documents gain nothing by staying, so they make room: a last pass by prefix
 sums moves the overflow of full shards to shards with room and makes the law hold exactly.
 
 Hubs larger than a quarter of a shard are split into chunks first, so one group of copies that holds a third of
@@ -21,12 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import keep
+from .workspace import drop, keep
 
 SHARDS = 24
 FRAME_BYTES = 8
 ROWS_A_BUCKET = 50_000
-ROUNDS = 4
 
 
 def rows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,24 +38,36 @@ def rows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def chunked(rows: DataFrame, weight: Column, chunk: float) -> DataFrame:
-    """Hubs of one row become null; hubs heavier than ``chunk`` are split by the rows' hashes."""
+    """Hubs of one row become null; hubs heavier than ``chunk`` are split by the rows' hashes.
+
+    ``spread`` says in how many parts a hub's rows are ordered, so that no task gets a whole chunk.
+    """
     hubs = rows.where("hub is not null").groupBy("hub").agg(F.count("*").alias("n"), F.sum(weight).alias("w")).where("n > 1")
-    hubs = hubs.select("hub", F.ceil(F.col("w") / F.lit(max(chunk, 1.0))).alias("parts"))
+    hubs = hubs.select("hub", F.ceil(F.col("w") / F.lit(max(chunk, 1.0))).alias("parts"), F.ceil(F.col("n") / ROWS_A_BUCKET).alias("spread"))
     out = rows.join(hubs, "hub", "left")
     part = F.pmod(F.col("u"), F.col("parts"))
-    return out.withColumn("hub", F.when(F.col("parts") == 1, F.col("hub")).when(F.col("parts") > 1, F.xxhash64("hub", part))).drop("parts")
+    return out.withColumns({"hub": F.when(F.col("parts") == 1, F.col("hub")).when(F.col("parts") > 1, F.xxhash64("hub", part)), "spread": F.coalesce(F.ceil(F.col("spread") / F.col("parts")), F.lit(1))}).drop("parts")
+
 
+def propagate(rows: DataFrame, shards: int, weight: Column, quota: float) -> DataFrame:
+    """Moves of linked rows towards the shard that holds most of their hub, within quotas, until a round cuts no less.
 
-def propagate(rows: DataFrame, shards: int, weight: Column, quota: float, rounds: int = ROUNDS) -> DataFrame:
-    """Rounds of moves of linked rows towards the shard that holds most of their hub, within quotas."""
+    What lies outside its hub's main shard is a whole number that falls in every round but the last two, so the
+    rounds end by themselves.
+    """
     rows = keep(rows.withColumn("shard", F.pmod(F.xxhash64("u"), F.lit(shards)).cast("int")))
-    for k in range(rounds):
+    least, stalled, k = None, 0, 0
+    while True:
         linked = rows.where("hub is not null")
         held = linked.groupBy("hub", "shard").agg(F.sum(weight).alias("w"))
         wish = held.groupBy("hub").agg(F.max_by("shard", F.struct("w", (-F.col("shard")).alias("low"))).alias("want"), F.sum("w").alias("whole"), F.max("w").alias("there"))
         wish = keep(wish.where("there < whole"))
-        if wish.isEmpty():
-            break
+        cut_now = wish.agg(F.coalesce(F.sum(F.col("whole") - F.col("there")), F.lit(0))).first()[0]
+        stalled = 0 if least is None or cut_now < least else stalled + 1
+        least = cut_now if least is None else min(least, cut_now)
+        if not cut_now or stalled == 2:
+            drop(wish)
+            return rows
         # Quotas: what linked rows may still come to each shard.  One row for each shard.
         moving = wish.groupBy(F.col("want").alias("to")).agg(F.sum(F.col("whole") - F.col("there")).alias("come"))
         load = linked.groupBy(F.col("shard").alias("to")).agg(F.sum(weight).alias("load"))
@@ -67,8 +78,9 @@ def propagate(rows: DataFrame, shards: int, weight: Column, quota: float, rounds
         other = F.pmod(F.xxhash64("hub", F.lit(k), F.lit(1)), F.lit(shards)).cast("int")
         go = F.when(F.col("lot") < F.col("open"), F.col("want")).when(F.col("open") <= 0, other)
         moves = accepted.select("hub", go.alias("go")).where("go is not null")
-        rows = keep(rows.join(moves, "hub", "left").withColumn("shard", F.coalesce("go", "shard")).drop("go"))
-    return rows
+        before, rows = rows, keep(rows.join(moves, "hub", "left").withColumn("shard", F.coalesce("go", "shard")).drop("go"))
+        drop(before, wish)
+        k += 1
 
 
 def _running(rows: DataFrame, group: list[str], order: list[Column | str], bucket: Column, weight: Column, n: int) -> DataFrame:
@@ -87,7 +99,8 @@ def balance(rows: DataFrame, shards: int, weight: Column, goals: list[float], bu
     """Moves what exceeds the shards' goals, unlinked rows before linked ones, to the shards that lack weight."""
     home = F.element_at(F.array(*[F.lit(float(g)) for g in goals]), F.col("shard") + 1)
     size_class = F.lit(63) - F.least(F.lit(63), F.floor(F.log2(weight + 1)).cast("int"))  # large rows first: the tail is fine-grained
-    rank = F.when(F.col("hub").isNotNull(), F.pmod("hub", F.lit(buckets))).otherwise(F.lit(buckets) * (1 + size_class) + F.pmod("u", F.lit(buckets)))
+    large = F.lit(buckets) * 66 + F.pmod("hub", F.lit(1 << 30)) * 4096 + F.pmod("u", F.least("spread", F.lit(4096)))  # a large hub's own buckets
+    rank = F.when(F.col("spread") > 1, large).when(F.col("hub").isNotNull(), F.pmod("hub", F.lit(buckets))).otherwise(F.lit(buckets) * (1 + size_class) + F.pmod("u", F.lit(buckets)))
     order = ["hub", "u", "doc_id"]
     x = _running(rows, ["shard"], order, rank.cast("long"), weight, shards * buckets * 65).withColumn("over", F.col("before") + weight / 2.0 > home)
     x = keep(x.drop("before"))
@@ -123,8 +136,10 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, law: str = "rows", id_col: s
     mean = total / shards
     goals = [float(total // shards + (s < total % shards)) for s in range(shards)] if law == "rows" else [mean] * shards
     labelled = propagate(chunked(rows, weight, mean / 4), shards, weight, mean)
+    drop(rows)
     for _ in range(1 if law == "rows" else 3):
-        labelled = keep(balance(labelled, shards, weight, goals, buckets))
+        before, labelled = labelled, keep(balance(labelled, shards, weight, goals, buckets))
+        drop(before)
     one = F.lit(1).cast("long")
     out = _running(labelled, ["shard"], ["u", "doc_id"], F.pmod("u", F.lit(buckets)).cast("long"), one, shards * buckets)
     return out.withColumnRenamed("before", "slot").select("doc_id", "size", "text_crc32", "hub", "shard", "slot")

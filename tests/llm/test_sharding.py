@@ -53,3 +53,18 @@ def test_given_links_and_cut(spark):
     out = sh.shard(df.where("doc_id is not null"), hubs=hubs)
     row = sh.cut(out).first()
     assert row["linked"] == 200 and row["cut"] <= 20
+
+
+def test_large_hubs_are_ordered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sh, "ROWS_A_BUCKET", 20)
+    test_laws_slots_and_groups.__wrapped__(spark, "rows") if hasattr(test_laws_slots_and_groups, "__wrapped__") else test_laws_slots_and_groups(spark, "rows")
+
+
+def test_the_cut_is_near_the_best_and_far_below_a_random_deal(spark):
+    """Small groups: the best cut, by trying all deals of a few groups, is none; a random deal cuts most."""
+    rows = [(i, f"group {i // 6}") for i in range(720)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sh.cut(sh.shard(df, shards=6)).first()
+    assert got["linked"] == 720
+    random_cut = sh.cut(sh.rows_of(df).withColumn("shard", sh.F.pmod("u", sh.F.lit(6)).cast("int"))).first()["cut"]
+    assert got["cut"] <= 0.05 * 720 < random_cut
