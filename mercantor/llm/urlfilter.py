@@ -71,7 +71,7 @@ class Automaton:
 
     def __init__(self, globs: list[str]):
         masks: list[np.ndarray | None] = []  # by bit: the bytes it accepts
-        first, stay, accept, empty = [], [], [], []
+        first, stay, accept, wide = [], [], [], []
         for g in globs:
             states: list[tuple[np.ndarray, bool]] = []  # (bytes, whether any bytes may come before)
             loose, raw, k = False, g.encode(), 0
@@ -81,8 +81,9 @@ class Automaton:
                     loose = True
                 else:
                     ok = np.zeros(256, bool)
-                    if c == 0x3F:
-                        ok[:] = True
+                    if c == 0x3F:  # the first byte of a character; the others follow it
+                        ok[:0x80] = ok[0xC0:] = True
+                        wide.append(len(masks) + 1 + len(states))
                     else:
                         k += c == 0x5C
                         ok[raw[k]] = True
@@ -98,6 +99,10 @@ class Automaton:
         self.table = np.zeros((256, self.words), U64)
         self.start, self.stay = np.zeros(self.words, U64), np.zeros(self.words, U64)
         self.accept = np.array(accept, np.int64)
+        #: Bits of ``?``, which stay while a character goes on.
+        self.wide = np.zeros(self.words, U64)
+        for bit in wide:
+            self.wide[bit >> 6] |= U64(1 << (bit & 63))
         for bit, ok in enumerate(masks):
             if ok is not None:
                 self.table[ok, bit >> 6] |= U64(1 << (bit & 63))
@@ -118,8 +123,11 @@ class Automaton:
             now = state[:live]
             moved = now << U64(1)
             moved[:, 1:] |= now[:, :-1] >> U64(63)
-            moved &= self.table[texts.data[at[:live] + step]]
+            byte = texts.data[at[:live] + step]
+            moved &= self.table[byte]
             moved |= now & self.stay
+            if (goes_on := (byte & 0xC0) == 0x80).any():
+                moved[goes_on] |= now[goes_on] & self.wide
             state[:live] = moved
             step += 1
             live = int(np.searchsorted(-left, -step, "left"))  # texts longer than step
