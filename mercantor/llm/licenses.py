@@ -10,7 +10,8 @@ wins among these is its license.
 
 Words are runs of letters and digits, A-Z lower-cased.  Defined results: a null, empty or wordless text has no
 license, coverage 0 and no span; repeated rows are scanned one by one; an empty table gives no rows; other columns
-are not read; texts of any length are scanned whole; a license given twice is two notices.
+are not read; texts of any length are scanned whole; a license given twice is two notices; a template of fewer than
+three words is a ValueError, as no window would find it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .kernels import ALNUM, FOLD, U64, Texts, Words, column, texts_of
-from .workspace import prepared
+from .workspace import prepared, small_batches
 
 # The usual wording of license notices, and of the short licenses themselves.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -49,6 +50,19 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "GPL-3.0",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
 WINDOW = 3
 COVERAGE = 0.75
@@ -110,6 +124,8 @@ class Scanner:
         self.names, self.coverage = [name for name, _ in templates], coverage
         words = Words(next(texts_of(pa.array([t for _, t in templates], pa.large_string()), 1 << 40)), ALNUM, FOLD)
         self.words = [words.hashes[a:b].tolist() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+        if any(len(w) < WINDOW for w in self.words):
+            raise ValueError(f"a license template needs {WINDOW} words")
         at, hashes = words.windows(WINDOW)
         self.at: dict[int, list[tuple[int, int]]] = {}
         for i, h in zip(at.tolist(), hashes.tolist(), strict=True):
@@ -162,6 +178,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, *,
 
     The first columns tell the best notice; ``notices`` lists all of them, the best one too, by their places.
     """
+    small_batches(docs.sparkSession)
     docs = prepared(docs, doc_id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
