@@ -6,13 +6,10 @@ stage's documents.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from mercantor.llm import decontam, jaccard, mixing, quality, sharding
-from mercantor.llm.wavelet import fresh_path
-from mercantor.llm.workspace import table
+from mercantor.llm.workspace import drop, keep, table
 
 #: None: near-copy components, the mix's hash places and label propagation have no SQL form.
 ORACLE_SQL = None
@@ -47,10 +44,14 @@ STAGES = [("quality_rules", keep_quality), ("jaccard_join", keep_distinct), ("de
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet beside the session's checkpoints and read again."""
-    docs = table(spark, sf_dir, "documents")
-    base = f"{fresh_path(spark)}-pipeline-{uuid.uuid4().hex[:8]}"
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(path := f"{base}/{k}-{name}")
-        docs = spark.read.parquet(path)
+    """All stages over documents, each written as Parquet to the session's shared folder and read again.
+
+    A stage's rows are deleted once the next stage has written its own.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        docs = keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            drop(before)
+        before = docs
     return docs
