@@ -219,11 +219,27 @@ def threshold_fit(observed: DataFrame, margin: float = 0.8) -> DataFrame:
     return best.crossJoin(cross).where("crossover is not null").select(F.when(F.col("crossover"), F.col("best.cut")).alias("cut"), F.round("best.cost", 6).alias("cost"), "crossover")  # one row each
 
 
-def facet_path(candidates: int, values: int, many_valued: bool, tau: float = 919.497) -> str:
-    """How an index would count a facet; a fixed constant of the cost model."""
+# Constants of the cost model of facets and of sorting.
+TAU, RHO = 919.497, 0.0834
+
+
+def facet_paths(candidates, values, many_valued) -> Column:
+    """`facet_path` for rows."""
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.when(col(many_valued) | (col(candidates) >= TAU * col(values)), "bitmap").otherwise("ordinal")
+
+
+def sort_paths(candidates, window, total) -> Column:
+    """`sort_path` for rows."""
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.when(col(candidates).cast("double") * col(candidates) >= RHO * col(window) * col(total), "presorted").otherwise("scan")
+
+
+def facet_path(candidates: int, values: int, many_valued: bool, tau: float = TAU) -> str:
+    """How an index would count a facet."""
     return "bitmap" if many_valued or candidates >= tau * values else "ordinal"
 
 
-def sort_path(candidates: int, window: int, total: int, rho: float = 0.0834) -> str:
-    """How an index would sort; a fixed constant of the cost model."""
+def sort_path(candidates: int, window: int, total: int, rho: float = RHO) -> str:
+    """How an index would sort."""
     return "presorted" if candidates * candidates >= rho * window * total else "scan"

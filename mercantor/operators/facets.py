@@ -25,6 +25,30 @@ def whole_facet(counts: DataFrame, attr: str) -> DataFrame:
     return counts.where(F.col("facet") == attr)
 
 
+def single_valued(attr: str) -> bool:
+    return ATTRIBUTES[attr][1] != "multi"
+
+
+def listed(attr: str) -> bool:
+    """Whether an attribute's values can be listed, as facets and filters need."""
+    return ATTRIBUTES[attr][1] in ("enum", "multi")
+
+
+def present(name: str) -> Column:
+    """Whether a sort column has a value: neither missing nor NaN."""
+    x = F.col(name).cast("double")
+    return x.isNotNull() & ~F.isnan(x)
+
+
+def rotations(items: DataFrame, name: str) -> DataFrame:
+    """(rotation, name, place): all rotations of a list of items in their order; a schedule of n runs of n items."""
+    from ..catalog import with_ordinal
+
+    rows = with_ordinal(items.select(name), name, name="i").crossJoin(items.agg(F.count("*").alias("n")))  # one row
+    starts = rows.withColumn("rotation", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return starts.select("rotation", name, F.pmod(F.col("i") - F.col("rotation"), F.col("n")).alias("place"))
+
+
 def single_facet(rows: DataFrame, attr: str) -> DataFrame:
     """Facet counts of single-valued attributes; many-valued ones have none."""
     out = facet(rows, attr)

@@ -32,6 +32,11 @@ def dictionary(values: DataFrame, *ids: str) -> DataFrame:
     return values.select(identifier("value").alias("norm"), *ids).where("norm <> ''").distinct()
 
 
+def inserted(book: DataFrame, values: DataFrame, *ids: str) -> DataFrame:
+    """The book with more values: only those are read and only what is new is added, the book is not made again."""
+    return book.union(dictionary(values, *ids).join(book, ["norm", *ids], "left_anti").select(*book.columns))
+
+
 def lookup(book: DataFrame, words: DataFrame, *ids: str) -> DataFrame:
     """(word) to the ids of every field that has it."""
     asked = words.select("word", identifier("word").alias("norm"))

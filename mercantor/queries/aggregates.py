@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import SQL, catalog, table, variants
 from ..functions import stats as st
+from ..functions.text import identifier
 from ..plans import lexicon as lx
 from ..registry import query
 
@@ -32,20 +33,30 @@ def a_profile_numbers(spark, d):
     return catalog(spark, d).agg(F.max("price_cents").alias("max_price"), F.min("price_cents").alias("min_price"), F.countDistinct("quantity").alias("quantities"), F.countDistinct("size").alias("sizes"))
 
 
-@query("SELECT kind, count(*) AS n, sum((try_cast(v AS DOUBLE) IS NOT NULL)::INT)::BIGINT AS numeric, round(avg(len(v)), 6) AS mean_length, count(DISTINCT v) AS n_distinct, min(v) AS first_value FROM (SELECT event_type AS kind, json_extract_string(props, '$.k') AS v FROM events) GROUP BY kind")
+@query("SELECT kind, count(*) AS n, sum((try_cast(v AS DOUBLE) IS NOT NULL)::INT)::BIGINT AS numeric, round(avg(len(v)), 6) AS mean_length, count(DISTINCT v) AS n_distinct, list_sort(list(DISTINCT v))[1:5] AS samples, round(count(v) / count(*), 6) AS density FROM (SELECT event_type AS kind, json_extract_string(props, '$.k') AS v FROM events) GROUP BY kind")
 def a_feed_stats(spark, d):
     """Density, share of numbers and mean length of a raw feed's values; a strict pattern guards the parse."""
     v = table(spark, d, "events").select(F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").alias("v"))
     numeric = F.col("v").rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    return v.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(numeric).alias("numeric"), F.round(F.avg(F.length("v")), 6).alias("mean_length"), F.countDistinct("v").alias("n_distinct"), F.min("v").alias("first_value"))
+    return v.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(numeric).alias("numeric"), F.round(F.avg(F.length("v")), 6).alias("mean_length"), F.countDistinct("v").alias("n_distinct"), F.round(F.count("v") / F.count("*"), 6).alias("density")).join(_samples(v, 5), "kind")
 
 
-@query("WITH t AS (SELECT p_name, p_brand, len(string_split(p_name, ' ')) AS w FROM part) SELECT (SELECT count(*) FROM t) AS n, (SELECT count(DISTINCT p_brand) FROM t) AS raw_brands, (SELECT count(DISTINCT lower(p_brand)) FROM t) AS brands, (SELECT count(*) FROM (SELECT p_name FROM t GROUP BY p_name HAVING count(*) > 1)) AS duplicate_titles, (SELECT quantile_cont(w, 0.95) FROM t) AS p95_words")
+def _samples(v, n):
+    """(kind, samples): the n first distinct values of each kind; a window sees distinct values, n of each task's at most."""
+    some = v.where("v is not null").distinct()
+    k = F.row_number().over(Window.partitionBy("kind").orderBy("v"))
+    return some.withColumn("k", k).where(F.col("k") <= n).groupBy("kind").agg(F.array_sort(F.collect_list("v")).alias("samples"))
+
+
+@query("WITH t AS (SELECT p_name, CASE WHEN p_size % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS p_brand, CASE WHEN p_size % 7 > 0 THEN p_brand END AS nb, len(string_split(p_name, ' ')) AS w FROM part) SELECT (SELECT count(*) FROM t) AS n, (SELECT count(DISTINCT p_brand) FROM t) AS raw_brands, (SELECT count(DISTINCT lower(p_brand)) FROM t) AS brands, (SELECT count(*) FROM (SELECT p_name FROM t GROUP BY p_name HAVING count(*) > 1)) AS duplicate_titles, (SELECT quantile_cont(w, 0.5) FROM t) AS p50_words, (SELECT quantile_cont(w, 0.95) FROM t) AS p95_words, (SELECT count_if(nb IS NULL) FROM t) AS null_brands, (SELECT count(*) FROM (SELECT lower(replace(p_brand, '#', '')) AS k FROM t GROUP BY k HAVING count(DISTINCT p_brand) > 1)) AS collisions")
 def a_data_quality(spark, d):
-    t = table(spark, d, "part").select("p_name", "p_brand", F.size(F.split("p_name", " ")).alias("w"))
+    """Nulls, raw against normalised brands, colliding spellings, repeated titles, words of titles."""
+    own = F.when(F.col("p_size") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand"))
+    t = table(spark, d, "part").select("p_name", own.alias("p_brand"), F.when(F.col("p_size") % 7 > 0, F.col("p_brand")).alias("nb"), F.size(F.split("p_name", " ")).alias("w"))
+    same = t.groupBy(identifier("p_brand").alias("k")).agg(F.countDistinct("p_brand").alias("c")).agg(F.count_if(F.col("c") > 1).alias("collisions"))
     titles = t.groupBy("p_name").agg(F.count("*").alias("c")).agg(F.count_if(F.col("c") > 1).alias("duplicate_titles"))
-    base = t.agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("raw_brands"), F.countDistinct(F.lower("p_brand")).alias("brands"), F.percentile("w", 0.95).alias("p95_words"))
-    return base.crossJoin(titles).select("n", "raw_brands", "brands", "duplicate_titles", "p95_words")  # one row each
+    base = t.agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("raw_brands"), F.countDistinct(F.lower("p_brand")).alias("brands"), F.percentile("w", 0.5).alias("p50_words"), F.percentile("w", 0.95).alias("p95_words"), F.count_if(F.col("nb").isNull()).alias("null_brands"))
+    return base.crossJoin(titles).crossJoin(same).select("n", "raw_brands", "brands", "duplicate_titles", "p50_words", "p95_words", "null_brands", "collisions")  # one row each
 
 
 @query("SELECT p_brand AS brand, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, brand LIMIT 15")
@@ -83,6 +94,15 @@ def a_hierarchy_profile(spark, d):
     return deep.groupBy("depth").agg(F.countDistinct("node").alias("nodes"), F.count("node").alias("covered"))
 
 
+@query(f"{SQL} SELECT round(avg((string_split(path, ' / ')[-1] = CASE WHEN product_id % 3 = 0 THEN category ELSE product_type END)::INT), 6) AS leaf_is_class, count(*) AS n FROM catalog")
+def a_leaf_rate(spark, d):
+    """How often the deepest level of a path names the product's class."""
+    from ..functions.text import leaf
+
+    cls = F.when(F.col("product_id") % 3 == 0, F.col("category")).otherwise(F.col("product_type"))
+    return catalog(spark, d).agg(F.round(F.avg((leaf("path") == cls).cast("int")), 6).alias("leaf_is_class"), F.count("*").alias("n"))
+
+
 _POINTS = ", ".join(f"round(quantile_cont(value, {p}), 6) AS p{round(p * 100)}" for p in st.POINTS)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import SQL, catalog, categories
+from ..catalog import SQL, catalog, categories, table
 from ..index import opened
 from ..model import Brand, BrandAny, Category, Enum, Multi, Num, Preference, PriceUnder, ProductType, Query, Request
 from ..operators import facets as fx
@@ -93,6 +93,37 @@ def r_title_sorted(spark, d):
     return kept_all(catalog(spark, d), [PriceUnder(150000)]).select("title", *IDS).orderBy("title", *IDS).limit(40)
 
 
+@query(f"{SQL} SELECT title, product_id, variant_id, quantity FROM catalog WHERE {where(PriceUnder(150000))} ORDER BY quantity DESC, product_id, variant_id LIMIT 40")
+def r_rating_sorted(spark, d):
+    return kept_all(catalog(spark, d), [PriceUnder(150000)]).orderBy(*sort_key("quantity", True)).limit(40).select("title", *IDS, "quantity")
+
+
+@query(f"{SQL} SELECT count(*) AS n, count(v) FILTER (NOT isnan(v)) AS present, count_if(v = 0) AS zeros FROM (SELECT {_ODD} AS v FROM catalog)")
+def r_presence(spark, d):
+    """A sort column's present values: neither missing nor NaN, zeros of both signs alike."""
+    v = catalog(spark, d).withColumn("v", F.expr(_ODD))
+    here = v.where(fx.present("v"))
+    return v.agg(F.count("*").alias("n")).crossJoin(here.agg(F.count("*").alias("present"), F.count_if(F.col("v") == 0).alias("zeros")))  # one row each
+
+
+@query(f"{SQL}, s AS (SELECT brand, count(*) AS n FROM catalog GROUP BY brand), t AS (SELECT count(*) AS total, count(DISTINCT product_type) AS v FROM catalog) SELECT brand, CASE WHEN n >= 919.497 * v THEN 'bitmap' ELSE 'ordinal' END AS facet, 'bitmap' AS many, CASE WHEN n * n >= 0.0834 * 48 * total THEN 'presorted' ELSE 'scan' END AS sort FROM s, t")
+def r_paths(spark, d):
+    """How each brand's candidates would be counted and sorted, by the cost model's fixed constants."""
+    from ..functions import judge as jd
+
+    c = catalog(spark, d)
+    total = c.agg(F.count("*").alias("total"), F.countDistinct("product_type").alias("values"))
+    n = c.groupBy("brand").agg(F.count("*").alias("n")).crossJoin(total)  # one row
+    return n.select("brand", jd.facet_paths("n", "values", F.lit(False)).alias("facet"), jd.facet_paths("n", "values", F.lit(True)).alias("many"), jd.sort_paths("n", F.lit(48), "total").alias("sort"))
+
+
+@query("WITH b AS (SELECT p_brand AS brand, row_number() OVER (ORDER BY p_brand) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT p_brand FROM part)) SELECT a.i AS rotation, b.brand, (b.i - a.i + b.n) % b.n AS place FROM b a, b")
+def r_rotations(spark, d):
+    """Every cyclic rotation of a short list: each item comes first once."""
+    brands = table(spark, d, "part").select(F.col("p_brand").alias("brand")).distinct()
+    return fx.rotations(brands, "brand").select("rotation", "brand", "place")
+
+
 def _facet_sql(attr: str, cond: str) -> str:
     from ..catalog import ATTRIBUTES
 
@@ -159,6 +190,10 @@ def a_hierarchy(spark, d):
 _B = BrandAny(("Brand#12", "Brand#17"))
 
 
-@query(f"{SQL} SELECT count(DISTINCT returnflag) AS returnflags, count(DISTINCT brand) AS brands, count(DISTINCT product_type) AS product_types FROM catalog WHERE {where(_B)}")
+@query(f"{SQL} SELECT count(DISTINCT returnflag) AS returnflags, count(DISTINCT brand) AS brands, count(DISTINCT product_type) AS product_types, count(DISTINCT w) AS words, FALSE AS words_single, TRUE AS brand_listed FROM catalog, (SELECT unnest(words) AS w, variant_id FROM catalog) u WHERE u.variant_id = catalog.variant_id AND {where(_B)}")
 def a_cardinalities(spark, d):
-    return kept_all(catalog(spark, d), [_B]).agg(F.countDistinct("returnflag").alias("returnflags"), F.countDistinct("brand").alias("brands"), F.countDistinct("product_type").alias("product_types"))
+    """Distinct values, and which attributes have one value a variant and which a list of values."""
+    own = kept_all(catalog(spark, d), [_B])
+    words = own.select(F.explode("words").alias("w")).agg(F.countDistinct("w").alias("words"))
+    counts = own.agg(F.countDistinct("returnflag").alias("returnflags"), F.countDistinct("brand").alias("brands"), F.countDistinct("product_type").alias("product_types"))
+    return counts.crossJoin(words).select("*", F.lit(fx.single_valued("words")).alias("words_single"), F.lit(fx.listed("brand")).alias("brand_listed"))  # one row each

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import SQL, catalog, effective, table
 from ..model import Bool, Brand, BrandAny, Category, Enum, EnumAny, Multi, Num, PriceOver, PriceUnder, ProductType, ProductTypeAny, Query, Text
+from ..operators import bitmaps as bm
+from ..operators import requirements as rq
 from ..operators.predicates import matches, number_matches
 from ..operators.predicates import where_all as kept_all
 from ..operators.search import IDS, execute
@@ -103,28 +105,75 @@ def u_intersection_count(spark, d):
     return kept_all(catalog(spark, d), _A + _B).agg(F.count("*").alias("n"))
 
 
-_EDGES = (100000, 1000000, 2000000, 4000000)
+_CUTS = "n AS (SELECT price_cents, row_number() OVER (ORDER BY price_cents) - 1 AS k, count(*) OVER () AS n FROM variant), e AS (SELECT DISTINCT price_cents AS e FROM n, range(8) r(i) WHERE k = least(n * i // 8, n - 1))"
 
 
-@query(f"{SQL} SELECT {' + '.join(f'(price_cents >= {e})::INT' for e in _EDGES)} AS bucket, count(*) AS n, min(price_cents) AS lo, max(price_cents) AS hi FROM variant GROUP BY 1")
+@query(f"{SQL}, {_CUTS}, b AS (SELECT price_cents, (SELECT max(e) FROM e WHERE e <= price_cents) AS lo FROM variant) SELECT lo, count(*) AS n FROM b GROUP BY lo")
 def f_price_buckets(spark, d):
-    from ..catalog import variants
+    """Eight buckets of about equal numbers, each a set of bitmaps of ordinals."""
+    c = catalog(spark, d)
+    edges = bm.quantile_edges(c, "price_cents", 8)
+    lows = F.element_at(F.array(*map(F.lit, edges)), bm.bucket(F.col("price_cents"), edges) + 1)
+    bits = bm.of_values(c.withColumn("lo", lows), F.col("lo"))
+    return bits.groupBy(F.col("value").cast("long").alias("lo")).agg(F.sum(F.bitmap_count("bits")).alias("n"))
 
-    bucket = sum(((F.col("price_cents") >= e).cast("int") for e in _EDGES), F.lit(0))
-    return variants(spark, d).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("price_cents").alias("lo"), F.max("price_cents").alias("hi"))
 
+@query(f"{SQL} SELECT returnflag AS value, count(*) AS n FROM catalog GROUP BY 1 UNION ALL SELECT w, count(*) FROM (SELECT unnest(words) AS w FROM catalog) GROUP BY w")
+def f_bitmaps(spark, d):
+    """Bitmaps of two attributes' values, counted."""
+    c = catalog(spark, d)
+    bits = bm.of_attribute(c, "returnflag").union(bm.of_attribute(c, "words"))
+    return bits.groupBy("value").agg(F.sum(F.bitmap_count("bits")).alias("n"))
 
-_Q = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
+@query(f"{SQL} SELECT 'both' AS op, count(*) AS n FROM catalog WHERE returnflag = 'R' AND brand = 'Brand#17' UNION ALL SELECT 'either', count(*) FROM catalog WHERE returnflag = 'R' OR brand = 'Brand#17'")
+def f_bitmap_sets(spark, d):
+    """Intersection and union of stored bitmaps."""
+    c = catalog(spark, d)
+    a, b = bm.of_attribute(c, "returnflag").where("value = 'R'"), bm.of_attribute(c, "brand").where("value = 'Brand#17'")
+    return bm.size(bm.both(a, b)).select(F.lit("both").alias("op"), "n").union(bm.size(bm.either(a, b)).select(F.lit("either"), "n"))
 
-@query(f"SELECT item_id, value FROM (SELECT item_id, {_Q} AS w FROM benchmark), (SELECT DISTINCT lower(p_brand) AS value FROM part UNION SELECT DISTINCT unnest(string_split(p_name, ' ')) FROM part) WHERE len(value) >= 3 AND list_contains(w, value)")
-def f_values_in_text(spark, d):
-    """Values of three letters or more that a text names, met by token."""
-    from ..functions.text import tokens
 
+@query("SELECT p_partkey AS query_id, attr, value FROM (SELECT p_partkey, lower(p_name || 's under ' || p_brand) AS low FROM part), (SELECT DISTINCT 'brand' AS attr, lower(p_brand) AS value FROM part UNION SELECT DISTINCT 'words', unnest(string_split(p_name, ' ')) FROM part) WHERE len(value) >= 3 AND contains(low, value)")
+def f_values_in_text(spark, d):
+    """Values of three letters or more that stand anywhere in a text, inside words too."""
     part = table(spark, d, "part")
-    values = part.select(F.lower("p_brand").alias("value")).union(part.select(F.explode(F.split("p_name", " ")))).distinct().where("length(value) >= 3")
-    return table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(tokens("text"))).alias("value")).join(values, "value").select("item_id", "value")
+    values = part.select(F.lit("brand").alias("attr"), F.lower("p_brand").alias("value")).union(part.select(F.lit("words"), F.explode(F.split("p_name", " ")))).distinct()
+    texts = part.select(F.col("p_partkey").alias("query_id"), F.concat("p_name", F.lit("s under "), "p_brand").alias("text"))
+    return rq.values_in_text(texts, values)
+
+
+_NEEDS = (rq.Near("size", 20.0, 5.0), rq.Between("quantity", 10.0, 30.0), rq.Between("price", None, 4000000.0), rq.Same("title", "RED-Widget"))
+_MET = "(abs(size - 20) <= 5)::INT + (quantity BETWEEN 10 AND 30)::INT + (price_cents <= 4000000)::INT + (title = 'red widget')::INT"
+
+
+@query(f"{SQL} SELECT variant_id, CASE {_MET} WHEN 4 THEN 'exact' WHEN 0 THEN 'none' ELSE 'partial' END AS grade FROM catalog")
+def f_requirements(spark, d):
+    """Near numbers, inclusive ranges and a text equal but for case and marks."""
+    return catalog(spark, d).select("variant_id", rq.grade(_NEEDS).alias("grade"))
+
+
+_MANY = (Enum("returnflag", "R"), Enum("returnflag", "N"), Brand("Brand#17"), Brand("Brand#12"), Multi("words", "red"))
+
+
+@query(f"{SQL} SELECT variant_id FROM catalog WHERE returnflag IN ('R', 'N') AND brand IN ('Brand#17', 'Brand#12') AND list_contains(words, 'red')")
+def f_or_within(spark, d):
+    """Values of one attribute are alternatives; different attributes must all be met."""
+    return catalog(spark, d).where(rq.or_within(_MANY)).select("variant_id")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_type = 'PROMO' AND p_size % 3 > 0")
+def f_generic(spark, d):
+    """Equality on a store of documents that are maps of strings."""
+    fields = F.create_map(F.lit("brand"), "p_brand", F.when(F.col("p_size") % 3 > 0, "type").otherwise("kind"), "p_type")
+    docs = table(spark, d, "part").select(F.col("p_partkey").alias("id"), fields.alias("fields"))
+    return rq.with_value(docs, "fields", "type", "PROMO").select("id")
+
+
+@query(f"{SQL} SELECT variant_id, row_number() OVER (ORDER BY product_id, variant_id) - 1 AS ordinal, product_id FROM variant QUALIFY ordinal IN (0, 7, 100) OR variant_id = 17000017")
+def j_by_ordinal(spark, d):
+    """Variants by ordinal, and an ordinal by variant."""
+    return catalog(spark, d).where(F.col("ordinal").isin(0, 7, 100) | (F.col("variant_id") == 17000017)).select("variant_id", "ordinal", "product_id")
 
 
 _INTENT = (ProductType("ECONOMY"), Enum("returnflag", "R"), PriceUnder(2000000))

@@ -46,6 +46,15 @@ def j_identifier_lookup(spark, d):
     return idf.lookup(idf.dictionary(_values(spark, d), "field", "id"), words, "field", "id")
 
 
+@query(f"SELECT DISTINCT {_NORM} AS norm, field, id FROM ({_VALUES} UNION ALL SELECT 'customer', upper(c_name) || ' / new', TRUE, c_custkey FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'customer', c_name, TRUE, c_custkey FROM customer)")
+def j_identifier_insert(spark, d):
+    """A book that grows by values, of which some are known already."""
+    c = table(spark, d, "customer")
+    more = c.where("c_custkey % 3 = 0").select(F.lit("customer").alias("field"), F.concat(F.upper("c_name"), F.lit(" / new")).alias("value"), F.col("c_custkey").alias("id"))
+    more = more.union(c.select(F.lit("customer"), "c_name", "c_custkey"))
+    return idf.inserted(idf.dictionary(_values(spark, d), "field", "id"), more, "field", "id")
+
+
 _STATS = f"""WITH v AS ({_VALUES}),
 chars AS (SELECT field, id, c, count(*) AS k FROM (SELECT field, id, unnest(string_split(value, '')) AS c FROM v) GROUP BY ALL),
 bits AS (SELECT field, id, -sum(k / n * log2(k / n)) AS bits FROM (SELECT *, sum(k) OVER (PARTITION BY field, id) AS n FROM chars) GROUP BY field, id),

@@ -107,3 +107,40 @@ def p_bm25(spark, d):
 @query(f"{SQL} SELECT product_type, token, count(DISTINCT brand) AS brands FROM (SELECT product_type, brand, unnest(words) AS token FROM catalog) GROUP BY ALL")
 def p_token_brands(spark, d):
     return catalog(spark, d).select("product_type", "brand", F.explode("words").alias("token")).groupBy("product_type", "token").agg(F.countDistinct("brand").alias("brands"))
+
+
+@query("SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN p_name WHEN 1 THEN p_brand WHEN 2 THEN CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END WHEN 3 THEN CAST(p_size AS VARCHAR) END AS value FROM part")
+def x_attribute_string(spark, d):
+    """Attribute values of every kind as text; many-valued ones have none."""
+    k = F.col("p_size") % 5
+    kind = F.element_at(F.array(*map(F.lit, ("text", "enum", "boolean", "number", "multi"))), (k + 1).cast("int"))
+    text = F.when(k == 0, F.col("p_name")).otherwise(F.col("p_brand"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), tx.attribute_string(kind, text, F.col("p_size").cast("double"), F.col("p_size") > 25).alias("value"))
+
+
+@query("SELECT p_partkey AS id, p_name || ' & ' || p_brand AS decoded, replace(replace(replace(p_name || ' & ' || p_brand, ' ', '%20'), '&', '%26'), '#', '%23') AS encoded, CAST(NULL AS VARCHAR) AS broken FROM part")
+def x_url_text(spark, d):
+    """Texts into query strings and back; a broken escape gives nothing."""
+    text = F.concat("p_name", F.lit(" & "), "p_brand")
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), tx.encoded(text).alias("encoded"))
+    return rows.select("id", tx.decoded(F.regexp_replace("encoded", "%20", "+")).alias("decoded"), "encoded", tx.decoded(F.concat("encoded", F.lit("%4"))).alias("broken"))
+
+
+@query("SELECT p_partkey AS id, string_split(p_name, ' ') || [lower(string_split(p_brand, '#')[1]), string_split(p_brand, '#')[2]] AS tokens FROM part")
+def x_residual_tokens(spark, d):
+    """Leftover phrases as one list of letters-and-digits tokens."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), tx.residual_tokens(F.array("p_name", "p_brand")).alias("tokens"))
+
+
+@query("WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), v AS (SELECT w FROM w UNION SELECT w || 's' FROM w UNION SELECT w || 'es' FROM w) SELECT w.w AS one, v.w AS other, v.w = w.w OR v.w = w.w || 's' OR w.w = v.w || 's' AS same FROM w, v WHERE substr(w.w, 1, 3) = substr(v.w, 1, 3)")
+def x_plurals(spark, d):
+    """Words that are the same but for one s at the end."""
+    w = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("one")).distinct()
+    v = w.select(F.explode(F.array("one", F.concat("one", F.lit("s")), F.concat("one", F.lit("es")))).alias("other")).distinct()
+    return w.join(v, F.substring("one", 1, 3) == F.substring("other", 1, 3)).select("one", "other", tx.plural_equivalent("one", "other").alias("same"))
+
+
+@query(f"{SQL} SELECT variant_id, list_sort(list_distinct(string_split(lower(title), ' '))) AS tokens FROM catalog")
+def r_title_tokens(spark, d):
+    """The titles' tokens, as the index holds them."""
+    return catalog(spark, d).select("variant_id", F.array_sort("title_tokens").alias("tokens"))
