@@ -19,7 +19,7 @@ import numpy as np
 from .kernels import U64, VISIBLE, Texts, Words, byte_class
 
 #: Pieces that a worker remembers.  Beyond that it forgets all and starts again; results are the same.
-MOST_PIECES = 1_000_000
+MOST_PIECES = 2_000_000
 #: A piece that is one or two pre-tokens for certain: white space taken by the word, Latin letters, marks.
 _PLAIN = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -52,6 +52,7 @@ class Encoder:
         #: Whether pieces are independent: a byte-level BPE with nothing before it.
         self.by_piece = kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True) and not spec.get("normalizer")
         self.letters = {b: ord(c) for b, c in byte_letters().items()}
+        self.space = chr(self.letters[0x20])
         self.type = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.model = self.tokenizer.model
         self.forget()
@@ -64,6 +65,10 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _known(self, text: str) -> list[int] | None:
+        if text.isascii():  # ASCII letters stand for themselves, and a space before them for its own letter
+            spaced = text[0] == " "
+            if (text[1:] if spaced else text).isalpha():
+                return [t.id for t in self.model.tokenize(self.space + text[1:] if spaced else text)]
         if not (m := _PLAIN.fullmatch(text)):
             return None
         out: list[int] = []
