@@ -82,6 +82,19 @@ def plurality(votes: list[str]) -> str | None:
     return min(counts, key=lambda r: (-counts[r], ROLES.index(r))) if counts else None
 
 
+def plurality_of(votes: DataFrame) -> DataFrame:
+    """(field, role) of votes (field, role), null abstains: the most frequent role, the earliest listed among equals."""
+    place = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role"))
+    counts = votes.where("role is not null").groupBy("field", "role").agg(F.count("*").alias("c"))
+    return counts.groupBy("field").agg(F.max_by("role", F.struct("c", (-place).alias("p"))).alias("role"))
+
+
+def first_wins(votes: DataFrame, order: str) -> DataFrame:
+    """(field, role): the role with most votes, of equal ones that which was voted for first."""
+    counts = votes.where("role is not null").groupBy("field", "role").agg(F.count("*").alias("c"), F.min(order).alias("first"))
+    return counts.groupBy("field").agg(F.max_by("role", F.struct("c", (-F.col("first")).alias("f"))).alias("role"))
+
+
 @dataclass(frozen=True)
 class FieldFacts:
     parsed: float
@@ -122,6 +135,21 @@ def consensus(draws: list[str | None], facts: FieldFacts, budget: int) -> tuple[
     return canonical_role(draws[:k], facts), k
 
 
+def agreed_roles(draws: DataFrame, facts: DataFrame, budget: int) -> DataFrame:
+    """(field, role, used) of draws (field, run, role): each field's draws are taken in order until they are agreed.
+
+    A field has at most ``budget`` draws that count, so only those are gathered.
+    """
+    few = draws.where(F.col("run") < budget).groupBy("field").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "role"))), lambda x: x.role).alias("votes"))
+
+    def judge(batches):
+        for pdf in batches:
+            got = [consensus(list(v), FieldFacts(*map(_plain, f)), budget) for v, *f in pdf[["votes", "parsed", "distinct", "uniqueness", "n", "variant_scoped"]].itertuples(index=False)]
+            yield pdf.assign(role=[r for r, _ in got], used=[k for _, k in got])[["field", "role", "used"]]
+
+    return few.join(facts, "field").mapInPandas(judge, "field string, role string, used int")
+
+
 def canonical_roles(proposals: DataFrame, facts: DataFrame) -> DataFrame:
     """(field, role) of proposals (field, run, role) and facts (field, parsed, distinct, uniqueness, n, variant_scoped).
 

@@ -75,6 +75,33 @@ def page(rows: DataFrame, r: Request) -> DataFrame:
     return out.offset(r.offset).limit(r.limit).select(*IDS, "sort_value") if r.sort else out.offset(r.offset).limit(r.limit).select(*IDS, F.lit(None).cast("double").alias("sort_value"))
 
 
+def pages(rows: DataFrame, size: int, most: int = 1_000_000):
+    """All pages of (product_id, variant_id) in order, one after the other, by keyset.
+
+    Each page must begin after the last one's end and be in order without repeats, else the source is at fault; the
+    caller holds one page at a time.
+    """
+    last = None
+    for _ in range(most):
+        page_ = [tuple(r) for r in after(rows, last, size).collect()]  # one page
+        if any(a >= b for a, b in zip([last, *page_] if last else page_, page_ if last else page_[1:], strict=False)):
+            raise ValueError("a page is out of order or repeats the one before")
+        if page_:
+            yield page_
+        if len(page_) < size:
+            return
+        last = page_[-1]
+
+
+def best_of_groups(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
+    """The k first rows of each group with their place: each task keeps k of a group before any are shuffled."""
+    from pyspark.sql import Window
+
+    some = rows.withColumn("_t", F.spark_partition_id())
+    some = some.withColumn("place", F.row_number().over(Window.partitionBy("_t", group).orderBy(*order))).where(F.col("place") <= k).drop("_t")
+    return some.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= k)
+
+
 def after(rows: DataFrame, last: tuple[int, int] | None, size: int) -> DataFrame:
     """Keyset paging: the page after the last (product_id, variant_id) seen."""
     if last:

@@ -12,16 +12,18 @@ ORDER = ("brand", "product_type", "category", "boolean", "enum")
 
 
 def profile(catalog: DataFrame) -> DataFrame:
-    """(kind, value, occurrences): every value that can become a phrase, with how often it occurs."""
-    one = lambda kind, col: catalog.select(F.lit(kind).alias("kind"), F.col(col).alias("value"))
-    per_product = catalog.select("product_id", "brand", "product_type").distinct()
-    parts = per_product.select(F.lit("brand").alias("kind"), F.col("brand").alias("value"))
-    parts = parts.unionAll(per_product.select(F.lit("product_type"), F.col("product_type"))).unionAll(one("category", "category"))
-    for a in ("returnflag", "linestatus"):
-        parts = parts.unionAll(one("enum:" + a, a))
-    parts = parts.unionAll(catalog.select(F.lit("enum:words"), F.explode("words")))
-    parts = parts.unionAll(catalog.where("large").select(F.lit("boolean:large"), F.lit("large")))
-    return parts.where("value is not null").groupBy("kind", "value").agg(F.count("*").alias("occurrences"))
+    """(kind, value, occurrences): every value that can become a phrase, with how often it occurs.
+
+    One pass over the variants for their own values, and one over the distinct products for brands and types; both
+    are summed before they are shuffled.
+    """
+    pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    single = [pair("category", F.col("category")), *(pair("enum:" + a, F.col(a)) for a in ("returnflag", "linestatus")), pair("boolean:large", F.when(F.col("large"), F.lit("large")))]
+    own = F.concat(F.array(*single), F.transform("words", lambda w: pair("enum:words", w)))
+    products = catalog.select("product_id", "brand", "product_type").distinct()
+    of_products = products.select(F.explode(F.array(pair("brand", F.col("brand")), pair("product_type", F.col("product_type")))).alias("p"))
+    count = lambda rows: rows.select("p.kind", "p.value").where("value is not null").groupBy("kind", "value").agg(F.count("*").alias("occurrences"))
+    return count(catalog.select(F.explode(own).alias("p"))).union(count(of_products))
 
 
 def phrases(profiled: DataFrame, min_freq: int) -> DataFrame:

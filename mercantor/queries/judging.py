@@ -200,15 +200,50 @@ def a_threshold_fit(spark, d):
     return jd.threshold_fit(e).withColumn("cut", F.round("cut", 6))
 
 
-@query()
-def d_canonical_roles(spark, d):
-    """A field for each brand and type, with the votes and facts of all its parts.
-
-    Without SQL: a decision procedure over a field's votes; unit cases test it.
-    """
+def _field_votes(spark, d):
+    """A field for each brand and type, with the votes and facts of all its parts."""
     part = table(spark, d, "part")
     field = F.concat_ws(" ", "p_brand", "p_type").alias("field")
     votes = part.select(field, F.col("p_partkey").alias("run"), F.element_at(F.array(*map(F.lit, jd.ROLES)), (F.col("p_size") % 7 + 1).cast("int")).alias("role"))
     n = F.count("*")
     facts = part.groupBy(field).agg((F.avg("p_size") / 50).alias("parsed"), F.countDistinct("p_size").alias("distinct"), (F.countDistinct("p_name") / n).alias("uniqueness"), n.alias("n"), (2 * F.count_if(F.col("p_size") % 2 == 0) >= n).alias("variant_scoped"))
-    return jd.canonical_roles(votes, facts)
+    return votes, facts
+
+
+_VOTES = f"v AS (SELECT p_brand || ' ' || p_type AS field, p_partkey AS run, list_extract({_list(jd.ROLES)}, p_size % 7 + 1) AS role, p_size % 7 AS place FROM part)"
+
+
+@query(f"WITH {_VOTES}, c AS (SELECT field, role, place, count(*) AS c FROM v GROUP BY ALL) SELECT field, arg_max(role, 100 * c - place) AS role FROM c GROUP BY field")
+def a_plurality(spark, d):
+    """The role with most votes of each field, the earliest listed among equals."""
+    return jd.plurality_of(_field_votes(spark, d)[0])
+
+
+@query(f"WITH {_VOTES}, c AS (SELECT field, role, count(*) AS c, min(run) AS first FROM v GROUP BY ALL) SELECT field, role FROM c QUALIFY row_number() OVER (PARTITION BY field ORDER BY c DESC, first) = 1")
+def a_first_wins(spark, d):
+    """The role with most votes of each field, of equal ones the one voted for first."""
+    return jd.first_wins(_field_votes(spark, d)[0], "run")
+
+
+#: Roles by SQL: the plurality, held to the facts in the order of the rules.
+_CANON = f"""WITH {_VOTES}, c AS (SELECT field, role, place, count(*) AS c FROM v GROUP BY ALL), p AS (SELECT field, arg_max(role, 100 * c - place) AS role, bool_or(role = 'enum') AND bool_or(role = 'numeric') AS contested FROM c GROUP BY field),
+f AS (SELECT p_brand || ' ' || p_type AS field, avg(p_size) / 50 AS parsed, count(DISTINCT p_size) AS k, count(DISTINCT p_name) / count(*) AS u, count(*) AS n, 2 * count_if(p_size % 2 = 0) >= count(*) AS scoped FROM part GROUP BY 1),
+a AS (SELECT *, CASE WHEN contested THEN CASE WHEN parsed < 0.5 AND k <= 50 THEN 'enum' WHEN parsed >= 0.9 THEN 'numeric' END ELSE role END AS r1 FROM p JOIN f USING (field)),
+b AS (SELECT *, CASE WHEN r1 = 'identifier' AND NOT (u >= 0.95 AND n >= 100 AND scoped) THEN CASE WHEN k <= 50 THEN 'enum' END WHEN r1 = 'relationship' THEN NULL ELSE r1 END AS r2 FROM a)
+SELECT field, CASE WHEN r2 IN ('enum', 'numeric', 'boolean') AND k <= 1 THEN NULL ELSE r2 END AS role FROM b"""
+
+
+@query(_CANON)
+def d_canonical_roles(spark, d):
+    """The role that all votes of a field give, held to what its values show."""
+    return jd.canonical_roles(*_field_votes(spark, d))
+
+
+@query()
+def d_agreed_roles(spark, d):
+    """Without SQL: draws are added until no continuation changes the role; unit cases test it."""
+    from pyspark.sql import Window
+
+    votes, facts = _field_votes(spark, d)
+    numbered = votes.withColumn("run", F.row_number().over(Window.partitionBy("field").orderBy("run")) - 1)
+    return jd.agreed_roles(numbered, facts, 9)

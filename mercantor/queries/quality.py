@@ -9,6 +9,7 @@ from ..catalog import table
 from ..functions import judge as jd
 from ..functions import stats as st
 from ..functions.text import NUMBER
+from ..operators.search import best_of_groups
 from ..registry import query
 
 # Documents of a source, longest first, as hits of the query "source"; quality labels are the gains.
@@ -21,9 +22,9 @@ got AS (SELECT query_id, sum(gain / log2(place + 1)) AS dcg, count(*) AS found,
 SELECT query_id, round(coalesce(dcg / ideal, 0), 6) AS ndcg, round(coalesce(found / relevant, 0), 6) AS recall, round(coalesce(1.0 / first, 0), 6) AS mrr FROM (SELECT DISTINCT query_id FROM j) LEFT JOIN ideal USING (query_id) LEFT JOIN got USING (query_id)""")
 def a_relevance(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("query_id"), "n_chars")
-    order = Window.partitionBy("query_id").orderBy(F.desc("n_chars"), "doc_id")
+    hits = best_of_groups(docs, "query_id", [F.desc("n_chars"), F.col("doc_id")], 10)
     judged = table(spark, d, "labels").join(docs, "doc_id").select("query_id", "doc_id", F.col("quality").cast("double").alias("gain"))
-    return st.relevance(docs.withColumn("place", F.row_number().over(order)), judged, 10)
+    return st.relevance(hits, judged, 10)
 
 
 _PAIRS = "p AS (SELECT o_orderpriority AS truth, CASE WHEN o_orderkey % 4 = 0 THEN '5-LOW' ELSE o_orderpriority END AS guess FROM orders)"

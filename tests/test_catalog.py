@@ -132,3 +132,28 @@ def test_feeds(spark, tmp_path):
     src.write_jsonl(shop, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 100
     assert json.loads(src.manifest(spark, run=1))["run"] == 1 and not math.isnan(1)
+
+
+def test_pages_are_checked(spark):
+    from mercantor.operators.search import pages
+
+    rows = spark.createDataFrame([(i // 3, i) for i in range(11)], "product_id long, variant_id long")
+    assert [len(p) for p in pages(rows, 4)] == [4, 4, 3] and [x for p in pages(rows, 4) for x in p] == [(i // 3, i) for i in range(11)]
+    assert list(pages(rows.limit(0), 4)) == []
+    with pytest.raises(ValueError):
+        list(pages(rows.union(rows), 4))
+
+
+def test_pushed_filters(spark, tmp_path):
+    """A plain condition reaches the scan, and keeps what the two-valued form keeps."""
+    from mercantor.model import Brand, Enum, Num, PriceOver
+    from mercantor.operators.predicates import where_all
+
+    rows = [(f"B{i % 3}" if i % 5 else None, "R" if i % 2 else None, float("nan") if i % 7 == 0 else float(i), i * 100) for i in range(60)]
+    spark.createDataFrame(rows, "brand string, returnflag string, quantity double, price_cents long").write.parquet(str(tmp_path / "c"))
+    shop = spark.read.parquet(str(tmp_path / "c"))
+    for cs in ([Brand("B1"), Enum("returnflag", "R")], [Num("quantity", ">", 9.0), PriceOver(1500)], [Num("price", "<=", 1550.5)], [Num("price", "=", 0.5)], [Num("quantity", "=", 8.0)]):
+        plain = where_all(shop, cs)
+        assert sorted(map(repr, plain.collect())) == sorted(map(repr, shop.where(all_match(cs)).collect()))
+    plan = where_all(shop, [Brand("B1"), PriceOver(1500)])._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(brand,B1)" in plan and "GreaterThan(price_cents,1500)" in plan
