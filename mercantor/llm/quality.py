@@ -1,8 +1,8 @@
 """Quality rules: a ledger of rule bits and measurements, written once; policies are applied to it afterwards.
 
-`ledger` measures every text once and sets bit k of ``failed`` when rule k fails.  A policy is a name, a version
-and a mask of rules; applying it, or computing what each rule removes alone (`ablation`), needs the ledger
-only and bitwise functions.  Everything is built-in column functions: no Python runs on executors.
+`ledger` measures every text once and sets bit k of ``failed`` when rule k fails; `stored` writes that as a table
+without texts.  A policy is a name, a version and a mask of rules; applying it, or computing what each rule removes
+alone (`ablation`), needs the stored ledger only and bitwise functions.  Everything is built-in column functions: no Python runs on executors.
 
 Repeated three-word windows are found inside the row, without a shuffle: window hashes are sorted together
 with their places, neighbours with equal hashes are repeats, and the places' coverage is summed.  (Two of a
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import OWN
+from .workspace import OWN, keep
 
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -104,6 +104,11 @@ def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("failed", F.when(F.monotonically_increasing_id() >= 0, total)).drop(OWN + "n_lines")
 
 
+def stored(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The ledger as a table of its own, without texts: written once, read by any number of policies and ablations."""
+    return keep(ledger(docs, text_col).drop(text_col))
+
+
 def passes(policy: Policy) -> Column:
     return F.col("failed").bitwiseAND(F.lit(policy.mask)) == 0
 
@@ -136,7 +141,7 @@ def keep_good(docs: DataFrame, policy: Policy = PRODUCTION, text_col: str = "tex
 
 
 def verdicts(docs: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
-    """The contract's columns, read off the ledger: a base failure is never kept."""
-    book = ledger(docs.select("doc_id", "text"))
+    """The contract's columns, read off the stored ledger: a base failure is never kept."""
+    book = stored(docs.select("doc_id", "text"))
     base = F.col("failed").bitwiseAND(F.lit(BASE.mask)) != 0
     return book.select("doc_id", *MEASURES, base.alias("base_failed"), (~base & passes(policy)).alias("kept"), "failed")

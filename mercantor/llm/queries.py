@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, jaccard, licenses, mixing, paragraphs, quality, sharding, tokencount, urlfilter, wavelet
 from .workspace import table
@@ -56,13 +57,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def quality_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that each of two policies keeps, from one stored ledger."""
+    book = quality.stored(table(spark, sf_dir, "documents"))
+    both = [quality.apply_policy(book, p).groupBy("policy", "policy_version").agg(F.count_if("kept").alias("kept"), F.count("*").alias("rows")) for p in (quality.BASE, quality.PRODUCTION)]
+    return both[0].union(both[1])
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the production policy removes, alone and with the others."""
+    return quality.ablation(quality.stored(table(spark, sf_dir, "documents")), quality.PRODUCTION)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_sharding, op4_wavelet_tokens, op5_url_filters, op6_mixing, op7_jaccard_join, op8_substring_dedup, op9_token_counts, op10_license_scan, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_sharding, op4_wavelet_tokens, op5_url_filters, op6_mixing, op7_jaccard_join, op8_substring_dedup, op9_token_counts, op10_license_scan, quality_policies, quality_ablation, pipeline)}
 
 _SPACE = r"[^\x20\x09-\x0D]"
 _OP1 = rf"""
@@ -107,4 +120,8 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN n ON doc.r = n.r LEFT JOIN items ON doc.r = items.r
 """
-ORACLES = {"op1_quality_rules": _OP1, "op2_decontamination": _OP2, "op5_url_filters": _OP5}
+_RULES = " UNION ALL ".join(f"SELECT '{name}' AS rule, {1 << k}::BIGINT AS bit" for k, name in enumerate(quality.RULES[:6]))
+_POLICIES = f"SELECT 'base' AS policy, 1 AS policy_version, count_if(failed & 3 = 0) AS kept, count(*) AS rows FROM ({_OP1}) UNION ALL SELECT 'production', 1, count_if(failed & 63 = 0), count(*) FROM ({_OP1})"
+_ABLATION = f"""WITH f AS (SELECT n_words, failed & 63 AS own FROM ({_OP1}))
+SELECT rule, count_if(own & bit <> 0) AS n_failed, count_if(own = bit) AS n_failed_alone, count_if(own & ~bit = 0) AS n_kept_without, CAST(coalesce(sum(n_words) FILTER (own & ~bit = 0), 0) AS BIGINT) AS words_kept_without, count_if(own = 0) AS n_kept FROM f, ({_RULES}) GROUP BY rule"""
+ORACLES = {"quality_policies": _POLICIES, "quality_ablation": _ABLATION, "op1_quality_rules": _OP1, "op2_decontamination": _OP2, "op5_url_filters": _OP5}

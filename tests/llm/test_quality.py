@@ -66,4 +66,5 @@ def test_clashing_columns_and_empty_table(spark):
 
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
-    assert not re.search("Python|Pandas|Arrow", q.verdicts(df)._jdf.queryExecution().toString())
+    for made in (q.verdicts(df), q.ledger(df), q.keep_good(df)):
+        assert not re.search("Python|Pandas|Arrow", made._jdf.queryExecution().toString())
