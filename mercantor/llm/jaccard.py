@@ -427,15 +427,14 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     id_col = how.get("id_col", "doc_id")
     rows = keep(join(docs, **how)["rows"])
     own = OWN + "id"
-    same = F.col(f"`{id_col}`").cast("long") == F.col(own)
-    gone = rows.where("id <> component").select(F.col("id").alias(own)).distinct()
-    out = docs.join(gone, same, "left_anti")
+    keyed = docs.withColumn(own, F.col(f"`{id_col}`").cast("long"))
+    out = among(keyed, rows.where("id <> component").select(F.col("id").alias(own)), "left_anti")
     again = keep(rows.where("id is not null").groupBy(F.col("id").alias(own)).count().where("count > 1").select(own))
     if again.isEmpty():
-        return out
+        return out.select(*[F.col(f"`{c}`") for c in docs.columns])
     # Rows that share an id are one document: the first of each id stays.
-    twice = out.join(again, same, "left_semi").dropDuplicates([id_col])
-    return out.join(again, same, "left_anti").union(twice)
+    twice = among(out, again, "left_semi").dropDuplicates([own])
+    return among(out, again, "left_anti").unionByName(twice).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:

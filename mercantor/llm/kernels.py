@@ -118,6 +118,34 @@ def _long_hash(data: np.ndarray, fold: np.ndarray) -> int:
     return int(mixed(np.array([(total + len(data)) & (1 << 64) - 1], U64))[0])
 
 
+_TRIM_EVERY = 64 << 20
+_seen = 0
+
+
+def _trim(n: int) -> None:
+    """Gives freed memory back to the system now and then, so an idle worker holds little beside its next user."""
+    global _seen
+    _seen += n
+    if _seen >= _TRIM_EVERY:
+        _seen = 0
+        pa.default_memory_pool().release_unused()
+        if _LIBC is not None:
+            _LIBC.malloc_trim(0)
+
+
+def _libc():
+    import ctypes
+
+    try:
+        found = ctypes.CDLL("libc.so.6")
+        return found if hasattr(found, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+_LIBC = _libc()
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     a = batch.column(batch.schema.get_field_index(name))
     return a.cast(pa.large_string()) if not pa.types.is_large_string(a.type) else a
@@ -140,6 +168,7 @@ def texts_of(a: pa.Array, most: int = SLICE_BYTES) -> Iterator[Texts]:
         low = offsets[at]
         yield Texts(data[low : offsets[to]], offsets[at : to + 1] - low, at)
         at = to
+    _trim(int(offsets[-1] - offsets[0]))
 
 
 class Words:
