@@ -62,20 +62,25 @@ def _draws(u: Column) -> Column:
     return reduce(lambda a, b: a + b, [(u >= c).cast("long") for c in cdf])
 
 
+#: Rounds that one copy of a row serves: few enough sums for generated code.
+_AT_ONCE = 25
+
+
 def resampled(rows: DataFrame, group: str, sums: dict[str, Column], id_col: str, rounds: int, seed: int) -> DataFrame:
     """(group, round, n, one sum for each of ``sums``): Poisson resampling, which needs no group in one place.
 
-    Rounds are columns of one partial aggregate while they are summed, so a row is read once and never copied.
+    ``_AT_ONCE`` rounds are columns of one partial aggregate; only the few columns that the sums need are copied for
+    the other rounds, and only sums are shuffled.
     """
-    def u(k: int) -> Column:
-        return F.pmod(F.xxhash64(id_col, F.lit(k), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-
-    t = rows.withColumns({f"_t{k}": _draws(u(k)) for k in range(1, rounds + 1)})
-    made = [F.sum(f"_t{k}").alias(f"n_{k}") for k in range(1, rounds + 1)]
-    made += [F.sum(F.col(f"_t{k}") * c).alias(f"{n}_{k}") for n, c in sums.items() for k in range(1, rounds + 1)]
-    wide = t.groupBy(group).agg(*made)
-    parts = [F.struct(F.lit(k).alias("round"), F.col(f"n_{k}").alias("n"), *[F.col(f"{n}_{k}").alias(n) for n in sums]) for k in range(1, rounds + 1)]
-    return wide.select(group, F.explode(F.array(*parts)).alias("x")).select(group, "x.*")
+    own = rows.select(F.col(group), F.col(id_col).alias("_id"), *[c.cast("double").alias(f"_v_{n}") for n, c in sums.items()])
+    blocks = own.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(-(-rounds // _AT_ONCE) - 1))))
+    u = lambda j: F.pmod(F.xxhash64("_id", F.col("_b") * _AT_ONCE + j, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    t = blocks.withColumns({f"_t{j}": _draws(u(j)) for j in range(_AT_ONCE)})
+    made = [F.sum(f"_t{j}").alias(f"n_{j}") for j in range(_AT_ONCE)]
+    made += [F.sum(F.col(f"_t{j}") * F.col(f"_v_{n}")).alias(f"{n}_{j}") for n in sums for j in range(_AT_ONCE)]
+    wide = t.groupBy(group, "_b").agg(*made)
+    parts = [F.struct((F.col("_b") * _AT_ONCE + j + 1).alias("round"), F.col(f"n_{j}").alias("n"), *[F.col(f"{n}_{j}").alias(n) for n in sums]) for j in range(_AT_ONCE)]
+    return wide.select(group, F.explode(F.array(*parts)).alias("x")).select(group, "x.*").where(F.col("round") <= rounds)
 
 
 def _interval(group: str, rounds: DataFrame, value: Column, alpha: float = 0.05) -> DataFrame:

@@ -120,19 +120,34 @@ _BITS = 62
 def facets_of_many(catalog: DataFrame, requests: dict[str, Request]) -> DataFrame:
     """(request, facet, value, n) of many requests in one pass over the catalog.
 
-    Each row is tested against all requests, and the set of those that a facet's values count for is a bitmask.
-    Rows are summed by facet, value and mask; only the few sums are then dealt out to the requests.
+    For each attribute a row has a bitmask of the requests whose filters on it the row meets, so a condition is tested
+    once; a facet counts for the requests in all masks but its own attribute's.  Rows are summed by facet, value and
+    mask; only the few sums are then dealt out to the requests.
     """
     names = list(requests)
     attrs = tuple(sorted({a for r in requests.values() for a in r.facets}))
     chunks = [names[k : k + _BITS] for k in range(0, len(names), _BITS)]
+    own = {k: conditions(r) for k, r in requests.items()}
+    groups = [None, *sorted({a for c in own.values() for a in c if a is not None})]
+    zero = F.lit(0).cast("long")
 
-    def mask(a: str) -> Column:
-        bit = lambda i, k: F.when(scope(requests[k], a), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
-        own = [[bit(i, k) for i, k in enumerate(c) if a in requests[k].facets] for c in chunks]
-        return F.array(*[reduce(lambda x, y: x.bitwiseOR(y), bits, F.lit(0).cast("long")) for bits in own])
+    def met(c: int, g: int) -> Column:
+        """The chunk's requests whose conditions of the group the row meets; those without any are met."""
+        free = sum(1 << i for i, k in enumerate(chunks[c]) if not own[k].get(groups[g]))
+        asked = [F.when(all_match(own[k][groups[g]]), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, k in enumerate(chunks[c]) if own[k].get(groups[g])]
+        return reduce(lambda x, y: x.bitwiseOR(y), asked, F.lit(free).cast("long"))
 
-    rows = catalog.select(F.explode(F.filter(_entries(attrs, mask), lambda e: F.exists(e["for"], lambda m: m != 0))).alias("e"))
+    def mask(a: str) -> Column:
+        out = []
+        for c, some in enumerate(chunks):
+            wanted = sum(1 << i for i, k in enumerate(some) if a in requests[k].facets)
+            out.append(reduce(lambda x, y: x.bitwiseAND(y), [F.col(f"_m{c}_{g}") for g, name in enumerate(groups) if name != a], F.lit(wanted).cast("long")))
+        return F.array(*out)
+
+    marked = catalog.withColumns({f"_m{c}_{g}": met(c, g) for c in range(len(chunks)) for g in range(len(groups))})
+    # Rows outside every request's scope go first: categories are met by few requests.
+    within = reduce(lambda x, y: x | y, [F.col(f"_m{c}_0") != zero for c in range(len(chunks))])
+    rows = marked.where(within).select(F.explode(F.filter(_entries(attrs, mask), lambda e: F.exists(e["for"], lambda m: m != 0))).alias("e"))
     sums = rows.select("e.facet", F.explode("e.values").alias("value"), F.col("e.for").alias("for")).where("value is not null").groupBy("facet", "value", "for").agg(F.count("*").alias("c"))
     who = F.array(*[F.struct(F.lit(n).alias("request"), F.lit(k // _BITS).alias("at"), F.lit(1 << k % _BITS).cast("long").alias("bit")) for k, n in enumerate(names)])
     asked = F.filter(who, lambda w: F.get(F.col("for"), w["at"]).bitwiseAND(w["bit"]) != 0)

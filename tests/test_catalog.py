@@ -157,3 +157,29 @@ def test_pushed_filters(spark, tmp_path):
         assert sorted(map(repr, plain.collect())) == sorted(map(repr, shop.where(all_match(cs)).collect()))
     plan = where_all(shop, [Brand("B1"), PriceOver(1500)])._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(brand,B1)" in plan and "GreaterThan(price_cents,1500)" in plan
+
+
+def test_many_requests_are_single_ones(spark, shop):
+    """More requests than one mask holds, each compared with its own pass."""
+    from mercantor.model import Request
+    from mercantor.operators import facets as fx
+
+    brands = [r["brand"] for r in shop.select("brand").distinct().orderBy("brand").collect()]
+    requests = {f"r{i}": Request(filters=(("returnflag", "RA"[i % 2]),) if i % 3 else (), any_filters=(("brand", tuple(brands[: 1 + i % 2])),) if i % 4 else (), ranges=(("size", ">=", float(i % 12)),), facets=("brand", "words", "returnflag")) for i in range(70)}
+    many = sorted((r["request"], r["facet"], r["value"], r["n"]) for r in fx.facets_of_many(shop, requests).collect())
+    for k in ("r0", "r1", "r7", "r61", "r62", "r69"):
+        single = sorted((k, r["facet"], r["value"], r["n"]) for r in fx.facets(shop, requests[k]).collect())
+        assert single == [m for m in many if m[0] == k]
+
+
+def test_an_index_follows_its_files(spark, sf_dir, tmp_path):
+    from mercantor.index import opened
+
+    for t in ("part", "lineitem", "supplier", "nation", "region"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    first = opened(spark, str(tmp_path))
+    assert opened(spark, str(tmp_path)).path == first.path
+    n = first.table(spark, "catalog").count()
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 2 = 0").write.mode("overwrite").parquet(str(tmp_path / "lineitem.parquet"))
+    second = opened(spark, str(tmp_path))
+    assert second.path != first.path and 0 < second.table(spark, "catalog").count() < n
