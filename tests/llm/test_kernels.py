@@ -57,3 +57,31 @@ def test_long_texts_are_hashed_as_short_ones():
     assert (w.hashes[:1_200_000] == s[0]).all() and w.hashes[-2:].tolist() == s[1:].tolist()
     piece = np.frombuffer(b"x" * 3_000_000, np.uint8)
     assert w.hashes[-3] == kn._hashes(kn._sums(piece, kn.NO_FOLD), np.array([0]), np.array([3_000_000]))[0]
+
+
+def test_a_text_of_100_mb_fits():
+    """Shingles, stretches and benchmark windows of one long text, each within 16 bytes a byte."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import resource, pyarrow as pa
+from mercantor.llm import decontam, paragraphs
+from mercantor.llm.kernels import FOLD, VISIBLE, Words, shingles, texts_of
+text = " ".join(f"w{i * 7919 % 99991}" for i in range(1_400_000)) + " "
+a = pa.array([text * (100_000_000 // len(text) + 1)], pa.large_string())
+del text
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+windows = decontam.WindowSet([(1, " ".join(f"w{i * 7919 % 99991}" for i in range(500, 530)))])
+for t in texts_of(a):
+    assert len(t.data) > 100_000_000
+    assert len(shingles(Words(t, VISIBLE, FOLD))[1]) > 90_000
+    assert len(paragraphs.stretches(Words(t, VISIBLE))[0]) > 10_000_000
+    assert len(windows.scan(t)[1][0]) > 2
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) / 1024)
+"""
+    root = str(Path(__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, env={"PYTHONPATH": root, "PATH": "/usr/bin:/bin"}, capture_output=True, text=True, check=False)
+    assert done.returncode == 0, done.stderr
+    assert float(done.stdout) < 1600
