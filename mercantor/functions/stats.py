@@ -53,17 +53,25 @@ def mean_interval(rows: DataFrame, group: str, value: str) -> DataFrame:
     return out.select(group, "n", F.round("mean", 6).alias("mean"), F.round(t_point(F.col("n")) * F.col("sd") / F.sqrt("n"), 6).alias("half"))
 
 
-def _draws(u: Column) -> Column:
-    """How often a row counts in a round: a Poisson(1) number for a uniform number in [0, 1)."""
-    cdf, total = [], 0.0
+#: Bits of a row's number in a round.
+_DRAW_BITS = 30
+
+
+def _draws(h: Column) -> Column:
+    """How often a row counts in a round: a Poisson(1) number for a number of ``_DRAW_BITS`` random bits.
+
+    The likeliest numbers are tested first, so few tests are made.
+    """
+    out, total = None, 0.0
     for k in range(8):
         total += math.exp(-1) / math.factorial(k)
-        cdf.append(total)
-    return reduce(lambda a, b: a + b, [(u >= c).cast("long") for c in cdf])
+        below, n = h < F.lit(int(total * (1 << _DRAW_BITS))), F.lit(k).cast("long")
+        out = F.when(below, n) if out is None else out.when(below, n)
+    return out.otherwise(F.lit(8).cast("long"))
 
 
-#: Rounds that one copy of a row serves: few enough sums for generated code.
-_AT_ONCE = 25
+#: Rounds that one copy of a row serves: with their sums fewer columns than generated code may have.
+_AT_ONCE = 10
 
 
 def resampled(rows: DataFrame, group: str, sums: dict[str, Column], id_col: str, rounds: int, seed: int) -> DataFrame:
@@ -74,8 +82,8 @@ def resampled(rows: DataFrame, group: str, sums: dict[str, Column], id_col: str,
     """
     own = rows.select(F.col(group), F.col(id_col).alias("_id"), *[c.cast("double").alias(f"_v_{n}") for n, c in sums.items()])
     blocks = own.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(-(-rounds // _AT_ONCE) - 1))))
-    u = lambda j: F.pmod(F.xxhash64("_id", F.col("_b") * _AT_ONCE + j, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    t = blocks.withColumns({f"_t{j}": _draws(u(j)) for j in range(_AT_ONCE)})
+    drawn = lambda j: F.shiftrightunsigned(F.xxhash64("_id", F.col("_b") * _AT_ONCE + j, F.lit(seed)), 64 - _DRAW_BITS)
+    t = blocks.withColumns({f"_h{j}": drawn(j) for j in range(_AT_ONCE)}).withColumns({f"_t{j}": _draws(F.col(f"_h{j}")) for j in range(_AT_ONCE)})
     made = [F.sum(f"_t{j}").alias(f"n_{j}") for j in range(_AT_ONCE)]
     made += [F.sum(F.col(f"_t{j}") * F.col(f"_v_{n}")).alias(f"{n}_{j}") for n in sums for j in range(_AT_ONCE)]
     wide = t.groupBy(group, "_b").agg(*made)

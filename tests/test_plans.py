@@ -124,6 +124,21 @@ def test_texts_compile_to_the_queries_of_the_plans(spark, sf_dir):
     assert {k: compile_text(t, lex_) for k, (t, _) in pg.TEXTS.items()} == pg.QUERIES
 
 
+def test_many_are_answered_as_one_by_one(spark, sf_dir):
+    from mercantor.catalog import catalog
+    from mercantor.plans import lexicon as lx
+    from mercantor.queries import planning as pg
+
+    c = catalog(spark, sf_dir)
+    by, breadth = pl.TitleRanking(c), lx.breadth(c)
+    many = sorted(map(tuple, pl.run_many(c, pg.QUERIES, 7, by, pg.POLICY, breadth).collect()))
+    for name in ("hybrid", "punt", "unknown", "words", "priced"):
+        one = [(name, *r) for r in map(tuple, pl.run(c, pg.QUERIES[name], 7, by, pg.POLICY, breadth).collect())]
+        assert sorted(one) == [m for m in many if m[0] == name]
+    hits = spark.createDataFrame([("a", 1, 1000001, 2.0), ("a", 2, None, 1.0), ("b", 1, 999, 3.0)], f"query string, {pl.HITS}")
+    assert {r["query"] for r in pl.verify_many(hits, c, {"a": Query(), "b": Query()}, 9).collect()} <= {"a"}
+
+
 def test_named_variants_are_never_replaced(spark, shop):
     hits = spark.createDataFrame([(1, 11, 3.0), (2, 20, 2.0), (4, None, 1.0)], pl.HITS)
     q = Query((Brand("B1"),))
