@@ -40,6 +40,8 @@ from .workspace import drop, keep, prepared, small_batches, whole_numbers
 
 BANDS, ROWS = 9, 3
 MIN_WORDS, ANCHOR_WORDS, RUN_WORDS = 16, 13, 24
+#: Words of a passage in production: passages of over 50 words, of whose ends a word each may be grown into its neighbour.
+PASSAGE_WORDS = 48
 #: A line of ``MIN_WORDS`` words has so many bytes at least.
 _LINE_BYTES = 2 * MIN_WORDS - 1
 
@@ -213,10 +215,11 @@ def _verdicts(runs: DataFrame) -> DataFrame:
     return out
 
 
-def _spans(stretches: DataFrame) -> DataFrame:
+def _spans(stretches: DataFrame, least: int) -> DataFrame:
     """Spans of the repeated stretches (doc_id, lo, word, n, start, end), where lo is the document that keeps them.
 
-    Stretches of the same verdict that overlap or touch are one span.  A word that a kept stretch holds is kept.
+    Stretches that overlap or touch are one passage, which counts if it has ``least`` words or more; those of the same
+    verdict are one span of it.  A word that a kept stretch holds is kept.
     """
 
     def merged(doc, lo, first, last, start, end, removed: bool) -> pa.RecordBatch:
@@ -229,7 +232,13 @@ def _spans(stretches: DataFrame) -> DataFrame:
 
     def spans(doc, lo, word, size, start, end) -> Iterator[pa.RecordBatch]:
         doc, lo, word, size, start, end = (x.astype(np.int64) for x in (doc, lo, word, size, start, end))
-        n, kept, to = len(doc), doc == lo, word + size - 1 + RUN_WORDS
+        to = word + size - 1 + RUN_WORDS
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (word[1:] > to[:-1])
+        run = np.cumsum(new) - 1
+        long = (np.append(to[:-1][new[1:]], to[-1:]) - word[new] >= least)[run] if len(doc) else new
+        doc, lo, word, start, end, to = (x[long] for x in (doc, lo, word, start, end, to))
+        n, kept = len(doc), doc == lo
         yield merged(doc[kept], lo[kept], word[kept], to[kept], start[kept], end[kept], False)
         # Of a removed stretch, the words between the kept stretches before and after it; one byte at least parts words.
         before = np.maximum.accumulate(np.where(kept, np.arange(n), -1))
@@ -273,10 +282,11 @@ def _by_document(stretches: DataFrame, spans) -> DataFrame:
     return stretches.repartition("doc_id").sortWithinPartitions("doc_id", "word").mapInArrow(run, _PASSAGE)
 
 
-def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, *, least: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans that repeat across documents: (doc_id, kind, start, end, n_words, cluster, removed).
 
-    Documents without such a span have no row.  kind is ``paragraph`` or ``passage``; a passage may lie inside a
+    Documents without such a span have no row.  A passage has ``least`` words or more, ``RUN_WORDS`` at least; its
+    parts that different documents keep may be shorter.  kind is ``paragraph`` or ``passage``; a passage may lie inside a
     paragraph.  cluster is the smallest unit number of a component, or the smallest document that keeps
     a stretch of a passage.
     """
@@ -285,14 +295,14 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     small_batches(docs.sparkSession)
     docs = docs.withColumn("k", F.xxhash64(F.lit(1), "text"))
     texts = keep(docs.select("doc_id", "k", F.xxhash64(F.lit(2), "text").alias("k2"), F.octet_length("text").alias("n")))
-    least, most, longest = texts.agg(F.min("doc_id"), F.max("doc_id"), F.coalesce(F.max("n"), F.lit(0))).first()
+    lowest, highest, longest = texts.agg(F.min("doc_id"), F.max("doc_id"), F.coalesce(F.max("n"), F.lit(0))).first()
     classes = texts.groupBy("k", "k2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").drop("last")
     copies = keep(texts.join(classes, ["k", "k2", "n"]).where("doc_id <> rep").select("rep", "doc_id", "k").distinct())
     drop(texts)
     reps = among(docs, copies.select("doc_id", "k"), "left_anti").drop("k")
     copied = copies.select(F.col("rep").alias("doc_id")).distinct()
 
-    units = keep(_units(reps, _place_bits((least, most) if least is not None else None, longest)))
+    units = keep(_units(reps, _place_bits((lowest, highest) if lowest is not None else None, longest)))
     placed = keep(join(units, id_col="id", make=bands)["members"].distinct())
     lines = units.drop("text").join(placed, "id", "left").join(copied.withColumn("copied", F.lit(True)), "doc_id", "left").where("component is not null or copied")
     lines = keep(lines.select("doc_id", "start", "end", "n_words", F.coalesce("component", "id").alias("cluster"), F.coalesce("copied", F.lit(False)).alias("copied")))
@@ -314,12 +324,12 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     more = spans.join(like, F.col("doc_id") == F.col("of")).select(F.col("copy").alias("doc_id"), "kind", "start", "end", "n_words", "cluster", F.lit(True).alias("removed"))
     whole = found.where("copied").groupBy("doc_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("word") + F.col("n")) - 1 + RUN_WORDS).alias("n_words"), F.min("lo").alias("cluster"))
     whole = whole.join(like, F.col("doc_id") == F.col("of")).select(F.col("copy").alias("doc_id"), F.lit("passage").alias("kind"), *[F.col(c).cast("long").alias(c) for c in ("start", "end", "n_words", "cluster")], F.lit(True).alias("removed"))
-    return spans.union(more).union(_spans(found.select("doc_id", "lo", "word", "n", "start", "end"))).union(whole)
+    return spans.union(more).union(_spans(found.select("doc_id", "lo", "word", "n", "start", "end"), least)).union(whole.where(F.col("n_words") >= least))
 
 
-def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove(docs: DataFrame, *, least: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the spans to be removed cut out of their texts."""
-    spans = repeats(docs, id_col=id_col, text_col=text_col).where("removed").groupBy(F.col("doc_id").alias("__mx_id")).agg(F.collect_set(F.struct("start", "end")).alias("__mx_spans"))
+    spans = repeats(docs, least=least, id_col=id_col, text_col=text_col).where("removed").groupBy(F.col("doc_id").alias("__mx_id")).agg(F.collect_set(F.struct("start", "end")).alias("__mx_spans"))
     joined = docs.join(spans, F.col(f"`{id_col}`").cast("long") == F.col("__mx_id"), "left").drop("__mx_id")
     names = docs.columns
 

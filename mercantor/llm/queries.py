@@ -46,7 +46,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeats(table(spark, sf_dir, "documents"))
+    return paragraphs.repeats(table(spark, sf_dir, "documents"), least=paragraphs.PASSAGE_WORDS)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,21 @@ def test_copies_follow_their_class(spark):
     assert set().union(*(stretches(t.split()) for t in texts.values())) - {tuple(["x"] * pg.RUN_WORDS)} <= set().union(*map(stretches, left.values())) | stretches(texts[big + 10].split())
 
 
+def test_short_repeats_are_no_passages(spark):
+    """With more words asked for, only whole runs of so many count, however their parts are kept."""
+    rng = random.Random(16)
+    short, first, second = prose(rng, 40, 99), prose(rng, 30, 99), prose(rng, 30, 99)
+    around = lambda x: f"{prose(rng, 20, 99)} {x} {prose(rng, 20, 99)}"
+    rows = [(1, around(short)), (2, around(short)), (3, around(first)), (4, around(f"{first} {second}")), (5, around(f"{first} {second}")), (6, around(second))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    own = {i: t.split() for i, t in rows}
+    for least in (pg.RUN_WORDS, 48):
+        got = pg.repeats(df, least=least).collect()
+        assert {r["doc_id"] for r in got} == ({1, 2, 3, 4, 5, 6} if least == pg.RUN_WORDS else {4, 5})
+        assert sum(r["n_words"] for r in got if r["doc_id"] == 5) == 60 and all(r["removed"] for r in got if r["doc_id"] == 5)
+    assert len(own[5]) == 100
+
+
 def test_banding_recall():
     import numpy as np
 
