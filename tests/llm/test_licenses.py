@@ -64,7 +64,7 @@ def test_notices_against_brute_force():
                 want = tokens(text)
                 slack = max(2, len(want) // 4)
                 for p in range(len(own)):
-                    if own[p : p + 1] and any(own[p + o : p + o + 3] == want[:3] for o in (0,)):
+                    if own[p : p + 3] == want[:3]:
                         pairs = li.align(own[max(0, p - slack) : p + len(want) + slack], want)
                         if len(pairs) >= li.COVERAGE * len(want):
                             best = max(best, len(pairs))
@@ -76,8 +76,8 @@ def test_edges(spark):
     mit = li.TEMPLATES[8][1]
     rows = [(1, mit), (1, mit), (None, mit), (3, None), (4, ""), (5, "é " * 10), (6, (prose(random.Random(1), 30) + " ") * 4000 + mit)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as license", "1 as notices")
-    got = sorted(((r["doc_id"] or 0), r["license"], len(r["notices"])) for r in li.scan(df).collect())
-    assert got == [(0, "MIT", 1), (1, "MIT", 1), (1, "MIT", 1), (3, None, 0), (4, None, 0), (5, None, 0), (6, "MIT", 1)] or [g[1] for g in got] == ["MIT", "MIT", "MIT", None, None, None, "MIT"]
+    got = sorted((((r["doc_id"] or 0), r["license"] or "", len(r["notices"])) for r in li.scan(df).collect()))
+    assert got == [(0, "MIT", 1), (1, "MIT", 1), (1, "MIT", 1), (3, "", 0), (4, "", 0), (5, "", 0), (6, "MIT", 1)]
     with pytest.raises(ValueError):
         li.Scanner((("X", "two words"),))
 

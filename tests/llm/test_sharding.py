@@ -57,7 +57,7 @@ def test_given_links_and_cut(spark):
 
 def test_large_hubs_are_ordered_in_parts(spark, monkeypatch):
     monkeypatch.setattr(sh, "ROWS_A_BUCKET", 20)
-    test_laws_slots_and_groups.__wrapped__(spark, "rows") if hasattr(test_laws_slots_and_groups, "__wrapped__") else test_laws_slots_and_groups(spark, "rows")
+    test_laws_slots_and_groups(spark, "rows")
 
 
 def test_the_cut_is_near_the_best_and_far_below_a_random_deal(spark):
