@@ -48,7 +48,7 @@ def _samples(v, n):
     return some.withColumn("k", k).where(F.col("k") <= n).groupBy("kind").agg(F.array_sort(F.collect_list("v")).alias("samples"))
 
 
-@query("WITH t AS (SELECT p_name, CASE WHEN p_size % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS p_brand, CASE WHEN p_size % 7 > 0 THEN p_brand END AS nb, len(string_split(p_name, ' ')) AS w FROM part) SELECT (SELECT count(*) FROM t) AS n, (SELECT count(DISTINCT p_brand) FROM t) AS raw_brands, (SELECT count(DISTINCT lower(p_brand)) FROM t) AS brands, (SELECT count(*) FROM (SELECT p_name FROM t GROUP BY p_name HAVING count(*) > 1)) AS duplicate_titles, (SELECT quantile_cont(w, 0.5) FROM t) AS p50_words, (SELECT quantile_cont(w, 0.95) FROM t) AS p95_words, (SELECT count_if(nb IS NULL) FROM t) AS null_brands, (SELECT count(*) FROM (SELECT lower(replace(p_brand, '#', '')) AS k FROM t GROUP BY k HAVING count(DISTINCT p_brand) > 1)) AS collisions")
+@query("WITH t AS (SELECT p_name, CASE WHEN p_size % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS p_brand, CASE WHEN p_size % 7 > 0 THEN p_brand END AS nb, len(string_split(p_name, ' ')) AS w FROM part) SELECT (SELECT count(*) FROM t) AS n, (SELECT count(DISTINCT p_brand) FROM t) AS raw_brands, (SELECT count(DISTINCT lower(p_brand)) FROM t) AS brands, (SELECT count(*) FROM (SELECT p_name FROM t GROUP BY p_name HAVING count(*) > 1)) AS duplicate_titles, (SELECT quantile_cont(w, 0.5) FROM t) AS p50_words, (SELECT quantile_cont(w, 0.95) FROM t) AS p95_words, (SELECT count(*) FROM t WHERE nb IS NULL) AS null_brands, (SELECT count(*) FROM (SELECT lower(replace(p_brand, '#', '')) AS k FROM t GROUP BY k HAVING count(DISTINCT p_brand) > 1)) AS collisions")
 def a_data_quality(spark, d):
     """Nulls, raw against normalised brands, colliding spellings, repeated titles, words of titles."""
     own = F.when(F.col("p_size") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand"))

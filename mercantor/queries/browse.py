@@ -98,7 +98,7 @@ def r_rating_sorted(spark, d):
     return kept_all(catalog(spark, d), [PriceUnder(150000)]).orderBy(*sort_key("quantity", True)).limit(40).select("title", *IDS, "quantity")
 
 
-@query(f"{SQL} SELECT count(*) AS n, count(v) FILTER (NOT isnan(v)) AS present, count_if(v = 0) AS zeros FROM (SELECT {_ODD} AS v FROM catalog)")
+@query(f"{SQL} SELECT count(*) AS n, count(v) FILTER (NOT isnan(v)) AS present, count(*) FILTER (v = 0) AS zeros FROM (SELECT {_ODD} AS v FROM catalog)")
 def r_presence(spark, d):
     """A sort column's present values: neither missing nor NaN, zeros of both signs alike."""
     v = catalog(spark, d).withColumn("v", F.expr(_ODD))

@@ -140,7 +140,7 @@ def s_furniture(spark, d):
 _FEED = "f AS (SELECT p_partkey AS id, unnest(['color', 'size']) AS key, unnest([p_name, CAST(p_size AS VARCHAR)]) AS value FROM part)"
 
 
-@query(f"WITH {_FEED} SELECT key, count(*) AS n, count(DISTINCT value) AS values, count_if(try_cast(value AS DOUBLE) IS NOT NULL) AS numeric, round(avg(length(value)), 6) AS mean_length FROM f GROUP BY key")
+@query(f"WITH {_FEED} SELECT key, count(*) AS n, count(DISTINCT value) AS values, count(*) FILTER (try_cast(value AS DOUBLE) IS NOT NULL) AS numeric, round(avg(length(value)), 6) AS mean_length FROM f GROUP BY key")
 def s_feed_stats(spark, d):
     """A tab-separated feed written and read again: the statistics of each key of its feature bags."""
     bag = F.concat(F.lit("color : "), "p_name", F.lit("|size:"), F.col("p_size").cast("string"), F.lit("|odd|color:again"))

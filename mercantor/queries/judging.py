@@ -83,7 +83,7 @@ _BRANDLESS, _PLACELESS = "kind <> 'brand'", "kind <> 'category'"
 _RESOLVED = f"{_FORMS}, res AS (SELECT text FROM expected WHERE ambiguous = '' AND residual = ''), used AS (SELECT text, bool_or(kind = 'brand') AS b, bool_or(kind = 'category') AS g FROM (SELECT text, px AS p FROM forms UNION ALL SELECT text, py FROM forms) JOIN ranked USING (p) GROUP BY text)"
 
 
-@query(f"{_RESOLVED} SELECT (SELECT count(*) FROM forms) AS total, count_if(g AND NOT b) AS newly, count_if(b AND NOT g) AS regressions, CASE WHEN count_if(b AND NOT g) > 0 THEN 'regression' WHEN count_if(g AND NOT b) = 0 THEN 'no_improvement' ELSE 'promoted' END AS verdict FROM res JOIN used USING (text)")
+@query(f"{_RESOLVED} SELECT (SELECT count(*) FROM forms) AS total, count(*) FILTER (g AND NOT b) AS newly, count(*) FILTER (b AND NOT g) AS regressions, CASE WHEN count_if(b AND NOT g) > 0 THEN 'regression' WHEN count_if(g AND NOT b) = 0 THEN 'no_improvement' ELSE 'promoted' END AS verdict FROM res JOIN used USING (text)")
 def c_replay(spark, d):
     """A lexicon without categories is to be replaced by one without brands: what is resolved anew, and what is lost."""
     from ..plans.control import replayed, verdict
@@ -93,7 +93,7 @@ def c_replay(spark, d):
     return verdict(replayed(base, new, "text"))
 
 
-@query(f"{_RESOLVED} SELECT (SELECT count(*) FROM forms) AS total, count_if(b) AS newly, CAST(0 AS BIGINT) AS regressions, CASE WHEN count_if(b) = 0 THEN 'no_improvement' ELSE 'promoted' END AS verdict FROM res JOIN used USING (text)")
+@query(f"{_RESOLVED} SELECT (SELECT count(*) FROM forms) AS total, count(*) FILTER (b) AS newly, CAST(0 AS BIGINT) AS regressions, CASE WHEN count_if(b) = 0 THEN 'no_improvement' ELSE 'promoted' END AS verdict FROM res JOIN used USING (text)")
 def c_promote(spark, d):
     """A lexicon gains its brands: nothing is lost, so it is promoted."""
     from ..plans.control import replayed, verdict

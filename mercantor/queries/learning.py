@@ -95,7 +95,7 @@ def q_number_queries(spark, d):
     return sized.union(part.select(F.concat(t, F.lit(" under $"), (F.floor(F.col("p_retailprice") / 100) * 100).cast("string")))).distinct()
 
 
-@query(f"{_FORMS} SELECT count(*) AS total, count_if(ambiguous = '' AND residual = '') AS resolved, count_if(ambiguous <> '') AS ambiguous, count_if(residual <> '') AS residual FROM expected")
+@query(f"{_FORMS} SELECT count(*) AS total, count(*) FILTER (ambiguous = '' AND residual = '') AS resolved, count(*) FILTER (ambiguous <> '') AS ambiguous, count(*) FILTER (residual <> '') AS residual FROM expected")
 def q_coverage(spark, d):
     """Totals of resolved, ambiguous and residual queries."""
     return cp.coverage(compiled(_corpus(spark, d), lx.readings(_profile(spark, d), 1)))

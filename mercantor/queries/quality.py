@@ -54,7 +54,7 @@ def _judged(spark, d):
     return j.select(F.col("q_k").alias("query_id"), (brand & own & other).alias("and_rule"), (brand & (own | other)).alias("or_rule"), brand.alias("relevant"), (brand & (F.col("p_name") == F.col("q_p_name"))).alias("exact"))
 
 
-@query(f"WITH {_JUDGED}, r AS (SELECT 'and' AS rule, brand_ok AND own AND other AS passes, relevant, exact, query_id FROM j UNION ALL SELECT 'or_within', brand_ok AND (own OR other), relevant, exact, query_id FROM j) SELECT rule, count(DISTINCT query_id) AS queries, count_if(passes) AS shown, round(count_if(passes AND relevant) / count_if(passes), 6) AS precision, round(count_if(passes AND relevant) / count_if(relevant), 6) AS filter_recall, round(count_if(passes AND exact) / count_if(exact), 6) AS exact_recall FROM r GROUP BY rule")
+@query(f"WITH {_JUDGED}, r AS (SELECT 'and' AS rule, brand_ok AND own AND other AS passes, relevant, exact, query_id FROM j UNION ALL SELECT 'or_within', brand_ok AND (own OR other), relevant, exact, query_id FROM j) SELECT rule, count(DISTINCT query_id) AS queries, count(*) FILTER (passes) AS shown, round(count_if(passes AND relevant) / count_if(passes), 6) AS precision, round(count_if(passes AND relevant) / count_if(relevant), 6) AS filter_recall, round(count_if(passes AND exact) / count_if(exact), 6) AS exact_recall FROM r GROUP BY rule")
 def a_precision(spark, d):
     """Judged products under two readings of a query with two values of one attribute: all of them, or any of them."""
     j = _judged(spark, d)
