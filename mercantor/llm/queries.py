@@ -121,7 +121,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN n ON doc.r = n.r LEFT JOIN items ON doc.r = items.r
 """
 _RULES = " UNION ALL ".join(f"SELECT '{name}' AS rule, {1 << k}::BIGINT AS bit" for k, name in enumerate(quality.RULES[:6]))
-_POLICIES = f"SELECT 'base' AS policy, 1 AS policy_version, count_if(failed & 3 = 0) AS kept, count(*) AS rows FROM ({_OP1}) UNION ALL SELECT 'production', 1, count_if(failed & 63 = 0), count(*) FROM ({_OP1})"
+_POLICIES = f"SELECT 'base' AS policy, 1 AS policy_version, count(*) FILTER (failed & 3 = 0) AS kept, count(*) AS rows FROM ({_OP1}) UNION ALL SELECT 'production', 1, count(*) FILTER (failed & 63 = 0), count(*) FROM ({_OP1})"
 _ABLATION = f"""WITH f AS (SELECT n_words, failed & 63 AS own FROM ({_OP1}))
-SELECT rule, count_if(own & bit <> 0) AS n_failed, count_if(own = bit) AS n_failed_alone, count_if(own & ~bit = 0) AS n_kept_without, CAST(coalesce(sum(n_words) FILTER (own & ~bit = 0), 0) AS BIGINT) AS words_kept_without, count_if(own = 0) AS n_kept FROM f, ({_RULES}) GROUP BY rule"""
+SELECT rule, count(*) FILTER (own & bit <> 0) AS n_failed, count(*) FILTER (own = bit) AS n_failed_alone, count(*) FILTER (own & ~bit = 0) AS n_kept_without, CAST(coalesce(sum(n_words) FILTER (own & ~bit = 0), 0) AS BIGINT) AS words_kept_without, count(*) FILTER (own = 0) AS n_kept FROM f, ({_RULES}) GROUP BY rule"""
 ORACLES = {"quality_policies": _POLICIES, "quality_ablation": _ABLATION, "op1_quality_rules": _OP1, "op2_decontamination": _OP2, "op5_url_filters": _OP5}
