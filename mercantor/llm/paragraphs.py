@@ -209,9 +209,11 @@ def _verdicts(runs: DataFrame) -> DataFrame:
     cols = ["doc_id", "lo", "word", "n", "start", "end", "copied"]
     other = marked.where("not pure").select("doc_id", "word", "gone", "copied", "starts", "ends", F.posexplode("hashes").alias("i", "hash"))
     each = other.select("hash", "doc_id", (F.col("word") + F.col("i")).alias("word"), F.lit(1).alias("n"), F.col("starts")[F.col("i")].alias("start"), F.col("ends")[F.col("i")].alias("end"), F.expr("(gone & shiftleft(1, i)) <> 0").alias("gone"), "copied")
-    found = each.join(_kept_by(each, "hash", F.col("gone")), "hash").where("lo <> hi or copied").withColumn("lo", F.coalesce("whole", "lo"))
+    # Written first, so that both sides of the join are plain shuffles, whose large partitions Spark can split.
+    groups = keep(_kept_by(each, "hash", F.col("gone")))
+    found = each.join(groups, "hash").where("lo <> hi or copied").withColumn("lo", F.coalesce("whole", "lo"))
     out = keep(marked.where("pure").select(*cols).union(found.select(*cols)))
-    drop(marked)
+    drop(marked, groups)
     return out
 
 
