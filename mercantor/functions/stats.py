@@ -187,8 +187,14 @@ def relevance(hits: DataFrame, judged: DataFrame, k: int) -> DataFrame:
 def precision(judged: DataFrame, group: str) -> DataFrame:
     """(group, queries, shown, precision, filter_recall, exact_recall) of judged rows (query_id, passes, relevant, exact)."""
     yes = lambda *cols: F.count_if(reduce(lambda a, b: a & b, map(F.col, cols)))
+    counts = judged.groupBy(group).agg(F.countDistinct("query_id").alias("queries"), yes("passes").alias("shown"), yes("passes", "relevant").alias("hits"), yes("relevant").alias("relevant"), yes("passes", "exact").alias("exact_hits"), yes("exact").alias("exact"))
+    return rates(counts, group)
+
+
+def rates(counts: DataFrame, group: str) -> DataFrame:
+    """The columns of `precision` from counts: shown, relevant and exact rows, and those of the latter that are shown (hits, exact_hits)."""
     share = lambda a, b: F.round(F.try_divide(a, b), 6)
-    return judged.groupBy(group).agg(F.countDistinct("query_id").alias("queries"), yes("passes").alias("shown"), share(yes("passes", "relevant"), yes("passes")).alias("precision"), share(yes("passes", "relevant"), yes("relevant")).alias("filter_recall"), share(yes("passes", "exact"), yes("exact")).alias("exact_recall"))
+    return counts.select(group, "queries", "shown", share("hits", "shown").alias("precision"), share("hits", "relevant").alias("filter_recall"), share("exact_hits", "exact").alias("exact_recall"))
 
 
 def macro_f1(pairs: DataFrame) -> DataFrame:
